@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .decontam import op6_decontamination
 from .langid import op2_language_id
+from .simhash import op3_simhash_dedup
 
-QUERIES = {"op2_language_id": op2_language_id}
+QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_simhash_dedup": op3_simhash_dedup,
+    "op6_decontamination": op6_decontamination,
+}
 
 ORACLE_SQL: dict[str, str] = {}
