@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .langid import op2_language_id
+from .mixing import OP10_SQL, op10_mixing
 from .simhash import op3_simhash_dedup
+from .topk import OP8_SQL, op8_topk
+from .warc import op4_warc
 
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_warc": op4_warc,
     "op6_decontamination": op6_decontamination,
+    "op8_topk": op8_topk,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_topk": OP8_SQL,
+    "op10_mixing": OP10_SQL,
+}
