@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .langid import op2_language_id
+from .license_scan import OP1_SQL, op1_license_scan
+from .linededup import OP7_SQL, op7_line_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .secrets import OP9_SQL, op9_secret_scan
 from .simhash import op3_simhash_dedup
 from .topk import OP8_SQL, op8_topk
-from .warc import op4_warc
+from .urlfilter import op5_url_filter
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_warc": op4_warc,
+    "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_topk": op8_topk,
+    "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": OP1_SQL,
+    "op4_warc": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op8_topk": OP8_SQL,
+    "op9_secret_scan": OP9_SQL,
     "op10_mixing": OP10_SQL,
 }
