@@ -2,7 +2,7 @@
 
 Vectors become integers, floor(scale * x). For a query, each dimension is a list of the rows
 sorted by their share of the score, best first. The lists are read from the top in step, a
-stretch at a time. A row's lower bound is what was read of it plus the least share of each
+stretch at a time, once for a batch of queries. A row's lower bound is what was read of it plus the least share of each
 dimension still unread; its upper bound takes the share last read there instead. Rows whose
 upper bound lies below the k-th best lower bound cannot qualify and are left; when few are
 left, or the lists end, their scores are computed in full and the best k are kept.
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import col, table, written
 
 #: Depths, as shares of the lists, down to which they are read before bounds are compared.
-DEPTHS = (0.3, 0.55, 0.7, 0.8, 0.87, 0.92, 0.96, 1.0)
+DEPTHS = (0.6, 0.8, 0.88, 0.94, 1.0)
 #: With so few rows left, their scores are computed in full.
 FEW = 64
+#: Queries that share one reading of a block's lists.
+AT_ONCE = 256
 LONG = np.iinfo(np.int64)
 
 
@@ -49,43 +51,58 @@ def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class SortedLists:
-    """The lists of one block of rows, one for each dimension, sorted once for all queries."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64))
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The best (score, id) pairs of the block, at most k."""
-        n = len(self.ids)
-        left = np.flatnonzero(self.ids != query_id)
-        dims = np.flatnonzero(query)
-        q = query[dims].astype(np.float64)
-        worst = np.array([min(w * self.values[j, 0], w * self.values[j, -1]) for j, w in zip(dims, q, strict=True)])
-        read, unread, slack = np.zeros(n), np.ones((n, len(dims))), 0.0
-        if len(dims):
-            slack = 1e-12 * len(dims) * float(np.abs(q).max()) * float(np.abs(self.values).max())
-        begin = 0
-        for depth in DEPTHS if len(left) > FEW and len(dims) else ():
-            end = max(begin, int(depth * n))
-            frontier = np.empty(len(dims))
-            for i, (j, w) in enumerate(zip(dims, q, strict=True)):
-                part = slice(begin, end) if w < 0 else slice(n - end, n - begin)
-                rows = self.order[j, part]
-                read[rows] += w * self.values[j, part]
-                unread[rows, i] = 0
-                frontier[i] = w * self.values[j, end - 1 if w < 0 else n - end]
-            begin = end
-            open_ = unread[left]
-            lower, upper = read[left] + open_ @ worst, read[left] + open_ @ frontier
-            bar = np.partition(lower, -k)[-k] if len(lower) > k else -np.inf
-            left = left[upper >= bar - 2 * slack]
-            if len(left) <= FEW:
+    """The lists of one block of rows: each dimension from its largest value down and from its smallest up.
+
+    A query with a positive weight for a dimension reads the first list, with a negative weight
+    the second. The lists are read once for a batch of queries; what was read of a row is kept
+    in ``read``, and ``unread`` marks the rest. Bounds come from these two alone.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        n, dims = vectors.shape
+        up = np.argsort(vectors, axis=0, kind="stable").T
+        self.order = np.concatenate([up[:, ::-1], up])
+        both = np.concatenate([vectors.T, vectors.T])
+        self.real = np.float32 if float(np.abs(both.astype(float)).max()) ** 2 * dims < 1e30 else np.float64
+        self.values = np.take_along_axis(both, self.order, axis=1).astype(self.real)
+        self.size = np.abs(self.values).max(axis=1)
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query id, row id, score) of the block's best k rows of each query."""
+        n, lists = len(self.ids), len(self.order)
+        weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(self.real)
+        read, unread = np.zeros((lists, n), self.real), np.ones((lists, n), self.real)
+        slack = 1e3 * np.finfo(self.real).eps * (np.abs(weights) @ self.size)
+        least = weights * self.values[:, -1]
+        waiting, out, begin = np.arange(len(queries)), [], 0
+        own = {int(q): np.flatnonzero(self.ids == q) for q in query_ids}
+        for depth in DEPTHS:
+            end = max(begin + 1, int(depth * n)) if n else 0
+            rows = self.order[:, begin:end]
+            np.put_along_axis(read, rows, self.values[:, begin:end], axis=1)
+            np.put_along_axis(unread, rows, 0, axis=1)
+            begin = min(end, n)
+            w = weights[waiting]
+            seen = w @ read
+            lower, upper = seen + least[waiting] @ unread, seen + (w * self.values[:, begin - 1]) @ unread
+            for i, q in enumerate(waiting):
+                lower[i, own[int(query_ids[q])]] = upper[i, own[int(query_ids[q])]] = -np.inf
+            bar = np.partition(lower, -self.k, axis=1)[:, -self.k] if n > self.k else np.full(len(waiting), -np.inf)
+            left = upper >= np.maximum(bar - 2 * slack[waiting], np.finfo(self.real).min)[:, None]
+            done = (left.sum(axis=1) <= FEW) | (begin == n)
+            for i in np.flatnonzero(done):
+                out += self.resolved(int(query_ids[waiting[i]]), queries[waiting[i]], np.flatnonzero(left[i]))
+            waiting = waiting[~done]
+            if not len(waiting) or begin == n:
                 break
-        scores = exact_scores(self.vectors[left], query)
-        best = np.lexsort((self.ids[left], -scores.astype(object) if len(scores) and scores.min() == LONG.min else -scores))[:k]
-        return [(int(scores[i]), int(self.ids[left[i]])) for i in best]
+        return out
+
+    def resolved(self, query_id: int, query: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
+        """The best k of the rows by their full scores."""
+        scores, ids = exact_scores(self.vectors[rows], query), self.ids[rows]
+        best = sorted(zip((-scores.astype(object)).tolist(), ids.tolist(), strict=True))[: self.k]
+        return [(query_id, i, -s) for s, i in best]
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block_rows: int = 16_384, block_queries: int = 1_024) -> DataFrame:
@@ -108,9 +125,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
         own = pdf[~pdf["q"]]
         out = []
         if len(own):
-            lists = SortedLists(own["id"].to_numpy(), np.stack(own["v"].to_numpy()))
-            for query_id, v in pdf.loc[pdf["q"], ["id", "v"]].itertuples(index=False):
-                out += [(query_id, i, score) for score, i in lists.top(query_id, np.asarray(v), k)]
+            lists, asked = SortedLists(own["id"].to_numpy(), np.stack(own["v"].to_numpy()), k), pdf[pdf["q"]]
+            for at in range(0, len(asked), AT_ONCE):
+                part = asked.iloc[at : at + AT_ONCE]
+                out += lists.top(part["id"].to_numpy(), np.stack(part["v"].to_numpy()))
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     found = sides[0].union(sides[1]).where("dim > 0").groupBy("dim", "rb", "qb").applyInPandas(best, "query_id long, id long, score long")
