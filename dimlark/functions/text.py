@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .pyfmt import py_float
 
@@ -109,7 +110,7 @@ def join_count(one: str, other: str) -> str | None:
     return f"{other} {one}" if re.match(r"[.\d]+$", one) and COUNT.match(other) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def lines_joined(texts: pd.Series) -> pd.Series:
     """Stacked tolerances and lone counts brought onto the line of their value; blank lines left out."""
 
