@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, table, written
 
 #: Words that mark a page as blocked while the model learns.
 SEEDS = frozenset("adult ads bets betting bonus casino escort gambling lottery malware nude phishing pills poker porn sex slots spam track tracker viagra warez xxx".split())
@@ -96,12 +96,28 @@ def features(host: list[str], path: list[str]) -> list[str]:
     return [f"h:{w}" for w in host] + [f"p:{w}" for w in path]
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows with the largest ``n``, ``most`` at most: all whose n reaches a bar that few enough reach.
+
+    The bar comes from a histogram of eighths of powers of two, so only rows that are kept, and
+    one row for each step of the histogram, come to the driver.
+    """
+    counts = written(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "counts")
+    steps = sorted((r["step"], r["rows"]) for r in counts.groupBy("step").agg(F.count("*").alias("rows")).collect())
+    bar, room = None, most
+    for step, rows in reversed(steps):
+        room -= rows
+        if room < 0:
+            break
+        bar = step
+    return counts.where(F.col("step") >= bar).drop("step").collect() if bar is not None else []
+
+
 def word_counts(pages: DataFrame, text_col: str, vocabulary: int) -> dict[str, int]:
     """The most frequent words of all pages, markup left out, and the seeds."""
     plain = F.regexp_replace(F.lower(col(text_col)), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.split(plain, r"[^a-z\x{80}-\x{10ffff}]+")).alias("word")).where((F.length("word") > 1) & (F.length("word") <= LONGEST_WORD))
-    found = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    counts = {r["word"]: r["n"] for r in found}
+    counts = {r["word"]: r["n"] for r in most_frequent(words.groupBy("word").agg(F.count("*").alias("n")), vocabulary)}
     least = max(1, sum(counts.values()) // 100_000)
     return counts | {w: max(least, counts.get(w, 0)) for w in SEEDS}
 
@@ -133,7 +149,7 @@ def fit(pages: DataFrame, *, url_col: str = "url", text_col: str = "html", vocab
             yield told()
 
     tallies = urls.mapInArrow(run, "blocked boolean, feature string, n long").groupBy("feature").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    rows = tallies.orderBy(F.desc("n"), "feature").limit(vocabulary).collect()
+    rows = most_frequent(tallies, vocabulary)
     pages_of = next((r for r in rows if r["feature"] == ""), None)
     rows = [r for r in rows if r["feature"]]
     bad, good = sum(r["bad"] for r in rows), sum(r["n"] - r["bad"] for r in rows)
