@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontam import op6_decontamination
+from .decontam import OP6_SQL, op6_decontamination
 from .langid import op2_language_id
 from .license_scan import OP1_SQL, op1_license_scan
 from .linededup import OP7_SQL, op7_line_dedup
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_license_scan": OP1_SQL,
     "op4_warc": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_topk": OP8_SQL,
     "op9_secret_scan": OP9_SQL,

@@ -1,0 +1,507 @@
+"""Each operator against a brute-force version, and on messy and empty tables."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from dimlark.llm import components, decontam, langid, license_scan, linededup, mixing, queries, secrets, simhash, topk, urlfilter, warc
+from dimlark.llm.common import written
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: extra columns named like inner or output columns of the operators
+CLASH = ("id", "fp", "component", "score", "rejected", "size", "taken", "draws", "spans", "row", "key", "block", "digest", "n_words", "start", "words", "label", "kept_spans", "path", "licence")
+LONG = "lorem ipsum dolor " * 20_000 + "password=abcdefgh12"
+
+
+def messy(spark, clash=True):
+    rows = [
+        (1, "the cat sat on the mat and the dog ran away", "en", "a", 43),
+        (2, "the cat sat on the mat and the dog ran away", "en", "a", 43),
+        (2, "the cat sat on the mat and the dog ran away", "en", "a", 43),
+        (3, None, None, None, None),
+        (4, "", "en", "b", 0),
+        (5, LONG, "en", "b", len(LONG)),
+        (None, "der Hund lief weg und die Katze saß auf der Matte", "de", None, None),
+        (7, "der Hund lief weg und die Katze saß auf der Matte\ntoken: 12345678", "de", "c", 67),
+        (8, "1234 5678 !!", None, "c", 12),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: F.lit("x") for c in CLASH}) if clash else df
+
+
+def empty(spark):
+    return messy(spark).limit(0)
+
+
+def by_id(df, key="id"):
+    return {r[key]: r for r in df.collect()}
+
+
+# language identification
+
+
+def test_language_held_out_accuracy(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = langid.op2_language_id(spark, sf).join(docs, "doc_id")
+    total, right = got.where("held_out").agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert total > 30 and right / total >= 0.97
+
+
+def test_language_cases(spark):
+    docs = messy(spark)
+    model = langid.fit(docs)
+    out = langid.predict(docs, model)
+    assert out.count() == 9 and set(docs.columns) <= set(out.columns)
+    rows = [r.asDict() for r in out.collect()]
+    for r in rows:
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+        else:
+            assert r["lang_pred"] in ("en", "de") and 0 <= r["score"] <= 1
+    assert langid.fit(empty(spark)).languages == ()
+    assert langid.predict(docs, langid.fit(empty(spark))).where("lang_pred <> 'und'").isEmpty()
+    assert langid.predict(empty(spark), model).isEmpty()
+
+
+# near duplicates
+
+
+def plain_fingerprint(text, k=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64(" ".join(words[i : i + k]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps: dict, bits: int) -> dict:
+    ids, out = sorted(fps), {}
+    for i in ids:
+        if i in out:
+            continue
+        reach, todo = {i}, [i]
+        while todo:
+            a = todo.pop()
+            new = [j for j in ids if j not in reach and (fps[a] ^ fps[j]).bit_count() <= bits]
+            reach.update(new)
+            todo += new
+        out |= dict.fromkeys(reach, min(reach))
+    return out
+
+
+def test_simhash_against_brute_force(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    groups = plain_components(fps, 4)
+    got = simhash.op3_simhash_dedup(spark, sf).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", groups[i]) for i in texts}
+
+
+@pytest.mark.parametrize("tile_rows", [16, 4096])
+def test_simhash_links_of_hot_keys(spark, tile_rows):
+    rng = random.Random(tile_rows)
+    fps = set()
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(60):
+            fps.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))))
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in fps}
+    df = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
+    found = components.components(written(simhash.links(df, tile_rows=tile_rows), "test-links"))
+    label = {r["node"]: r["label"] for r in found.collect()}
+    want = plain_components({signed[f]: f for f in fps}, 4)
+    groups = {}
+    for v in signed.values():
+        groups.setdefault(label.get(v, v), set()).add(v)
+    plain = {}
+    for v, g in want.items():
+        plain.setdefault(g, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+
+
+def test_simhash_cases(spark):
+    docs = messy(spark)
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == 9
+    zero = [r for r in found if r["fp"] == 0]
+    assert {r["id"] for r in zero} == {3, 4} and {r["component"] for r in zero} == {3}
+    assert {r["component"] for r in found if r["id"] in (1, 2)} == {1}
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5), (False, 7), (False, 8), (True, 0)]
+    assert simhash.near_duplicates(empty(spark)).isEmpty() and simhash.deduplicated(empty(spark)).isEmpty()
+
+
+def test_components_of_chains(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
+    labels = {r["node"]: r["label"] for r in components.components(chain).collect()}
+    assert labels == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+# archives
+
+
+def test_warc_round_trip(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(40)
+    rows = pages.select("page_id", "url", "html").collect()
+    extra = [(1000, "http://a/ b\n", None), (1001, None, ""), (1002, rows[0]["url"], rows[0]["html"]), (1003, "u", "x" * 300_000), (None, "n", "only"), (1004, "z", "\x1f\x8b\x08 WARC/1.1\r\n\r\n")]
+    df = pages.select("page_id", "url", "html").union(spark.createDataFrame(extra, "page_id long, url string, html string"))
+    files = warc.write(df)
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0)):
+        payload = (r["html"] or "").encode()
+        want.setdefault(payload, []).append(r["page_id"])
+    for split in (997, 65_536, 1 << 24):
+        got = warc.read(files, split_bytes=split).collect()
+        assert len(got) == df.count()
+        for r in got:
+            payload = next(p for p, ids in want.items() if r["page_id"] in ids)
+            first = want[payload][0]
+            assert r["payload_bytes"] == len(payload) and r["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] == first else ("revisit", first))
+            if r["record_type"] == "response":
+                assert r["payload"] == payload
+    assert warc.read(warc.write(df.limit(0))).isEmpty()
+    folder = files.first()["path"].rpartition("/")[0]
+    assert warc.archives(spark, folder).count() == files.count()
+
+
+def test_warc_repeated_rows_and_threshold(spark):
+    df = spark.createDataFrame([(5, "u", "same"), (5, "u", "same"), (7, "u", "same"), (9, "u", "")], "page_id long, url string, html string").withColumn("digest", F.lit("x"))
+    got = warc.read(warc.write(df)).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in got) == [(5, "response"), (5, "response"), (7, "revisit"), (9, "response")]
+    assert warc.read(warc.write(df, min_bytes=10)).where("record_type = 'revisit'").isEmpty()
+
+
+# URL filters
+
+
+def test_url_rules(spark, sf):
+    urls = ["http://A.com/en/1?q", "https://x.example.com/en/7#a", "http://example.net/de/8", "http://example.net/de/9", "ftp://org/es/", "no scheme", None, "http://casino-win.example.org/fr/2", "http://host", "http://u/en/\n7?x", "://"]
+    pages = spark.read.parquet(f"{sf}/pages.parquet".replace("sf0.001", "sf0.01"))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
+    model = urlfilter.fit(pages)
+    got = by_id(urlfilter.judged(df, model))
+    assert [got[i]["rule"] for i in range(7)] == ["com/en/", "example.com/en/7", "example.net/de/8", "net/de/", "org/es/", None, None]
+    assert [got[i]["verdict"] for i in range(5)] == ["block", "allow", "block", "allow", "block"]
+    assert (got[0]["host"], got[0]["path"]) == ("a.com", "/en/1") and (got[5]["host"], got[6]["path"]) == ("", "")
+    assert got[7]["verdict"] == "block" and got[8]["verdict"] == "allow"
+    assert got[9]["path"] == "/en/\n7"
+    assert urlfilter.judged(df.limit(0), model).isEmpty()
+    blank = urlfilter.fit(pages.limit(0))
+    assert urlfilter.judged(df, blank).where("rule IS NULL AND verdict <> 'allow'").isEmpty()
+
+
+def test_segmentation_is_the_best_split():
+    words = {w: np.log(p) for w, p in {"cheap": 0.2, "pills": 0.2, "che": 0.1, "ap": 0.1, "pill": 0.05, "s": 0.05}.items()}
+    unknown = np.log(1e-3)
+
+    def splits(s):
+        return [[]] if not s else [[s[:i], *rest] for i in range(1, len(s) + 1) for rest in splits(s[i:])]
+
+    cost = lambda parts: sum(words.get(p, unknown - np.log(10) * len(p)) for p in parts)
+    for name in ("cheappills", "pillsx", "apcheap", "zzz"):
+        assert cost(urlfilter.segment(name, words, unknown)) == pytest.approx(max(map(cost, splits(name))))
+
+
+def test_url_verdicts_of_seeded_hosts(spark, sf):
+    got = urlfilter.op5_url_filter(spark, sf).where("rule IS NULL").collect()
+    seeded = [r for r in got if any(s in r["host"] for s in ("casino", "spam", "adult", "pills", "bets", "ads-"))]
+    assert all(r["verdict"] == "block" for r in seeded)
+
+
+# decontamination
+
+
+def plain_hits(docs, items, window):
+    cut = [(str(i), decontam.words_of((t or "").encode())) for i, t in items]
+    out = {}
+    for doc_id, text in docs:
+        words = decontam.words_of((text or "").encode())
+        hit, found = set(), set()
+        for item, own in cut:
+            n = min(window, len(own))
+            wanted = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+            for i in range(len(words) - n + 1) if n else ():
+                if tuple(words[i : i + n]) in wanted:
+                    hit.update(range(i, i + n))
+                    found.add(item)
+        out[doc_id] = (len(words), len(hit), sorted(found))
+    return out
+
+
+def test_automaton_against_all_windows():
+    rng = random.Random(6)
+    for _ in range(150):
+        items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))) for i in range(6)]
+        docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60)))) for i in range(4)]
+        automaton = decontam.SuffixAutomaton([(str(i), decontam.words_of(t.encode())) for i, t in items], 5)
+        want = plain_hits(docs, items, 5)
+        for i, t in docs:
+            words = decontam.words_of(t.encode())
+            hit, found = np.zeros(len(words), bool), set()
+            automaton.feed(words, hit, found)
+            assert (len(words), int(hit.sum()), sorted(found)) == want[i]
+
+
+@pytest.mark.parametrize("block_words", [500_000, 8])
+def test_decontamination_cases(spark, block_words):
+    docs = messy(spark)
+    bench = spark.createDataFrame([(1, "The cat, sat on THE mat and the dog ran"), (2, "hund lief"), (3, None), (None, "x"), (4, ""), (1, "The cat, sat on THE mat and the dog ran")], "item_id long, text string")
+    got = decontam.scan(docs, bench, id_cols=("doc_id",), block_words=block_words).collect()
+    want = plain_hits([(i, r["text"]) for i, r in enumerate(docs.collect())], [(1, "the cat sat on the mat and the dog ran"), (2, "hund lief")], 10)
+    assert sorted((r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted(want.values())
+    clean = decontam.decontaminated(docs, bench, max_coverage=0.5, block_words=block_words)
+    assert clean.columns == docs.columns and clean.schema["n_chars"] == docs.schema["n_chars"]
+    left = clean.collect()
+    assert {r["doc_id"] for r in left} == {3, 4, 5, None, 7, 8}
+    assert next(r for r in left if r["doc_id"] is None)["text"] == "der  weg und die Katze saß auf der Matte"
+    assert decontam.scan(empty(spark), bench).isEmpty()
+    assert decontam.scan(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
+
+
+# line dedup
+
+
+def test_line_repeats_cases(spark):
+    line = " ".join(f"word{i}" for i in range(30))
+    rows = [(2, f"short\n{line}\nend"), (1, line.upper() + "!"), (3, line + "\n" + line), (None, line), (4, None), (5, ""), (3, line + "\n" + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit(1), "first": F.lit(2)})
+    got = {(r["id"], r["start"], r["kept_id"], r["kept_start"]) for r in linededup.repeats(docs).collect()}
+    n = len(line)
+    assert got == {(2, 6, 1, 0), (3, 0, 1, 0), (3, n + 1, 1, 0), (None, 0, 1, 0)}
+    clean = linededup.without_repeats(docs)
+    texts = {r["doc_id"]: (r["text"], [tuple(s) for s in r["kept_spans"]]) for r in clean.collect()}
+    assert texts[2] == ("short\nend", [(0, 6), (n + 7, n + 10)]) and texts[3] == ("", []) and texts[4] == (None, [])
+    assert clean.where("doc_id = 1").first()["text"] == line.upper() + "!"
+    assert linededup.repeats(clean.where("doc_id IS NOT NULL").drop("kept_spans")).isEmpty() and linededup.repeats(docs.limit(0)).isEmpty()
+
+
+# top-k
+
+
+def plain_top(rows, k=5):
+    ok = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for q, a in ok:
+        if q % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q and len(b) == len(a))
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block_rows", "block_queries"), [(16_384, 1_024), (97, 3)])
+def test_top_k_against_all_pairs(spark, block_rows, block_queries):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    rows += [(400, [0.0] * 8), (401, rows[0][1]), (402, None), (403, [1.0] * 7 + [None]), (404, [float("nan")] * 8), (405, [float("inf")] * 8), (450, [1e9] * 8), (None, [1.0] * 8), (500, [1.0] * 4), (501, [2.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"q": F.lit(1), "dim": F.lit(2), "score": F.lit(3)})
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=block_rows, block_queries=block_queries)
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in got.collect()) == plain_top(rows)
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).isEmpty()
+
+
+def test_bounds_hold_and_prune(spark):
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(0, 40, (3000, 16))).astype(np.int64)
+    lists = topk.SortedLists(np.arange(3000), x, 5)
+    queries_ = np.arange(0, 3000, 300)
+    got = sorted(lists.top(queries_, x[queries_]))
+    scores = x @ x.T
+    want = []
+    for q in queries_:
+        rest = [i for i in range(3000) if i != q]
+        want += [(q, i, scores[q, i]) for i in sorted(rest, key=lambda i: (-scores[q, i], i))[:5]]
+    assert got == sorted(want)
+
+
+# secrets
+
+
+def plain_spans(text):
+    text = text or ""
+    out = []
+    assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out += [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[1]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secrets_against_plain_scan(spark):
+    rng = random.Random(9)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ": ", " = \"", "'", "abcdefgh", "short", "AKIA", "ABCDEFGHIJKL", "AKIA0123456789AB", "0123456789abcdef" * 2, "f" * 31, " ", "\n", "é😀", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)] + [None, "", LONG, "token: secret:abcdefghij"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"spans": F.lit(1), "kinds": F.lit(2), "doc": F.lit(3), "row": F.lit(4)})
+    got = {r["doc_id"]: sorted(tuple(s) for s in r["spans"] if s["rank"] < 3) for r in secrets.scan(docs).collect()}
+    assert got == {i: plain_spans(t) for i, t in enumerate(texts)}
+
+
+def test_trigram_queries_never_miss():
+    for text in ("PassWord = 'abcdefgh1'", "api_key:abcdefgh", "AKIAABCDEFGHIJKL", "-----BEGIN RSA PRIVATE KEY-----", "xoxb-1234567890ab", "ghp_" + "a" * 36):
+        low = text.lower()
+        for rule in secrets.RULES:
+            if re.search(rule.pattern, text):
+                assert all(any(all(g in low for g in a) for a in clause) for clause in secrets.trigram_query(rule.pattern))
+    assert secrets.trigram_query("[0-9a-f]{32,}") == [] and secrets.trigram_query(r"AKIA[A-Z]+") == [[frozenset({"aki", "kia"})]]
+
+
+def test_redaction(spark):
+    docs = messy(spark).drop("spans")
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns and out.count() == 9
+    rows = out.collect()
+    assert next(r for r in rows if r["doc_id"] == 7)["text"].endswith("\n<SECRET>") and next(r for r in rows if r["doc_id"] == 3)["text"] is None
+    changed = next(r for r in rows if r["doc_id"] == 5)
+    assert changed["text"].endswith("dolor <SECRET>") and changed["n_chars"] == len(changed["text"])
+    assert secrets.redacted(empty(spark).drop("spans")).isEmpty()
+
+
+# mixing
+
+
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    open_, out, rest = set(names), {}, share * sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if rest * weight[s] / total > most * sizes[s]}
+        if not over:
+            return out | {s: rest * weight[s] / total for s in open_}
+        out |= {s: float(most * sizes[s]) for s in over}
+        rest -= sum(most * sizes[s] for s in over)
+        open_ -= over
+    return out
+
+
+def test_mix_of_a_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mixed(docs, keep=("source",), shards=8).collect()
+    sizes, taken, target = {}, {}, {}
+    for r in rows:
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == sum(d["words"] for d in r["draws"])
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    want = plain_targets(sizes)
+    assert all(target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1 for s in sizes)
+    again = mixing.mixed(docs, keep=("source",), shards=8).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_mix_cases(spark):
+    docs = messy(spark)
+    rows = mixing.mixed(docs, keep=tuple(docs.columns), shards=4).collect()
+    assert len(rows) == 9 and all(r["taken"] == 0 for r in rows if not r["size"])
+    none = [r for r in rows if r["source"] is None]
+    assert len(none) == 2 and {r["source_size"] for r in none} == {sum(r["size"] for r in none)}
+    shards = mixing.shard_rows(mixing.mixed(docs, keep=("text",), shards=4)).collect()
+    assert sum(r["words"] for r in shards) == sum(r["taken"] for r in rows)
+    assert all(len(r["text"].split()) == r["words"] for r in shards)
+    assert mixing.mixed(empty(spark)).isEmpty()
+
+
+def test_splitting_tree_keeps_quotas(spark):
+    quotas = {"a": 1000, "b": 37, "c": 0, "d": 1}
+    df = spark.createDataFrame(list(quotas.items()), "key string, quota long")
+    upto = {r["key"]: r["upto"] for r in mixing.shard_quotas(df, 16, 7).collect()}
+    assert {k: v[-1] for k, v in upto.items()} == quotas and all(sorted(v) == v and len(v) == 16 for v in upto.values())
+    per_shard = [sum(v[i] - (v[i - 1] if i else 0) for v in upto.values()) for i in range(16)]
+    assert max(per_shard) - min(per_shard) <= 1
+
+
+def test_hypergeometric_mean_and_spread(spark):
+    u = ((F.col("id") + 0.5) / 2000).alias("u")
+    got = [r["k"] for r in spark.range(2000).select(u).select(mixing.hypergeometric(F.lit(100).cast("long"), F.lit(30).cast("long"), F.lit(50).cast("long"), F.col("u")).alias("k")).collect()]
+    assert np.mean(got) == pytest.approx(15, abs=0.05) and np.var(got) == pytest.approx(50 * 0.3 * 0.7 * 50 / 99, rel=0.03)
+
+
+# licences
+
+
+def test_licences(spark):
+    files = [
+        ("LICENSE", "Released under the MIT License."),
+        ("src/a.py", "x = 1\n# Licensed under the Apache License, Version 2.0.\n"),
+        ("src/b.py", "nothing here"),
+        ("lib/COPYING", "This work is licensed under the GNU General Public License, version 3."),
+        ("lib/deep/er/c.c", None),
+        ("lib/deep/d.c", ""),
+        ("license_plates/e.txt", "the license plate of a car is under the seat of the owner and not released at all"),
+        (None, "Released under the MIT License."),
+        (None, "plain"),
+        ("lib/deep/d.c", ""),
+        ("big.txt", LONG),
+    ]
+    df = spark.createDataFrame(files, "path string, text string").withColumns({"licence": F.lit(1), "dir": F.lit(2), "version": F.lit(3), "own": F.lit(4)})
+    got = [(r["path"], r["licence"], r["score"] is not None, r["from_dir"]) for r in license_scan.scan(df).collect()]
+    assert sorted(got, key=str) == sorted(
+        [
+            ("LICENSE", "MIT", True, None),
+            ("src/a.py", "Apache-2.0", True, None),
+            ("src/b.py", "MIT", False, ""),
+            ("lib/COPYING", "GPL-3.0", True, None),
+            ("lib/deep/er/c.c", "GPL-3.0", False, "lib"),
+            ("lib/deep/d.c", "GPL-3.0", False, "lib"),
+            ("lib/deep/d.c", "GPL-3.0", False, "lib"),
+            ("license_plates/e.txt", "MIT", False, ""),
+            (None, "MIT", True, None),
+            (None, None, False, None),
+            ("big.txt", "MIT", False, ""),
+        ],
+        key=str,
+    )
+    assert license_scan.scan(df.limit(0)).isEmpty()
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), "test-stage")
+        assert docs.columns == columns
+        seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = seen["language id"]
+    assert len(known) >= 0.99 * len(texts)
+    groups = plain_components({i: plain_fingerprint(t) for i, t in known.items()}, 4)
+    assert set(seen["simhash near-dedup"]) == set(groups.values())
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert all(h == 0 for _, h, _ in plain_hits(list(seen["benchmark decontamination"].items()), items, 10).values())
+    assert not any(plain_spans(t) for t in seen["secret scan"].values())
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 2").isEmpty() and set(columns) <= set(last.columns)
+
+
+def test_every_query_is_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_oracles(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "pages", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want, got = con.execute(sql).df(), queries.QUERIES[name](spark, sf).toPandas()
+        assert sorted(want.columns) == sorted(got.columns), name
+        text = lambda df: sorted(df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).map(lambda v: None if v is None else f"{float(v):.9g}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)).astype(str).agg("|".join, axis=1))
+        assert text(want) == text(got), name
+
+
