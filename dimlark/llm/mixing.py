@@ -22,11 +22,14 @@ table gives an empty mix. Input columns named like outputs are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NON_SPACE_RUN, col, table, written
 
+LEAST_SHARDS = 64
 INTERNAL = ("size", "source_size", "target", "taken", "draws")
 
 
@@ -111,7 +114,8 @@ def mixed(
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     repeats: int = 2,
-    shards: int = 64,
+    shards: int | None = None,
+    words_per_shard: int = 1 << 26,
     blocks: int = 4096,
     seed: int = 20,
 ) -> DataFrame:
@@ -119,7 +123,8 @@ def mixed(
 
     ``size``, ``source_size``, ``target``, ``taken`` in words; ``draws``: structs of ``shard``,
     ``place`` (order within the shard) and ``words``, one for each time the mix takes it.
-    ``shards`` is a power of two.
+    ``shards`` is a power of two; by default 64, or as many as keep a shard's words at
+    ``words_per_shard`` or fewer.
     """
     key = F.coalesce(F.concat(F.lit("s"), col(source_col).cast("string")), F.lit("n"))
     name = F.concat(F.lit("doc "), F.coalesce(col(id_col).cast("string"), F.lit("")))
@@ -137,6 +142,8 @@ def mixed(
         rows = written(rows, "mix-rows")
     sums = written(rows.groupBy("key", "block").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-blocks")
     sources = written(targets(sums, weights, share, repeats), "mix-sources")
+    if shards is None:
+        shards = max(LEAST_SHARDS, 1 << math.ceil(math.log2(max(1.0, (sources.agg(F.sum("target")).first()[0] or 0) / words_per_shard))))
     permuted = Window.partitionBy("key").orderBy(md5_number(F.concat("key", F.lit(" "), F.col("block").cast("string")), 1, 15), "block")
     planned = sums.select("key", "block", "words").join(sources, "key").withColumn("before", F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     planned = planned.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("rest") - F.col("before"))))
