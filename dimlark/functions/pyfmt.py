@@ -29,7 +29,11 @@ def is_garbage(text: Column) -> Column:
 
 
 def py_g(x: Column) -> Column:
-    """``'%g' % x``: six significant digits, no trailing zeros."""
+    """``'%g' % x``: six significant digits, no trailing zeros.
+
+    A number whose shortest decimal form lies half way between two is rounded up, where Python
+    looks at the binary value (99999.95 is 100000 here).
+    """
     sci = F.format_string("%.5e", x)
     mantissa, power = F.split_part(sci, F.lit("e"), F.lit(1)), F.split_part(sci, F.lit("e"), F.lit(2))
     bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -124,7 +124,8 @@ def reader_rows(result: Column) -> Column:
     whole = F.from_json(result, "rec_texts array<string>, rec_boxes array<array<double>>, rec_scores array<double>, parsing_res_list array<struct<block_content:string, content:string, block_bbox:array<double>, bbox:array<double>>>")
     texts = F.transform(whole["rec_texts"], lambda t, i: F.struct(t.alias("text"), F.get(whole["rec_boxes"], i).alias("box"), F.coalesce(F.get(whole["rec_scores"], i), F.lit(1.0)).alias("conf")))
     blocks = F.transform(whole["parsing_res_list"], lambda b: F.struct(F.coalesce(b["block_content"], b["content"]).alias("text"), F.coalesce(b["block_bbox"], b["bbox"]).alias("box"), F.lit(1.0).alias("conf")))
-    rows = F.when(F.size(whole["rec_texts"]) > 0, texts).otherwise(F.coalesce(blocks, F.slice(texts, 1, 0)))
+    none = F.array().cast("array<struct<text:string,box:array<double>,conf:double>>")
+    rows = F.when(F.size(whole["rec_texts"]) > 0, texts).otherwise(F.coalesce(blocks, none))
     return F.filter(rows, lambda r: (F.trim(r["text"]) != "") & r["box"].isNotNull())
 
 
