@@ -733,7 +733,7 @@ def geo_10(spark, sf_dir):
 # sources, limits, sets
 
 
-@query("IO-1", f"WITH {X.WORDS_CTE} SELECT doc_id, count(*) AS n, sum(length(text)) AS chars FROM words GROUP BY doc_id")
+@query("IO-1", f"WITH {X.WORDS_CTE} SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM words GROUP BY doc_id")
 def io_1(spark, sf_dir):
     return X.words(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
