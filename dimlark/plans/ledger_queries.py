@@ -483,6 +483,17 @@ def mut_8(spark, sf_dir):
     return L.cell_edited(led, edits).select("doc_id", "seq", "measured", "gage")
 
 
+@query("MUT-9", on_ledger("SELECT doc_id, seq, CASE WHEN coalesce(measured, '') = '' AND seq % 2 = 1 THEN CAST(CAST(nominal AS INTEGER) AS VARCHAR) ELSE measured END AS measured, CASE WHEN seq % 3 = 0 THEN 'CMM' END AS gage FROM led"))
+def mut_9(spark, sf_dir):
+    """A walk that measures every other unmeasured row, the last entry counting, and overrides gages."""
+    led = X.ledger(spark, sf_dir)
+    todo = led.where("coalesce(measured, '') = '' AND seq % 2 = 1")
+    first = todo.select("doc_id", "seq", F.lit("measured").alias("field"), F.lit("0").alias("value"), F.lit(1).alias("ts"))
+    last = todo.select("doc_id", "seq", F.lit("measured").alias("field"), F.col("nominal").cast("int").cast("string").alias("value"), F.lit(2).alias("ts"))
+    gages = led.where("seq % 3 = 0").select("doc_id", "seq", F.lit("gage").alias("field"), F.lit(" CMM ").alias("value"), F.lit(1).alias("ts"))
+    return L.cell_edited(led, first.union(last).union(gages)).select("doc_id", "seq", "measured", "gage")
+
+
 @query("MUT-10", on_ledger("SELECT nled.doc_id, seq, CASE WHEN page = 0 AND num = 1 THEN bx + 40 ELSE bx END AS bx FROM nled"))
 def mut_10(spark, sf_dir):
     led = numbered(spark, sf_dir)
