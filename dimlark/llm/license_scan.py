@@ -74,7 +74,7 @@ def word_weights(texts: DataFrame) -> tuple[dict[str, float], float]:
     """
     vocabulary = sorted(set().union(*template_words()))
     held = F.array_intersect(F.split("text", "[^a-z0-9.]+|[.](?![0-9])"), F.array(*[F.lit(w) for w in vocabulary]))
-    counted = texts.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = texts.select(F.explode_outer(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     found = {r["word"]: r["n"] for r in counted.collect()}
     n = found.get("", 0)
     return {w: math.log((n + 1) / (found.get(w, 0) + 1)) + 1 for w in vocabulary}, math.log(n + 1) + 1
@@ -110,8 +110,9 @@ def own_licenses(texts: DataFrame, is_license_file: Column, threshold: float) ->
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("place"), line.alias("line")))
     whole = F.when(is_license_file, F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("line")))).otherwise(F.array().cast("array<struct<place:int,line:string>>"))
     parts = F.filter(F.concat(lines, whole), lambda p: p["line"].rlike(telling))
-    passages = texts.where(F.col("text").rlike(telling)).select("path", "version", F.explode(parts).alias("part"))
-    words = passages.select("path", "version", F.col("part.place").alias("place"), F.explode(F.regexp_extract_all(F.col("part.line"), F.lit(WORD), F.lit(0))).alias("word"))
+    # the outer forms keep Spark from testing the arrays' sizes first, by computing them once more
+    passages = texts.where(F.col("text").rlike(telling)).select("path", "version", F.explode_outer(parts).alias("part")).where("part IS NOT NULL")
+    words = passages.select("path", "version", F.col("part.place").alias("place"), F.explode_outer(F.regexp_extract_all(F.col("part.line"), F.lit(WORD), F.lit(0))).alias("word")).where("word IS NOT NULL")
     tf = words.groupBy("path", "version", "place", "word").agg(F.count("*").alias("tf"))
     known = ", ".join(f"('{w}', {weights[w]!r}D, array({', '.join(f'{v.get(w, 0.0)!r}D' for v in vectors)}))" for w in sorted(weights))
     table_ = texts.sparkSession.sql(f"SELECT * FROM VALUES {known} AS t(word, idf, shares)")
