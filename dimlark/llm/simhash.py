@@ -194,7 +194,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id names their component, once each; rows with a null id all stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits)
+    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits), id_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id names its component in ``found(id, component)``, once each, and all with a null id."""
     kept = written(found.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("__kept_id")).agg(F.count("*").alias("__kept_n")), "kept-ids")
     key = col(id_col)
     out = docs.join(kept.select("__kept_id"), key == F.col("__kept_id"), "left_semi")
