@@ -6,26 +6,30 @@ item. Where that is ``window`` words or more, all of those words are hit; items
 count as one window each. Words outside the items' vocabulary reset the automaton to its
 start, so only stretches of known words are streamed.
 
-Items are packed into blocks of at most ``block_words`` words; each block has its own
-automaton, built once in a task, and documents stream through one block after the other.
-The number of blocks follows the benchmark, and the pass over the documents has no shuffle.
+Items are packed into blocks of at most ``block_words`` words, longer items in overlapping
+pieces, as a written table. Each block has its own automaton, and one automaton at a time is in
+a task: documents pass block after block, and the hits of a text, found by its digest, are
+united. The number of passes follows the benchmark; with one block nothing is shuffled.
 
 Cases: null and empty texts have no words; an item without words has no window. Items with
-the same id count once. Repeated documents are judged alike. An empty benchmark hits nothing.
+the same id count once. Items with a null id hit, but have no id to list; ``op6_decontamination``
+leaves them out, as its SQL does. Repeated documents are judged alike. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, table
+from .common import col, table, written
 
 #: ASCII letters and digits and all bytes from 128 up make words; the letters are lower-cased.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -127,24 +131,68 @@ class SuffixAutomaton:
                     above = self.whole_above[self.link[above]]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The items, read to the driver one after the other, in blocks of bounded size.
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> DataFrame:
+    """``(item, words, block)``: the items' words, in blocks of at most ``block_words`` (of two windows at least).
 
-    A benchmark is a reference set of at most some hundred megabytes, unlike the corpus.
+    A longer item is cut into pieces that overlap by a window less a word, so each window is whole in one.
     """
-    blocks: list[list[tuple[str, bytes]]] = []
-    room = 0
-    rows = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull() & F.col("item").isNotNull())
-    for row in rows.orderBy("item", "text").toLocalIterator():
-        n = len(words_of(bytes(row["text"])))
-        if not n:
-            continue
-        if n > room or not blocks:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append((row["item"], bytes(row["text"])))
-        room -= n
-    return blocks
+    most = max(block_words, 2 * window)
+    rows = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).cast("binary").alias("text")).where("text IS NOT NULL")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_buffer().to_pybytes())
+                pieces = [words[i : i + most] for i in range(0, max(1, len(words) - window + 1), most - window + 1)] if words else []
+                found += [(item, b" ".join(piece), len(piece)) for piece in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["item", "words", "n"])
+
+    pieces = written(rows.mapInArrow(cut, "item string, words binary, n long").distinct(), "benchmark-words")
+    parts = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // most))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, room = TaskContext.get().partitionId() << 32, most
+        for batch in batches:
+            numbers = []
+            for n in batch.column(2).to_pylist():
+                if n > room:
+                    block, room = block + 1, most
+                room -= n
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], names=["item", "words", "block"])
+
+    return written(pieces.repartition(int(parts)).mapInArrow(packed, "item string, words binary, block long"), "benchmark-blocks")
+
+
+def shared_block(blocks: DataFrame, number: int | None):
+    """One block of bounded size, broadcast."""
+    rows = blocks.where(F.col("block") == number).collect() if number is not None else []
+    return blocks.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in rows])
+
+
+def block_hits(texts: DataFrame, shared, window: int) -> DataFrame:
+    """``texts(digest, text)`` -> ``(digest, edges, items)`` of those that the block hits; edges: starts and ends of runs of hit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton([(item, words.split()) for item, words in shared.value], window)
+        for batch in batches:
+            digests, edges, found = [], [], []
+            for digest, value in zip(batch.column(0), batch.column(1), strict=True):
+                words = words_of(value.as_buffer().to_pybytes())
+                hit, items = np.zeros(len(words), bool), set()
+                automaton.feed(words, hit, items)
+                if items:
+                    digests.append(digest.as_py())
+                    edges.append(run_edges(hit))
+                    found.append(sorted(items - {None}))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(edges, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["digest", "edges", "items"])
+
+    return texts.mapInArrow(run, "digest string, edges array<int>, items array<string>")
+
+
+def run_edges(hit: np.ndarray) -> list[int]:
+    return np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist()
 
 
 OUTPUTS = (
@@ -155,33 +203,52 @@ OUTPUTS = (
 )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000, null_items: bool = True) -> DataFrame:
     """The columns ``id_cols`` of each row, and what is hit in its text.
 
     ``n_words``, ``n_hit``; ``items``: ids, as sorted strings, of items with occurring windows;
     ``spans``: [start, end) in code points of each longest run of hit words.
     """
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    items = benchmark if null_items else benchmark.where(col(item_col).isNotNull())
+    blocks = item_blocks(items, item_col, item_text_col, block_words, window)
+    numbers = sorted(r["block"] for r in blocks.select("block").distinct().collect())
     rows = docs.select(*[col(c) for c in id_cols if c != text_col], col(text_col).cast("binary").alias("__text"), *[col(text_col)] * (text_col in id_cols))
-    place = rows.columns.index("__text")
     fields = [f for f in rows.schema.fields if f.name != "__text"]
+    shared = None
+    if len(numbers) > 1:
+        texts, passes = rows.select(F.md5("__text").alias("digest"), "__text").where("__text IS NOT NULL"), []
+        for number in numbers:
+            block = shared_block(blocks, number)
+            passes.append(written(block_hits(texts, block, window).dropDuplicates(["digest"]), "block-hits"))
+            block.destroy()
+        united = reduce(DataFrame.union, passes).groupBy("digest").agg(F.flatten(F.collect_list("edges")).alias("__edges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__items"))
+        united = written(united, "hits").withColumnRenamed("digest", "__digest")
+        rows = rows.join(united, F.md5("__text") == F.col("__digest"), "left").drop("__digest")
+    else:
+        shared = shared_block(blocks, numbers[0] if numbers else None)
+    place = {c: i for i, c in enumerate(rows.columns)}
+    kept_places = [place[f.name] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [SuffixAutomaton([(item, words_of(text)) for item, text in block], window) for block in shared.value]
+        automaton = SuffixAutomaton([(item, words.split()) for item, words in shared.value], window) if shared else None
         for batch in batches:
             n_words, n_hit, found, spans = [], [], [], []
-            for value in batch.column(place):
+            for i, value in enumerate(batch.column(place["__text"])):
                 text = value.as_buffer().to_pybytes() if value.is_valid else b""
                 words = words_of(text)
                 hit, items = np.zeros(len(words), bool), set()
-                for automaton in automata:
+                if automaton:
                     automaton.feed(words, hit, items)
+                else:
+                    edges = batch.column(place["__edges"])[i].as_py() or []
+                    for start, end in zip(edges[::2], edges[1::2], strict=True):
+                        hit[start:end] = True
+                    items.update(batch.column(place["__items"])[i].as_py() or ())
                 n_words.append(len(words))
                 n_hit.append(int(hit.sum()))
-                found.append(sorted(items))
-                spans.append(hit_spans(text, hit) if items else [])
-            kept = [batch.column(i) for i in range(batch.num_columns) if i != place]
+                found.append(sorted(items - {None}))
+                spans.append(hit_spans(text, hit) if n_hit[-1] else [])
+            kept = [batch.column(i) for i in kept_places]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
                 names=[*[f.name for f in fields], *[n for n, _ in OUTPUTS]],
@@ -193,7 +260,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("
 def hit_spans(text: bytes, hit: np.ndarray) -> list[list[int]]:
     """[start, end) in code points of each longest run of hit words."""
     places = [m.span() for m in WORD_TEXT.finditer(text.decode("utf-8", "replace"))]
-    edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist()
+    edges = run_edges(hit)
     return [[places[a][0], places[b - 1][1]] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
@@ -225,7 +292,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_items=False)
     return found.select(
         "doc_id",
         "n_words",
