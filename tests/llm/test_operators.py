@@ -272,20 +272,83 @@ def test_decontamination_cases(spark, block_words):
 # line dedup
 
 
+def plain_runs(docs, min_words=20):
+    """(id, start, end, words, kept id) of each run to remove, by plain loops over ``(id, text)``."""
+    found, least = [], {}
+    for number, (doc_id, text) in enumerate(docs):
+        seen = set()
+        for at, (start, end, words, norm) in enumerate(linededup.Cutter()(text or "")):
+            found.append((number, doc_id, at, start, end, words, norm, norm in seen))
+            seen.add(norm)
+            rank = (doc_id is None, doc_id or 0)
+            least[norm] = min(least.get(norm, rank), rank)
+    counts = {}
+    for f in found:
+        counts[f[6]] = counts.get(f[6], 0) + 1
+    out, run = set(), []
+    for f in [*found, None]:
+        gone = f and counts[f[6]] > 1 and (f[7] or (f[1] is None, f[1] or 0) != least[f[6]])
+        if run and not (gone and f[0] == run[-1][0] and f[2] == run[-1][2] + 1):
+            if sum(r[5] for r in run) >= min_words:
+                null, kept = least[run[0][6]]
+                out.add((run[0][1], run[0][3], run[-1][4], sum(r[5] for r in run), None if null else kept))
+            run = []
+        if gone:
+            run.append(f)
+    return out
+
+
+def line_runs(docs, **options):
+    return {(r["id"], r["start"], r["end"], r["words"], r["kept_id"]) for r in linededup.repeats(docs, **options).collect()}
+
+
 def test_line_repeats_cases(spark):
     line = " ".join(f"word{i}" for i in range(30))
-    rows = [(2, f"short\n{line}\nend"), (1, line.upper() + "!"), (3, line + "\n" + line), (None, line), (4, None), (5, ""), (3, line + "\n" + line)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit(1), "first": F.lit(2)})
-    got = {(r["id"], r["start"], r["kept_id"], r["kept_start"]) for r in linededup.repeats(docs).collect()}
+    commas = ",".join(f"w{i}" for i in range(30))
+    rows = [(2, f"short\n{line}\nend {commas}"), (1, line.upper() + "!"), (3, line + "\n" + line), (None, line + commas), (4, None), (5, ""), (3, line + "\n" + line), (6, commas), (7, "x " * 60_000), (8, "no repeat here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("digest", "gone", "at", "h1", "version", "row", "owner", "__gone")})
+    got = line_runs(docs)
+    assert got == plain_runs(rows)
     n = len(line)
-    assert got == {(2, 6, 1, 0), (3, 0, 1, 0), (3, n + 1, 1, 0), (None, 0, 1, 0)}
+    assert {(2, 6, 6 + n, 30, 1), (3, 0, n * 2 + 1, 60, 1)} <= got and any(g[0] == 6 for g in got)
     clean = linededup.without_repeats(docs)
     texts = {r["doc_id"]: (r["text"], [tuple(s) for s in r["kept_spans"]]) for r in clean.collect()}
-    assert texts[2] == ("short\nend", [(0, 6), (n + 7, n + 10)]) and texts[3] == ("", []) and texts[4] == (None, [])
-    assert clean.where("doc_id = 1").first()["text"] == line.upper() + "!"
+    assert texts[2][0].startswith("short\n\nend w0") and texts[2][1][0] == (0, 6) and texts[3] == ("", []) and texts[4] == (None, []) and texts[5] == ("", [])
+    assert clean.columns == [*docs.columns, "kept_spans"] and clean.where("doc_id = 1").first()["text"] == line.upper() + "!"
     assert linededup.repeats(clean.where("doc_id IS NOT NULL").drop("kept_spans")).isEmpty() and linededup.repeats(docs.limit(0)).isEmpty()
 
 
+def test_line_repeats_of_one_id_with_two_texts(spark):
+    line, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, f"{line} x\n{line} y"), (1, f"{line} z"), (2, f"{other}\n{line}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert line_runs(docs) == plain_runs(rows)
+    left = {r["text"] for r in linededup.without_repeats(docs).collect()}
+    assert f"{line} z" in left and len(left) == 3
+
+
+def test_passages_in_the_middle_of_lines_are_found(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) + rng.choice(["", "", "", "", ",", "."]) for _ in range(n)]
+    wrap = lambda words, width: "".join(w + ("\n" if i % width == width - 1 else " ") for i, w in enumerate(words))
+    rows, places = [], {}
+    for k in range(60):
+        passage = prose(rng.randint(51, 80))
+        for j in range(3):
+            before, after = prose(rng.randint(0, 120)), prose(rng.randint(0, 120))
+            rows.append((len(rows), wrap(before, 40) + " ".join(passage) + " " + wrap(after, 40)))
+            places[len(rows) - 1] = (len(wrap(before, 40)), len(wrap(before, 40) + " ".join(passage)), j > 0)
+    clean = [(len(rows) + i, wrap(prose(200), 12)) for i in range(60)]
+    docs = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    got = line_runs(docs)
+    assert got == plain_runs(rows + clean)
+    share = lambda i: sum(max(0, min(e, places[i][1]) - max(s, places[i][0])) for d, s, e, _, _ in got if d == i) / (places[i][1] - places[i][0])
+    later = [share(i) for i, (_, _, repeat) in places.items() if repeat]
+    assert np.mean([x >= 0.5 for x in later]) >= 0.9 and np.mean(later) >= 0.7
+    assert not any(share(i) for i, (_, _, repeat) in places.items() if not repeat) and not any(d >= len(rows) for d, *_ in got)
+
+
 # top-k
 
 
