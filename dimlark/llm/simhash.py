@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, table, written
@@ -62,15 +62,15 @@ def simhash64(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id, fp)`` for each row: no shuffle, whole texts."""
-    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
+    """``(id, version, fp)`` for each row, with the text's hash as ``version``: no shuffle, whole texts."""
+    rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("version"), col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash64(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [simhash64(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "version", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, version long, fp long")
 
 
 def block_ranges(blocks: int) -> list[tuple[int, int]]:
@@ -137,74 +137,112 @@ def forest(bucket: np.ndarray, fps: np.ndarray, pivots: np.ndarray, max_bits: in
     return root
 
 
-def links(distinct: DataFrame, *, max_bits: int = 4, pivots: int = 16, tile_rows: int = 4096) -> DataFrame:
-    """``distinct(fp)`` -> ``(a, b)``: links that join all fingerprints within ``max_bits`` of each other."""
-    keys = distinct.select("fp", F.explode(meeting_keys(F.col("fp"), max_bits)).alias("key"))
-    hot = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).select("key", F.ceil(F.col("n") / tile_rows).alias("chunks")), "hot-keys")
+def tiled(keys: DataFrame, by: str, node: str, tile_rows: int, weight: str | None = None) -> DataFrame:
+    """``keys`` sorted by ``by`` and ``tile`` within tasks; every two rows of a key meet in some tile.
+
+    A key of more than ``tile_rows`` rows (or so much of ``weight``) is cut into chunks by a hash of
+    ``node``, and every two chunks share a tile.
+    """
+    size = F.sum(weight) if weight else F.count("*")
+    hot = written(keys.groupBy(by).agg(size.alias("n")).where(F.col("n") > tile_rows).select(by, F.ceil(F.col("n") / tile_rows).alias("chunks")), "hot-keys")
     n_hot = hot.count()
+    columns = [c for c in keys.columns if c != by]
     if n_hot:
-        keys = keys.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+        keys = keys.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, by, "left")
+        mine = F.pmod(F.xxhash64(node), F.col("chunks"))
         met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.least(k, mine) * F.col("chunks") + F.greatest(k, mine))
-        keys = keys.select("key", "fp", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met)).alias("tile"))
+        tile = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met))
     else:
-        keys = keys.select("key", "fp", F.lit(0).cast("long").alias("tile"))
+        tile = F.lit(0).cast("long")
+    return keys.select(by, tile.alias("tile"), *columns).repartition(by, "tile").sortWithinPartitions(by, "tile")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by their first two columns, key and tile, in tables that part no bucket; each row's bucket, as a number."""
+    held: list[pa.RecordBatch] = []
+    ends = lambda batch, i: (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+
+    def told() -> tuple[np.ndarray, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        key, tile = (rows.column(i).to_numpy() for i in (0, 1))
+        return np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]) - 1, rows
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, tile = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        change = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
+        if len(change):
+            held.append(batch.slice(0, change[-1] + 1))
+            yield told()
+            held, batch = [], batch.slice(change[-1] + 1)
+        elif held and ends(held[-1], -1) != ends(batch, 0):
+            yield told()
+            held = []
+        held.append(batch)
+    if held:
+        yield told()
+
+
+def links(distinct: DataFrame, *, max_bits: int = 4, pivots: int = 16, tile_rows: int = 4096) -> DataFrame:
+    """``distinct(fp)`` -> ``(a, b)``: links that join all fingerprints within ``max_bits`` of each other."""
+    keys = distinct.select(F.explode(meeting_keys(F.col("fp"), max_bits)).alias("key"), "fp")
     pivot_fps = pivot_fingerprints(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows; the last bucket of a batch waits for the next one."""
-        held: list[np.ndarray] = []
-
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            key, tile, fp = (np.concatenate([r[i] for r in rows]) for i in range(3))
-            new = np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]
-            root = forest(np.cumsum(new), fp.view(np.uint64), pivot_fps, max_bits)
+        for bucket, rows in whole_buckets(batches):
+            fp = rows.column(2).to_numpy()
+            root = forest(bucket, fp.view(np.uint64), pivot_fps, max_bits)
             linked = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[root[linked]]), pa.array(fp[linked])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp[root[linked]]), pa.array(fp[linked])], names=["a", "b"])
 
-        for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if not len(rows[0]):
-                continue
-            change = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            if len(change):
-                at = change[-1] + 1
-                yield found([*held, [r[:at] for r in rows]])
-                held, rows = [], [r[at:] for r in rows]
-            elif held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
-                yield found(held)
-                held = []
-            held.append(rows)
-        if held:
-            yield found(held)
-
-    return keys.select("key", "tile", "fp").repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(run, "a long, b long")
+    return tiled(keys, "key", "fp", tile_rows).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``(id, fp, component)`` for each row; component: the smallest id reachable by links."""
+    """``(id, version, fp, label, component)`` for each row.
+
+    ``component``: the smallest id reachable by links; ``label``: the least fingerprint reachable,
+    which tells groups apart whose smallest ids are equal; ``version``: the text's hash.
+    """
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     labels = components(written(links(distinct.select("fp"), max_bits=max_bits), "near-links"))
-    members = written(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "members")
-    least = written(members.groupBy("label").agg(F.min("first").alias("component")), "least")
-    by_fp = written(members.join(least, "label").select("fp", "component"), "fingerprint-components")
-    return prints.join(by_fp, "fp").select("id", "fp", "component")
+    return grouped(prints, distinct, labels, "fp")
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, once each; rows with a null id all stay."""
-    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, max_bits=max_bits), id_col)
-
-
-def kept_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id names its component in ``found(id, component)``, once each, and all with a null id."""
-    kept = written(found.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("__kept_id")).agg(F.count("*").alias("__kept_n")), "kept-ids")
-    key = col(id_col)
-    out = docs.join(kept.select("__kept_id"), key == F.col("__kept_id"), "left_semi")
-    if not kept.where(F.col("__kept_n") > 1).isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out.union(docs.where(key.isNull()))
+def grouped(prints: DataFrame, distinct: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """``prints`` with the ``label`` of each row's group and the ``component``, its smallest id."""
+    members = written(distinct.join(labels, distinct[node] == labels["node"], "left").select(node, "first", F.coalesce("label", node).alias("label")), "members")
+    least = written(members.groupBy("label").agg(F.min("first").alias("component")), "least")
+    by_node = written(members.join(least, "label").select(node, "label", "component"), "node-components")
+    return prints.join(by_node, node).select("id", "version", node, "label", "component")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near copies: see ``kept_rows``."""
+    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each ``label`` of ``found(id, version, label)``: that with the smallest id.
+
+    Null ids rank last; of rows with equal ids that with the smallest text hash stays, and of rows
+    equal in both the one whose columns hash lowest.
+    """
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "version")
+    kept = found.groupBy("label").agg(F.min(rank).alias("best"), F.count("*").alias("n")).select("best.id", "best.version", "n")
+    kept = written(kept.groupBy("id", "version").agg(F.max("n").alias("n")).select(F.xxhash64("id", "version").alias("key"), F.struct("id", "version").alias("own"), "n"), "kept-rows")
+    names = docs.columns
+    rows = docs.select(F.struct(*[col(c) for c in names]).alias("row"), col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("version"))
+    rows = rows.withColumn("at", F.xxhash64("id", "version"))
+    same = (F.col("at") == F.col("key")) & F.col("id").eqNullSafe(F.col("own.id")) & (F.col("version") == F.col("own.version"))
+    met = rows.join(kept, same)
+    # only a row of a group can stand in the table twice
+    lone = met.where("n = 1").select("row")
+    first = F.row_number().over(Window.partitionBy("at", "id", "version").orderBy(F.xxhash64("row")))
+    again = met.where("n > 1").withColumn("place", first).where("place = 1").select("row")
+    return lone.union(again).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""The near-dedup stage against brute-force Jaccard of all pairs."""
+"""Near-dedup by similarity against brute-force Jaccard of all pairs."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dimlark.llm import nearcopies
+from dimlark.llm import components, nearcopies, simhash
+from dimlark.llm.common import written
 
 
 def plain_groups(texts: dict) -> dict:
@@ -51,13 +53,44 @@ def texts():
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize(("hot", "part"), [(3, 1), (10, 2), (64, 16)])
-def test_near_copies_against_all_pairs(spark, texts, hot, part):
+@pytest.mark.parametrize("tile_shingles", [1 << 18, 300])
+def test_near_copies_against_all_pairs(spark, texts, tile_shingles, monkeypatch):
+    monkeypatch.setitem(nearcopies.similar_links.__kwdefaults__, "tile_shingles", tile_shingles)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["id"]: r["component"] for r in nearcopies.near_copies(docs, hot=hot, part=part).collect()}
+    got = {r["id"]: r["component"] for r in nearcopies.near_copies(docs).collect()}
     assert got == plain_groups(texts)
 
 
+def test_pairs_at_the_bound_are_proposed():
+    """Pairs of a similarity of 0.80 to 0.82: nearly all share a key and lie within the bits."""
+    rng = random.Random(8)
+    places = nearcopies.key_places(64, 14)
+    found = 0
+    for _ in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = base[:-13] + [f"x{rng.randrange(10**6)}" for _ in range(13)]
+        one, two = (nearcopies.shingle_hashes(" ".join(t).encode(), 5) for t in (base, other))
+        shared = len(np.intersect1d(nearcopies.set_of(one), nearcopies.set_of(two)))
+        assert 0.78 < shared / (len(one) + len(two) - shared) < 0.83
+        fps = np.stack([nearcopies.wide_simhash(h) for h in (one, two)])
+        coordinates = nearcopies.block_coordinates(fps, places)
+        found += bool((coordinates[0] == coordinates[1]).any()) and int(np.bitwise_count((fps[0] ^ fps[1]).view(np.uint64)).sum()) <= 44
+    assert found >= 394
+
+
+def test_large_buckets_and_groups_in_tiles(spark):
+    """A hot bucket cut into tiles joins what plain loops join."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, (6, 192), dtype=np.uint8)
+    bits = np.concatenate([b ^ (rng.random((80, 192)) < 0.1) for b in base])
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    df = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fps)], "sig long, f0 long, f1 long, f2 long")
+    label = lambda rows: components.components(written(rows, "test-links")).collect()
+    for tile_rows in (4096, 16):
+        groups = {r["node"]: r["label"] for r in label(nearcopies.loose_links(df, keys=64, key_bits=14, max_bits=44, tile_rows=tile_rows))}
+        assert groups == {i: i // 80 * 80 for i in range(480)}
+
+
 def test_stage_against_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -67,7 +100,19 @@ def test_stage_against_all_pairs(spark, sf):
 
 
 def test_stage_cases(spark):
-    docs = spark.createDataFrame([(2, "a b", "x"), (1, "A  b", "y"), (1, "A  b", "y"), (None, "a b", "z"), (None, None, "z"), (3, None, "x"), (4, "", "x")], "doc_id long, text string, sig string")
-    got = nearcopies.deduplicated(docs).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(1, "A  b", "y"), (None, "a b", "z"), (None, None, "z"), (3, None, "x")], key=str)
+    rows = [(2, "a b", "x"), (1, "A  b", "y"), (1, "A  b", "y"), (None, "a b", "z"), (None, None, "z"), (3, None, "x"), (4, "", "x"), (None, "c d", "v"), (None, "C d", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sig string").withColumns({c: F.lit(1) for c in ("id", "version", "label", "row", "key", "own", "n", "first_row", "at")})
+    got = nearcopies.deduplicated(docs)
+    assert got.columns == docs.columns
+    left = [tuple(r)[:3] for r in got.collect()]
+    assert {r for r in left if r[0] is not None} == {(1, "A  b", "y"), (3, None, "x")} and len(left) == 3
     assert nearcopies.deduplicated(docs.where(F.lit(False))).isEmpty()
+
+
+@pytest.mark.parametrize("module", [simhash, nearcopies])
+def test_repeated_ids_lose_no_text(spark, module):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    for rows in ([(5, "a"), (5, "b"), (5, "a")], [(5, "a"), (3, "b"), (5, "b")]):
+        docs = spark.createDataFrame([(i, words(c)) for i, c in rows], "doc_id long, text string")
+        left = sorted((r["doc_id"], r["text"][0]) for r in module.deduplicated(docs).collect())
+        assert left == ([(5, "a"), (5, "b")] if rows[1][0] == 5 else [(3, "b"), (5, "a")])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from dimlark.llm import components, decontam, langid, license_scan, linededup, mixing, queries, secrets, simhash, topk, urlfilter, warc
 from dimlark.llm.common import written
+from tests.llm.test_nearcopies import plain_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: extra columns named like inner or output columns of the operators
@@ -541,8 +542,7 @@ def test_pipeline_stages(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     known = seen["language id"]
     assert len(known) >= 0.99 * len(texts)
-    groups = plain_components({i: plain_fingerprint(t) for i, t in known.items()}, 4)
-    assert set(seen["simhash near-dedup"]) == set(groups.values())
+    assert set(seen["simhash near-dedup"]) == set(plain_groups(known).values())
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert all(h == 0 for _, h, _ in plain_hits(list(seen["benchmark decontamination"].items()), items, 10).values())
     assert not any(plain_spans(t) for t in seen["secret scan"].values())
