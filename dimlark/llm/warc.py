@@ -12,7 +12,8 @@ its file. Files and byte ranges are rows of a table and never gathered on the dr
 Cases: a null payload is an empty one. Of records with equal payloads of ``min_bytes`` or more,
 that with the smallest id is the response, and rows that repeat this id are responses too; the
 others revisit it. Rows with a null id revisit it as well, or are responses when no row of that
-payload has an id. A null or unprintable URL is left out or percent-encoded.
+payload has an id. A null or unprintable URL is left out or percent-encoded. Headers may be of
+any length: what begins like a WARC record is decoded up to its blank line.
 """
 
 from __future__ import annotations
@@ -115,12 +116,13 @@ def header_at(source, place: int) -> tuple[dict[str, str], zlib._Decompress, byt
 
     None if the bytes there are no gzip member, or the member is no WARC record.
     """
-    decoder, out, at = zlib.decompressobj(GZIP), b"", place
+    decoder, out, at, looked = zlib.decompressobj(GZIP), bytearray(), place, 0
     try:
-        while b"\r\n\r\n" not in out:
+        while out.find(b"\r\n\r\n", looked) < 0:
+            looked = max(0, len(out) - 3)
             source.seek(at)
             piece = source.read(CHUNK)
-            if not piece or decoder.eof or len(out) > CHUNK:
+            if not piece or decoder.eof:
                 return None
             out += decoder.decompress(piece)
             at += len(piece)
@@ -128,6 +130,7 @@ def header_at(source, place: int) -> tuple[dict[str, str], zlib._Decompress, byt
                 return None
     except zlib.error:
         return None
+    out = bytes(out)
     top, _, rest = out.partition(b"\r\n\r\n")
     lines = top.decode("utf-8", "replace").split("\r\n")[1:]
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
