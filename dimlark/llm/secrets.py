@@ -8,10 +8,14 @@ candidates' whole texts only. Rules without a mandatory trigram, such as hex str
 over every text.
 
 A posting's document is a hash of its id, so a collision or a repeated id only adds a
-candidate, which is then verified. Spans are [start, end) in code points.
+candidate, which is then verified. Texts stay where they are read: the candidates, a number and
+a bit mask each, go to them by broadcast as long as there are ``BROADCAST_CANDIDATES`` at most;
+only beyond that are texts shuffled to meet them. Spans are [start, end) in code points.
 
 Cases: a null text is an empty one and has no spans. Null ids are scanned like others. Matches
-of one kind never overlap; spans of several kinds may, and order by start, then by rule.
+of one kind never overlap; spans of several kinds may, and order by start, then by rule. A
+column ``spans`` of the input is replaced. Very many matches in one text cost their number to
+the power of one and a half at most.
 """
 
 from __future__ import annotations
@@ -54,6 +58,9 @@ RULES = BASE_RULES + MORE_RULES
 Query = list[list[frozenset[str]]]
 #: So many literal strings are followed side by side.
 STRINGS = 64
+#: Candidates of 16 bytes that are broadcast, some 100 MB as Spark's hashed relation.
+BROADCAST_CANDIDATES = 2_000_000
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def trigram_query(pattern: str) -> Query:
@@ -126,23 +133,42 @@ def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     return low.select(F.explode(found).alias("gram"), "doc")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it: within blocks, then over blocks, as each append copies its array."""
+
+    def fold(items: Column, amount) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct((a["sum"] + amount(x)).alias("sum"), F.array_append(a["out"], a["sum"]).alias("out")))
+
+    def of(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(xs)), width), lambda at: fold(F.slice(xs, at, width), lambda x: x))
+        return let(blocks, lambda parts: F.flatten(F.zip_with(parts, fold(parts, lambda p: p["sum"])["out"], lambda p, base: F.transform(p["out"], lambda x: x + base))))
+
+    return let(numbers, of)
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """The rule's matches: structs of start, order, end and kind."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("size"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("part"),
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
 
-    def add(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.length(p["part"]) >= max(1, rule.least), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def spans(found: Column) -> Column:
+        before = sums_before(F.transform(found, lambda p: p["gap"] + F.coalesce(p["size"], F.lit(0))))
+        placed = F.zip_with(found, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), p["size"].alias("size"), p["part"].alias("part")))
+        counted = F.filter(placed, lambda p: p["part"] >= max(1, rule.least))
+        return F.transform(counted, lambda p: F.struct(p["start"].alias("start"), F.lit(order).alias("rank"), (p["start"] + p["size"]).alias("end"), F.lit(rule.kind).alias("kind")))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])
+    return let(parts, spans).cast(SPANS)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -156,15 +182,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kee
     if indexed:
         index = postings(docs.select(F.xxhash64(col(id_col)).alias("doc"), text.alias("text")), grams)
         met = index.groupBy("doc").agg(F.collect_set("gram").alias("grams"))
-        chosen = F.array_compact(F.array(*[F.when(holds(queries[k], F.col("grams")), F.lit(k)) for k in indexed]))
-        candidates = written(met.select(F.col("doc").alias("candidate"), chosen.alias("kinds")).where(F.size("kinds") > 0), "secret-candidates")
-        rows = rows.join(candidates.hint("shuffle_hash"), F.col("doc") == F.col("candidate"), "left")
+        bits = [F.when(holds(queries[k], F.col("grams")), F.lit(1 << i)).otherwise(0) for i, k in enumerate(indexed)]
+        candidates = written(met.select(F.col("doc").alias("candidate"), sum(bits[1:], bits[0]).alias("kinds")).where(F.col("kinds") > 0), "secret-candidates")
+        near = F.broadcast(candidates) if candidates.count() <= BROADCAST_CANDIDATES else candidates
+        rows = rows.join(near, F.col("doc") == F.col("candidate"), "left")
     else:
-        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+        rows = rows.withColumn("kinds", F.lit(0))
+    none = F.array().cast(SPANS)
     found = []
     for order, rule in enumerate(rules):
-        chosen = F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), rule.kind) if rule.kind in indexed else F.lit(True)
+        chosen = F.coalesce("kinds", F.lit(0)).bitwiseAND(F.lit(1 << indexed.index(rule.kind))) > 0 if rule.kind in indexed else F.lit(True)
         found.append(F.when(chosen & F.col("text").rlike(rule.pattern), rule_spans(F.col("text"), rule, order)).otherwise(none))
     spans = F.array_sort(F.concat(*found))
     return rows.select(*[F.col("row")[c].alias(c) for c in names if c.lower() != "spans"], spans.alias("spans"))
@@ -177,14 +204,14 @@ def told(spans: Column) -> Column:
 
 def without_secrets(text: Column, spans: Column, mark: str) -> Column:
     """The text with ``mark`` in place of its spans; spans that overlap share one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    whole = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
 
-    def cut(a: Column, s: Column) -> Column:
-        apart = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.when(s["start"] >= a["at"], apart).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def leave(a: Column, s: Column) -> Column:
+        gap = F.struct(a["at"].alias("start"), s["start"].alias("end"))
+        return F.struct(F.when(s["start"] >= a["at"], F.array_append(a["out"], gap)).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    done = F.aggregate(spans, start, cut)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    left = F.aggregate(spans, whole, leave, lambda a: F.array_append(a["out"], F.struct(a["at"].alias("start"), F.length(text).alias("end"))))
+    return F.array_join(F.transform(left, lambda p: F.substring(text, p["start"] + 1, p["end"] - p["start"])), mark)
 
 
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "<SECRET>", rules: tuple[Rule, ...] = RULES) -> DataFrame:
