@@ -8,17 +8,20 @@ start, so only stretches of known words are streamed.
 
 Items are packed into blocks of at most ``block_words`` words, longer items in overlapping
 pieces, as a written table. Each block has its own automaton, and one automaton at a time is in
-a task: documents pass block after block, and the hits of a text, found by its digest, are
-united. The number of passes follows the benchmark; with one block nothing is shuffled.
+a Python worker, which builds it once and keeps it for its next task: documents pass block after
+block, and the hits of a text, found by its digest, are united. The number of passes follows the
+benchmark; with one block nothing is shuffled.
 
 Cases: null and empty texts have no words; an item without words has no window. Items with
 the same id count once. Items with a null id hit, but have no id to list; ``op6_decontamination``
 leaves them out, as its SQL does. Repeated documents are judged alike. An empty benchmark hits nothing.
+Columns among ``id_cols`` that are named like outputs are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -171,11 +174,25 @@ def shared_block(blocks: DataFrame, number: int | None):
     return blocks.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in rows])
 
 
+#: The automaton that this Python worker built last, by its block's name.
+BUILT: dict[str, SuffixAutomaton] = {}
+
+
+def automaton_of(name: str, shared, window: int) -> SuffixAutomaton:
+    """The block's automaton, built once in a worker; that of another block goes first."""
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = SuffixAutomaton([(item, words.split()) for item, words in shared.value], window)
+    return BUILT[name]
+
+
 def block_hits(texts: DataFrame, shared, window: int) -> DataFrame:
     """``texts(digest, text)`` -> ``(digest, edges, items)`` of those that the block hits; edges: starts and ends of runs of hit words."""
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton([(item, words.split()) for item, words in shared.value], window)
+        automaton = automaton_of(name, shared, window)
         for batch in batches:
             digests, edges, found = [], [], []
             for digest, value in zip(batch.column(0), batch.column(1), strict=True):
@@ -203,7 +220,7 @@ OUTPUTS = (
 )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 500_000, null_items: bool = True) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 250_000, null_items: bool = True) -> DataFrame:
     """The columns ``id_cols`` of each row, and what is hit in its text.
 
     ``n_words``, ``n_hit``; ``items``: ids, as sorted strings, of items with occurring windows;
@@ -212,6 +229,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("
     items = benchmark if null_items else benchmark.where(col(item_col).isNotNull())
     blocks = item_blocks(items, item_col, item_text_col, block_words, window)
     numbers = sorted(r["block"] for r in blocks.select("block").distinct().collect())
+    id_cols = tuple(c for c in id_cols if c.lower() not in {n for n, _ in OUTPUTS})
     rows = docs.select(*[col(c) for c in id_cols if c != text_col], col(text_col).cast("binary").alias("__text"), *[col(text_col)] * (text_col in id_cols))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     shared = None
@@ -226,11 +244,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_cols: tuple[str, ...] = ("
         rows = rows.join(united, F.md5("__text") == F.col("__digest"), "left").drop("__digest")
     else:
         shared = shared_block(blocks, numbers[0] if numbers else None)
-    place = {c: i for i, c in enumerate(rows.columns)}
+    place, name = {c: i for i, c in enumerate(rows.columns)}, uuid.uuid4().hex
     kept_places = [place[f.name] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton([(item, words.split()) for item, words in shared.value], window) if shared else None
+        automaton = automaton_of(name, shared, window) if shared else None
         for batch in batches:
             n_words, n_hit, found, spans = [], [], [], []
             for i, value in enumerate(batch.column(place["__text"])):
