@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents fall into ``blocks`` hash blocks for each source. A source's target in words is met
+Documents fall into hash blocks for each source, 4,096 or as many as hold some ``BLOCK_ROWS`` rows. A source's target in words is met
 by whole passes over its blocks and a partial one, which takes blocks in a permuted order and
 cuts the last block's last document. That fixes a quota of block draws for each source.
 
@@ -12,8 +12,9 @@ block draws are permuted once, and the shards take disjoint runs of them. Within
 documents are ordered by a hash.
 
 Everything is DataFrame work: totals are partial aggregates, windows run within a block or
-over one row for each block of a source (``blocks`` at most), and the tree holds one number
-for each source and shard. All is repeatable for the same rows.
+over one row for each block of a source, and the tree holds one number for each source and
+shard, so sources may be many thousands, but not a good part of the rows. All is repeatable for
+the same rows.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source of its own,
 weighed last; rows with equal ids share a block. Sources of size 0 have target 0. An empty
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE_RUN, col, table, written
 
 LEAST_SHARDS = 64
+LEAST_BLOCKS, BLOCK_ROWS = 4096, 4096
 INTERNAL = ("size", "source_size", "target", "taken", "draws")
 
 
@@ -116,7 +118,7 @@ def mixed(
     repeats: int = 2,
     shards: int | None = None,
     words_per_shard: int = 1 << 26,
-    blocks: int = 4096,
+    blocks: int | None = None,
     seed: int = 20,
 ) -> DataFrame:
     """For each row its id, the columns ``keep``, and what the mix takes of it.
@@ -124,8 +126,10 @@ def mixed(
     ``size``, ``source_size``, ``target``, ``taken`` in words; ``draws``: structs of ``shard``,
     ``place`` (order within the shard) and ``words``, one for each time the mix takes it.
     ``shards`` is a power of two; by default 64, or as many as keep a shard's words at
-    ``words_per_shard`` or fewer.
+    ``words_per_shard`` or fewer. ``blocks`` of a source follow the number of rows likewise.
     """
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, 1 << math.ceil(math.log2(max(1.0, docs.count() / BLOCK_ROWS))))
     key = F.coalesce(F.concat(F.lit("s"), col(source_col).cast("string")), F.lit("n"))
     name = F.concat(F.lit("doc "), F.coalesce(col(id_col).cast("string"), F.lit("")))
     others = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in INTERNAL]
@@ -156,7 +160,7 @@ def mixed(
     plan = written(planned.join(placed, ["key", "block"], "left").select("key", "block", "source_size", "target", "full", "extra", "shards"), "mix-draws")
     within = Window.partitionBy("key", "block").orderBy("order", "name", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("extra") - F.coalesce(F.col("ahead"), F.lit(0))))
-    out = rows.withColumn("ahead", F.sum("size").over(within)).join(plan, ["key", "block"]).withColumn("cut", cut)
+    out = rows.withColumn("ahead", F.sum("size").over(within)).join(plan.hint("merge"), ["key", "block"]).withColumn("cut", cut)
     draws = F.filter(
         F.transform(
             F.coalesce("shards", F.array().cast("array<int>")),
@@ -172,13 +176,14 @@ def shard_rows(mix: DataFrame, *, text_col: str = "text") -> DataFrame:
     """A row for each draw, dealt to its shard's task and in the shard's order.
 
     ``text_col`` of a document that a shard takes in part is cut to its first ``words`` words,
-    which a single space then parts.
+    which a single space then parts. Columns ``shard``, ``place`` and ``words`` are replaced.
     """
-    others = [c for c in mix.columns if c != "draws"]
-    rows = mix.select(*[col(c) for c in others], F.explode("draws").alias("draw"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(col(text_col), F.lit(NON_SPACE_RUN), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), " ")
-    text = F.when(F.col("draw.words") < F.col("size"), cut).otherwise(col(text_col))
-    rows = rows.select(*[(text if c == text_col else col(c)).alias(c) for c in others], F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"), F.col("draw.words").alias("words"))
+    others = [c for c in mix.columns if c.lower() not in ("draws", "shard", "place", "words")]
+    rows = mix.select(F.struct(*[col(c) for c in others]).alias("row"), F.explode("draws").alias("draw"))
+    text, size = F.col("row").getField(text_col), F.col("row").getField("size")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(NON_SPACE_RUN), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), " ")
+    text = F.when(F.col("draw.words") < size, cut).otherwise(text)
+    rows = rows.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in others], F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"), F.col("draw.words").alias("words"))
     return rows.repartition("shard").sortWithinPartitions("shard", "place")
 
 
