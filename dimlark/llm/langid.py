@@ -2,12 +2,14 @@
 
 A text is a TF-IDF vector of hashed byte n-grams (two and three bytes, letters only, lower
 case), scaled to length one. Each language has up to ``clusters`` centroids, from spherical
-k-means over a bounded sample of its labelled rows. A text gets the language of the centroid
-with the highest cosine, and is rejected when that cosine is below the centroid's floor.
+k-means over a bounded sample of its labelled rows; centroids of very few rows are left out. A
+text gets the language of the centroid with the highest cosine. Short texts have few n-grams and
+so low cosines: a text is rejected when its cosine is below the floor for its number of distinct
+n-grams, which the sample gives for each power of two.
 
-Fitting is bounded: at most ``fit_rows`` labelled rows for each language (those with the
-lowest hashes of the id), and at most ``max_languages`` languages. Prediction covers every
-row and every byte of its text, in one pass without a shuffle.
+Fitting is bounded: at most ``fit_rows`` labelled rows for each language (those with the lowest
+hashes of the id), of which only n-gram counts are gathered. Prediction covers every row and
+every byte of its text, in one pass without a shuffle.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Without any
 training row every text is ``und``. Ties go to the language that sorts first. Repeated rows
@@ -41,7 +43,7 @@ ROWS_AT_ONCE = 256
 
 @dataclass(frozen=True)
 class LangModel:
-    """``centroids[i]`` stands for ``languages[i]``; a cosine under ``floors[i]`` is rejected."""
+    """``centroids[i]`` stands for ``languages[i]``; ``floors[b]``: the least cosine of texts of 2**b distinct n-grams or more."""
 
     languages: tuple[str, ...]
     centroids: np.ndarray
@@ -70,21 +72,40 @@ def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def spherical_kmeans(x: np.ndarray, clusters: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of length one and each row's centroid; starts are chosen farthest first."""
-    starts = [int(np.argmax(x @ x.mean(axis=0)))]
-    nearest = x @ x[starts[0]]
-    while len(starts) < min(clusters, len(x)):
-        starts.append(int(np.argmin(nearest)))
-        nearest = np.maximum(nearest, x @ x[starts[-1]])
-    centroids = x[starts].copy()
+def spherical_kmeans(x: np.ndarray, clusters: int, rounds: int = 12, least: float = 0.01) -> np.ndarray:
+    """Centroids of length one, without those that own less than ``least`` of the rows.
+
+    Starts are spread evenly from the most to the least typical row.
+    """
+    typical = np.argsort(-(x @ x.mean(axis=0)), kind="stable")
+    k = min(clusters, len(x))
+    centroids = x[typical[[int((i + 0.5) * len(x) / k) for i in range(k)]]].copy()
     for _ in range(rounds):
         owner = np.argmax(x @ centroids.T, axis=1)
-        for k in range(len(centroids)):
-            if (mine := x[owner == k]).size:
+        for i in range(k):
+            if (mine := x[owner == i]).size:
                 mean = mine.mean(axis=0)
-                centroids[k] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    return centroids, np.argmax(x @ centroids.T, axis=1)
+                centroids[i] = mean / max(float(np.linalg.norm(mean)), 1e-9)
+    owned = np.bincount(np.argmax(x @ centroids.T, axis=1), minlength=k)
+    return centroids[owned >= max(1, least * len(x))]
+
+
+def size_bands(counts: np.ndarray) -> np.ndarray:
+    """For each row of counts: the power of two of its distinct n-grams."""
+    return np.log2(np.maximum(1, np.count_nonzero(counts, axis=1))).astype(np.int64)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return at.astype("<i4").tobytes() + counts[at].astype("<i4").tobytes()
+
+
+def unpacked(rows: list[bytes], buckets: int) -> np.ndarray:
+    out = np.zeros((len(rows), buckets), np.int64)
+    for i, row in enumerate(rows):
+        at, n = np.frombuffer(row, "<i4").reshape(2, -1)
+        out[i, at] = n
+    return out
 
 
 def fit(
@@ -96,57 +117,62 @@ def fit(
     buckets: int = 4096,
     clusters: int = 4,
     fit_rows: int = 1500,
-    max_languages: int = 256,
-    slack: float = 0.25,
+    low: float = 0.01,
+    slack: float = 0.6,
 ) -> LangModel:
     """Fit on at most ``fit_rows`` rows of each language; ``buckets`` is a power of two.
 
-    A centroid's floor is ``slack`` times the lowest cosine among the sample rows it owns.
+    The floor of a size is ``slack`` times the ``low`` quantile of the cosines of the sample's rows
+    of that size with their own language, and no higher than that of larger sizes.
     """
     rows = train.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    empty = LangModel((), np.zeros((0, buckets), np.float32), np.zeros(0), np.ones(buckets, np.float32))
-    if not sizes:
-        return empty
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * fit_rows / n + 20 / n))])
-    order = Window.partitionBy("lang").orderBy(hash01(F.col("id")), "id", "text")
-    sample = written(
-        rows.where(hash01(F.col("id")) <= F.coalesce(F.element_at(share, F.col("lang")), F.lit(-1.0)))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= fit_rows)
-        .select("id", "lang", "text"),
-        "langid-sample",
-    )
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
+    empty = LangModel((), np.zeros((0, buckets), np.float32), np.zeros(32), np.ones(buckets, np.float32))
+    share = 1.3 * fit_rows / F.col("n") + 20 / F.col("n")
+    order = Window.partitionBy("lang").orderBy(hash01(F.col("id")), "id", "version")
+    sample = rows.withColumn("version", F.xxhash64("text")).join(sizes, "lang").where(hash01(F.col("id")) <= share)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [packed(ngram_counts(t, buckets)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["lang", "id", "version", "grams"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    sample = sample.select("lang", "id", "version", "text").mapInArrow(counted, f"lang string, id {kind}, version long, grams binary")
+    sample = written(sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_rows).select("lang", "id", "version", "grams"), "langid-sample")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(buckets, np.int64), 0
         for pdf in batches:
-            for text in pdf["text"]:
-                seen += ngram_counts(text, buckets) > 0
+            for row in pdf["grams"]:
+                seen[np.frombuffer(row, "<i4").reshape(2, -1)[0]] += 1
                 n += 1
         yield pd.DataFrame({"bucket": np.r_[np.arange(buckets), -1], "n": np.r_[seen, n]})
 
-    df = {r["bucket"]: r["n"] for r in sample.select("text").mapInPandas(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    df = {r["bucket"]: r["n"] for r in sample.select("grams").mapInPandas(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     total = df.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(buckets)], dtype=np.float32)
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "text"])
-        x = unit_rows(np.stack([ngram_counts(t, buckets) for t in pdf["text"]]), idf)
-        x = x[x.any(axis=1)]
-        if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "floor": []})
-        c, owner = spherical_kmeans(x, clusters)
-        low = [float((x[owner == k] @ c[k]).min()) if (owner == k).any() else 0.0 for k in range(len(c))]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c), "floor": [slack * v for v in low]})
-
-    got = sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, floor double").collect()
-    got.sort(key=lambda r: (r["lang"], -r["floor"]))
+        counts = unpacked(pdf.sort_values(["id", "version"])["grams"].tolist(), buckets)
+        counts = counts[counts.any(axis=1)]
+        if not len(counts):
+            return pd.DataFrame({"lang": [], "centroid": [], "lows": []})
+        x, bands = unit_rows(counts, idf), size_bands(counts)
+        found = spherical_kmeans(x, clusters)
+        cosines = (x @ found.T).max(axis=1)
+        lows = [float(np.quantile(cosines[bands == b], low)) if (bands == b).any() else 1.0 for b in range(32)]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(found), "lows": [lows] * len(found)})
+
+    got = sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, lows array<double>").collect()
+    got.sort(key=lambda r: (r["lang"], r["centroid"]))
     if not got:
         return empty
-    return LangModel(tuple(r["lang"] for r in got), np.array([r["centroid"] for r in got], np.float32), np.array([r["floor"] for r in got]), idf)
+    lows = np.min([r["lows"] for r in got], axis=0)
+    floors = slack * np.minimum.accumulate(lows[::-1])[::-1]
+    return LangModel(tuple(r["lang"] for r in got), np.array([r["centroid"] for r in got], np.float32), floors, idf)
 
 
 def judge(texts: list[str | None], model: LangModel) -> tuple[list[str], np.ndarray, list[bool]]:
@@ -155,11 +181,12 @@ def judge(texts: list[str | None], model: LangModel) -> tuple[list[str], np.ndar
     known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
     for at in range(0, len(known), ROWS_AT_ONCE):
         part = known[at : at + ROWS_AT_ONCE]
-        cosines = unit_rows(np.stack([ngram_counts(texts[i], len(model.idf)) for i in part]), model.idf) @ model.centroids.T
-        best = np.argmax(cosines, axis=1)
-        for i, k, row in zip(part, best, cosines, strict=True):
+        counts = np.stack([ngram_counts(texts[i], len(model.idf)) for i in part])
+        cosines = unit_rows(counts, model.idf) @ model.centroids.T
+        best, bands = np.argmax(cosines, axis=1), size_bands(counts)
+        for i, k, row, band in zip(part, best, cosines, bands, strict=True):
             langs[i], scores[i] = model.languages[k], min(1.0, max(0.0, float(row[k])))
-            rejected[i] = bool(scores[i] < model.floors[k])
+            rejected[i] = bool(scores[i] < model.floors[band])
     return langs, scores, rejected
 
 
