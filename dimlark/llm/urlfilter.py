@@ -6,8 +6,10 @@ costs more the longer it is. A multinomial naive Bayes model then scores the hos
 path's words. It learns from all pages: those whose host or path has a seed word count as
 blocked, the others as allowed, so words that keep company with the seeds count against a URL.
 
-The two models are bounded: at most ``vocabulary`` words each, the most frequent ones. Counting
-is by partial aggregates; judging is one pass without a shuffle.
+The dictionary of the splits holds the ``vocabulary`` most frequent words, ties in alphabetical
+order, and the seeds: a model of bounded size. The Bayes model is a table with a row for each
+feature that any page has, none left out; the features of distinct hosts and paths meet it by a
+join, and their log odds are summed.
 
 Cases: a URL that is null or has no ``://`` has an empty host and path and no words, and so the
 verdict of the larger class. Equal rules: block wins. Repeated rows are judged alike. Without
@@ -50,11 +52,11 @@ def path_of(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """``words``: log probabilities; ``odds``: log odds of block for each feature; ``prior`` likewise."""
+    """``words``: log probabilities; ``odds(feature, odds)``: log odds of block for each feature; ``prior`` likewise."""
 
     words: dict[str, float]
     unknown: float
-    odds: dict[str, float]
+    odds: DataFrame
     prior: float
 
 
@@ -97,20 +99,21 @@ def features(host: list[str], path: list[str]) -> list[str]:
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
-    """Rows with the largest ``n``, ``most`` at most: all whose n reaches a bar that few enough reach.
+    """The ``most`` rows of ``counts(word, n)`` with the largest ``n``, ties by word.
 
-    The bar comes from a histogram of eighths of powers of two, so only rows that are kept, and
-    one row for each step of the histogram, come to the driver.
+    A histogram of eighths of powers of two tells which steps fit whole; only the step that does
+    not is sorted. What comes to the driver is what is kept, and a row for each step.
     """
     counts = written(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "counts")
     steps = sorted((r["step"], r["rows"]) for r in counts.groupBy("step").agg(F.count("*").alias("rows")).collect())
-    bar, room = None, most
+    kept, room = [], most
     for step, rows in reversed(steps):
+        if rows > room:
+            part = counts.where(F.col("step") == step).orderBy(F.desc("n"), "word").limit(room)
+            return counts.where(F.col("step").isin(kept)).collect() + part.collect()
+        kept.append(step)
         room -= rows
-        if room < 0:
-            break
-        bar = step
-    return counts.where(F.col("step") >= bar).drop("step").collect() if bar is not None else []
+    return counts.collect()
 
 
 def word_counts(pages: DataFrame, text_col: str, vocabulary: int) -> dict[str, int]:
@@ -149,13 +152,15 @@ def fit(pages: DataFrame, *, url_col: str = "url", text_col: str = "html", vocab
             yield told()
 
     tallies = urls.mapInArrow(run, "blocked boolean, feature string, n long").groupBy("feature").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    rows = most_frequent(tallies, vocabulary)
-    pages_of = next((r for r in rows if r["feature"] == ""), None)
-    rows = [r for r in rows if r["feature"]]
-    bad, good = sum(r["bad"] for r in rows), sum(r["n"] - r["bad"] for r in rows)
-    odds = {r["feature"]: math.log((r["bad"] + 0.5) / (bad + 0.5 * len(rows))) - math.log((r["n"] - r["bad"] + 0.5) / (good + 0.5 * len(rows))) for r in rows}
-    prior = math.log(pages_of["bad"] + 0.5) - math.log(pages_of["n"] - pages_of["bad"] + 0.5) if pages_of else -1.0
-    return UrlModel(words, unknown, odds if bad else {}, prior if bad else -1.0)
+    tallies = written(tallies, "url-tallies")
+    own = tallies.where("feature <> ''")
+    bad, n, kinds = own.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    pages_of = tallies.where("feature = ''").first()
+    if not bad:
+        return UrlModel(words, unknown, own.limit(0).select("feature", F.lit(0.0).alias("odds")), -1.0)
+    odds = F.log((F.col("bad") + 0.5) / (bad + 0.5 * kinds)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n - bad + 0.5 * kinds))
+    prior = math.log(pages_of["bad"] + 0.5) - math.log(pages_of["n"] - pages_of["bad"] + 0.5)
+    return UrlModel(words, unknown, own.select("feature", odds.alias("odds")), prior)
 
 
 def rule_index(rules: tuple[tuple[str, str, str], ...]) -> dict[str, list[tuple[str, str]]]:
@@ -180,27 +185,31 @@ def ruled(host: str, path: str, index: dict[str, list[tuple[str, str]]]) -> tupl
 
 
 def judged(pages: DataFrame, model: UrlModel, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """``id, host, path, rule, verdict, score`` (log odds of block) and ``words`` for each row."""
-    shared = pages.sparkSession.sparkContext.broadcast((model.words, model.unknown, model.odds, model.prior, rules))
+    """``id, host, path, rule, verdict, score`` (log odds of block, to nine places) and ``words`` for each row."""
+    shared = pages.sparkSession.sparkContext.broadcast((model.words, model.unknown, rules))
     rows = pages.select(col(id_col).alias("id"), host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unknown, odds, prior, listed = shared.value
+        words, unknown, listed = shared.value
         split, index = Segmenter(words, unknown), rule_index(listed)
         for batch in batches:
-            rule, verdict, scores, told = [], [], [], []
+            rule, verdict, told, found = [], [], [], []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h, p = split(host), split(path)
-                score = prior + sum(odds.get(f, 0.0) for f in features(h, p))
-                hit = ruled(host, path, index)
-                rule.append(hit[0] if hit else None)
-                verdict.append(hit[1] if hit else BLOCK if score > 0 else ALLOW)
-                scores.append(score)
+                hit = ruled(host, path, index) or (None, None)
+                rule.append(hit[0])
+                verdict.append(hit[1])
                 told.append(" ".join(h))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(scores, pa.float64()), pa.array(told, pa.string())], names=["id", "host", "path", "rule", "verdict", "score", "words"])
+                found.append(features(h, p))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(told, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["id", "host", "path", "rule", "listed", "words", "features"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, score double, words string")
+    split = written(rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, listed string, words string, features array<string>").withColumn("key", F.xxhash64("host", "path")), "url-words")
+    held = split.select("key", "features").dropDuplicates(["key"]).select("key", F.explode("features").alias("feature"))
+    scores = held.join(model.odds, "feature").groupBy("key").agg(F.round(F.sum("odds") + model.prior, 9).alias("score"))
+    score = F.coalesce("score", F.lit(model.prior))
+    found = split.join(scores, "key", "left").withColumn("score", score)
+    return found.select("id", "host", "path", "rule", F.coalesce("listed", F.when(score > 0, BLOCK).otherwise(ALLOW)).alias("verdict"), "score", "words")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
