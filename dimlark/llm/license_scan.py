@@ -1,13 +1,15 @@
 """License scans: TF-IDF cosine to templates, then inheritance down the directories.
 
-Every line of every file, and the whole text of a licence file, is compared with the templates
-by the cosine of sparse TF-IDF vectors. Document frequencies of the templates' words count all
-files; a word that no template has weighs as one that no file has. A file's own licence is
-that of the best line or text at ``threshold`` or more.
+Every line of every file, every run of ``RUNS`` lines with ``MOST_WORDS`` words or fewer (headers
+wrapped over comment lines, titles over two), and the whole text of a licence file are compared
+with the templates by the cosine of sparse TF-IDF vectors. Document frequencies of the templates'
+words count all files; a word that no template has weighs as one that no file has. A file's own
+licence is that of the best of these units at ``threshold`` or more; a bare reservation of rights
+counts only where no licence is found.
 
 Comparing is cut short without loss: a template's words are ordered by weight, and its lightest
 words, as long as their squares sum below the square of ``threshold``, can't reach it without
-one of the others. Lines with none of the others' words are not compared.
+one of the others. Units with none of the others' words are not compared.
 
 A file without a licence of its own takes that of the nearest directory above it that has a
 licence file with one. Directories, not files, are joined with their ancestors; files then
@@ -29,28 +31,49 @@ from pyspark.sql import functions as F
 
 from .common import col, table, written
 
-#: Fixed values: (licence, header or statement).
+#: Fixed values: (licence, title, header or statement).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 )
+#: Counts only where no other licence reaches the threshold.
+LAST_RESORT = "Proprietary"
+#: Numbers of lines, and the most words, of a run of lines.
+RUNS, MOST_WORDS = (2, 3, 4, 6, 8), 128
 WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)([._-][^/]*)?$"
 
@@ -107,9 +130,20 @@ def own_licenses(texts: DataFrame, is_license_file: Column, threshold: float) ->
     weights, other = word_weights(texts)
     vectors = template_vectors(weights)
     telling = r"(?<![a-z0-9.])(?:" + "|".join(re.escape(w) for w in telling_words(vectors, threshold)) + r")(?![a-z0-9])"
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("place"), line.alias("line")))
-    whole = F.when(is_license_file, F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("line")))).otherwise(F.array().cast("array<struct<place:int,line:string>>"))
-    parts = F.filter(F.concat(lines, whole), lambda p: p["line"].rlike(telling))
+    line = lambda x, i: F.struct((i * 16).alias("place"), x.alias("line"), F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("n"), x.rlike(telling).alias("telling"))
+    kind = "array<struct<place:int,line:string>>"
+
+    def units(lines: Column) -> Column:
+        def run(x: Column, i: Column, width: int) -> Column:
+            own = F.slice(lines, i + 1, width)
+            fits = (F.size(own) == width) & F.exists(own, lambda o: o["telling"]) & (F.aggregate(own, F.lit(0), lambda a, o: a + o["n"]) <= MOST_WORDS)
+            return F.when(fits, F.struct((x["place"] + width).alias("place"), F.array_join(F.transform(own, lambda o: o["line"]), "\n").alias("line")))
+
+        runs = F.transform(lines, lambda x, i: F.array(*[run(x, i, w) for w in RUNS]))
+        return F.concat(F.transform(F.filter(lines, lambda x: x["telling"]), lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"))), F.array_compact(F.flatten(runs)))
+
+    whole = F.when(is_license_file, F.array(F.struct(F.lit(-1).alias("place"), F.col("text").alias("line")))).otherwise(F.array().cast(kind))
+    parts = F.concat(F.transform(F.array(F.transform(F.split("text", "\n"), line)), units)[0].cast(kind), whole)
     # the outer forms keep Spark from testing the arrays' sizes first, by computing them once more
     passages = texts.where(F.col("text").rlike(telling)).select("path", "version", F.explode_outer(parts).alias("part")).where("part IS NOT NULL")
     words = passages.select("path", "version", F.col("part.place").alias("place"), F.explode_outer(F.regexp_extract_all(F.col("part.line"), F.lit(WORD), F.lit(0))).alias("word")).where("word IS NOT NULL")
@@ -119,8 +153,8 @@ def own_licenses(texts: DataFrame, is_license_file: Column, threshold: float) ->
     weighed = tf.join(F.broadcast(table_), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     dots = [F.sum(F.col("w") * F.coalesce(F.col("shares")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(vectors))]
     scored = weighed.groupBy("path", "version", "place").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
-    best = F.greatest(*[F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(-i).alias("i")) for i in range(len(vectors))])
-    top = scored.select("path", "version", best.alias("best")).groupBy("path", "version").agg(F.max("best").alias("best")).where(F.col("best.score") >= threshold)
+    best = F.greatest(*[F.when(F.round(F.col(f"d{i}") / F.col("norm"), 6) >= threshold, F.struct(F.lit(TEMPLATES[i][0] != LAST_RESORT).alias("named"), F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(-i).alias("i"))) for i in range(len(vectors))])
+    top = scored.select("path", "version", best.alias("best")).groupBy("path", "version").agg(F.max("best").alias("best")).where("best IS NOT NULL")
     names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
     return top.select("path", "version", F.element_at(names, 1 - F.col("best.i")).alias("licence"), F.col("best.score").alias("score"))
 
@@ -183,7 +217,7 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """DuckDB SQL of the query; every line is compared."""
+    """DuckDB SQL of the query; every unit is compared."""
     terms = ", ".join(f"({i}, '{w}', {n})" for i, words in enumerate(template_words()) for w, n in sorted(words.items()))
     names = ", ".join(f"({i}, '{name}')" for i, (name, _) in enumerate(TEMPLATES))
     match = r"'(^|/)(un)?(licen[cs]e|copying|notice)([._-][^/]*)?$', 'i'"
@@ -202,9 +236,17 @@ df AS (
   SELECT word, ln(((SELECT n FROM total) + 1)::DOUBLE / (coalesce(df.n, 0) + 1)) + 1 AS w FROM (SELECT DISTINCT word FROM t) LEFT JOIN df USING (word)
 ), tv AS (
   SELECT i, word, t.n * w / sqrt(sum(t.n * w * t.n * w) OVER (PARTITION BY i)) AS x FROM t JOIN idf USING (word)
+), counted AS (
+  SELECT doc_id, ls, [len(regexp_extract_all(x, '{WORD}')) FOR x IN ls] AS ns FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)
+), lines AS (
+  SELECT doc_id, generate_subscripts(ls, 1) AS place, unnest(ls) AS line FROM counted
 ), parts AS (
-  SELECT doc_id, generate_subscripts(ls, 1) AS place, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM f)
+  SELECT doc_id, place * 16 AS place, line FROM lines
   UNION ALL SELECT doc_id, -1, text FROM f WHERE is_lic
+  UNION ALL SELECT doc_id, place * 16 + width, array_to_string(ls[place:place + width - 1], chr(10))
+  FROM (SELECT *, list_sum([n FOR n IN ns[place:place + width - 1]]) AS words FROM
+        (SELECT doc_id, ls, ns, unnest(range(1, len(ls) + 1)) AS place FROM counted), (SELECT unnest({list(RUNS)}) AS width) WHERE place + width - 1 <= len(ls))
+  WHERE words <= {MOST_WORDS}
 ), pw AS (
   SELECT doc_id, place, word, count(*) AS tf FROM (SELECT doc_id, place, unnest(regexp_extract_all(line, '{WORD}')) AS word FROM parts) GROUP BY ALL
 ), pv AS (
@@ -213,8 +255,9 @@ df AS (
 dots AS (SELECT doc_id, place, i, sum(pv.x * tv.x) AS dot FROM pv JOIN tv USING (word) GROUP BY ALL),
 best AS (
   SELECT doc_id, i, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, place)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dot / norm, 6) DESC, i) = 1
-), own AS (SELECT doc_id, licence, score FROM best JOIN names USING (i) WHERE score >= 0.6),
+  JOIN names USING (i) WHERE round(dot / norm, 6) >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY licence <> '{LAST_RESORT}' DESC, round(dot / norm, 6) DESC, i) = 1
+), own AS (SELECT doc_id, licence, score FROM best JOIN names USING (i)),
 lic AS (
   SELECT dir, licence FROM f JOIN own USING (doc_id) WHERE is_lic
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1
