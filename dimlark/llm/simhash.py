@@ -138,7 +138,7 @@ def forest(bucket: np.ndarray, fps: np.ndarray, pivots: np.ndarray, max_bits: in
 
 
 def tiled(keys: DataFrame, by: str, node: str, tile_rows: int, weight: str | None = None) -> DataFrame:
-    """``keys`` sorted by ``by`` and ``tile`` within tasks; every two rows of a key meet in some tile.
+    """``keys`` sorted by ``by``, ``tile`` and ``node`` within tasks; every two rows of a key meet in some tile.
 
     A key of more than ``tile_rows`` rows (or so much of ``weight``) is cut into chunks by a hash of
     ``node``, and every two chunks share a tile.
@@ -154,7 +154,7 @@ def tiled(keys: DataFrame, by: str, node: str, tile_rows: int, weight: str | Non
         tile = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met))
     else:
         tile = F.lit(0).cast("long")
-    return keys.select(by, tile.alias("tile"), *columns).repartition(by, "tile").sortWithinPartitions(by, "tile")
+    return keys.select(by, tile.alias("tile"), *columns).repartition(by, "tile").sortWithinPartitions(by, "tile", node)
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
