@@ -2,18 +2,20 @@
 
 Vectors become integers, floor(scale * x). For a query, each dimension is a list of the rows
 sorted by their share of the score, best first. The lists are read from the top in step, a
-stretch at a time, once for a batch of queries. A row's lower bound is what was read of it plus the least share of each
-dimension still unread; its upper bound takes the share last read there instead. Rows whose
-upper bound lies below the k-th best lower bound cannot qualify and are left; when few are
-left, or the lists end, their scores are computed in full and the best k are kept.
+stretch at a time, once for a batch of queries. A row's lower bound is what was read of it plus
+the least share of each dimension still unread; its upper bound takes the share last read there
+instead. Rows whose upper bound lies below the k-th best lower bound cannot qualify and are
+left. When few are left, or the lists end, what is still unread of those rows completes their
+scores, in whole numbers, and the best k are kept. Vectors of many independent dimensions have no
+bound that holds before most of the lists are read, so the first stretch is a long one.
 
 Queries are a stated set, taken in blocks against blocks of rows: each pair of blocks is one
 task's group of bounded size, and only its best k of each query go on. Blocks are chosen by a
-hash of the id.
+hash of the row's number, so rows that repeat an id, or a whole vector, spread like others.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part, nor do rows
 with a null id. Only vectors of equal length are compared. A query skips rows of its own id.
-Repeated ids count as rows of their own, and ties in score go to the smaller id. Scores that
+Repeated ids count as rows of their own, as queries too, and ties in score go to the smaller id. Scores that
 64 bits cannot hold are cut to the largest or smallest that they can.
 """
 
@@ -69,7 +71,7 @@ class SortedLists:
         self.size = np.abs(self.values).max(axis=1)
 
     def top(self, query_ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
-        """(query id, row id, score) of the block's best k rows of each query."""
+        """(query's place among the queries, row id, score) of the block's best k rows of each query."""
         n, lists = len(self.ids), len(self.order)
         weights = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1).astype(self.real)
         read, unread = np.zeros((lists, n), self.real), np.ones((lists, n), self.real)
@@ -92,33 +94,33 @@ class SortedLists:
             left = upper >= np.maximum(bar - 2 * slack[waiting], np.finfo(self.real).min)[:, None]
             done = (left.sum(axis=1) <= FEW) | (begin == n)
             for i in np.flatnonzero(done):
-                out += self.resolved(int(query_ids[waiting[i]]), queries[waiting[i]], np.flatnonzero(left[i]))
+                out += self.resolved(int(waiting[i]), queries[waiting[i]], np.flatnonzero(left[i]))
             waiting = waiting[~done]
             if not len(waiting) or begin == n:
                 break
         return out
 
-    def resolved(self, query_id: int, query: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
+    def resolved(self, place: int, query: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int]]:
         """The best k of the rows by their full scores."""
         scores, ids = exact_scores(self.vectors[rows], query), self.ids[rows]
         best = sorted(zip((-scores.astype(object)).tolist(), ids.tolist(), strict=True))[: self.k]
-        return [(query_id, i, -s) for s, i in best]
+        return [(place, i, -s) for s, i in best]
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: int = 256, block_rows: int = 16_384, block_queries: int = 1_024) -> DataFrame:
     """``(query_id, rank, id, score)``: for each query row the k best other rows."""
     fits, components = whole_vector(col(vector_col), scale)
     rows = written(
-        vectors.where(fits & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("id"), components.alias("v"), F.size(col(vector_col)).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q")),
+        vectors.where(fits & col(id_col).isNotNull()).select(col(id_col).cast("long").alias("id"), components.alias("v"), F.size(col(vector_col)).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row")),
         "vectors",
     )
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
-    place = F.xxhash64("id", "v")
+    place = F.xxhash64("row")
     to_all = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sides = (
-        rows.select("id", "v", "dim", F.lit(False).alias("q"), F.pmod(place, F.lit(row_blocks)).cast("int").alias("rb"), to_all(query_blocks).alias("qb")),
-        rows.where("q").select("id", "v", "dim", "q", to_all(row_blocks).alias("rb"), F.pmod(place, F.lit(query_blocks)).cast("int").alias("qb")),
+        rows.select("row", "id", "v", "dim", F.lit(False).alias("q"), F.pmod(place, F.lit(row_blocks)).cast("int").alias("rb"), to_all(query_blocks).alias("qb")),
+        rows.where("q").select("row", "id", "v", "dim", "q", to_all(row_blocks).alias("rb"), F.pmod(place, F.lit(query_blocks)).cast("int").alias("qb")),
     )
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,11 +130,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
             lists, asked = SortedLists(own["id"].to_numpy(), np.stack(own["v"].to_numpy()), k), pdf[pdf["q"]]
             for at in range(0, len(asked), AT_ONCE):
                 part = asked.iloc[at : at + AT_ONCE]
-                out += lists.top(part["id"].to_numpy(), np.stack(part["v"].to_numpy()))
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+                rows, ids = part["row"].to_numpy(), part["id"].to_numpy()
+                out += [(rows[at], ids[at], i, s) for at, i, s in lists.top(ids, np.stack(part["v"].to_numpy()))]
+        return pd.DataFrame(out, columns=["row", "query_id", "id", "score"])
 
-    found = sides[0].union(sides[1]).where("dim > 0").groupBy("dim", "rb", "qb").applyInPandas(best, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    found = sides[0].union(sides[1]).where("dim > 0").groupBy("dim", "rb", "qb").applyInPandas(best, "row long, query_id long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id"))
     return found.select("query_id", rank.alias("rank"), "id", "score").where(F.col("rank") <= k)
 
 

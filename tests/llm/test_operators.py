@@ -251,6 +251,46 @@ def test_segmentation_is_the_best_split():
         assert cost(urlfilter.segment(name, words, unknown)) == pytest.approx(max(map(cost, splits(name))))
 
 
+def test_most_frequent_words_fill_the_bound(spark):
+    df = spark.createDataFrame([(f"w{i:03}", 7 if i < 60 else 900 + i) for i in range(70)], "word string, n long")
+    got = {r["word"] for r in urlfilter.most_frequent(df, 25)}
+    assert got == {f"w{i:03}" for i in [*range(15), *range(60, 70)]} and len(urlfilter.most_frequent(df, 100)) == 70
+    assert urlfilter.most_frequent(df.limit(0), 5) == [] and len(urlfilter.most_frequent(df.where("n = 7"), 10)) == 10
+
+
+def test_url_bayes_against_plain_tallies_and_without_seeds(spark):
+    """Words that keep company with seeds block pages without any; scores are those of a plain multinomial model."""
+    rng = random.Random(5)
+    good, bad = ["garden", "news", "river", "school", "music", "paper"], ["cheap", "instant", "bonanza", "jackpot"]
+    urls = [f"http://{rng.choice(good)}{rng.choice(good)}.example.fr/{rng.choice(good)}/{i}" for i in range(120)]
+    urls += [f"http://{rng.choice(bad)}{rng.choice(['pills', 'casino'])}.example.fr/{rng.choice(bad)}/{i}" for i in range(60)]
+    held = ["http://cheapjackpot.example.fr/instant/7", "http://gardenmusic.example.fr/news/7", "http://instantbonanza.example.fr/x", None, "no scheme", "http://" + "cheap" * 2000 + ".fr/", urls[0], urls[0]]
+    html = "<p>" + " ".join(good + bad) + "</p>"
+    train = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    pages = spark.createDataFrame(list(enumerate(held)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("key", "score", "features", "listed", "odds", "words")})
+    model = urlfilter.fit(train)
+    split = urlfilter.Segmenter(model.words, model.unknown)
+    parts = lambda u: urlfilter.features(split(re.sub(r"^.*?://([^/]*).*$", r"\1", u)), split(re.sub(r"^.*?://[^/]*", "", u)))
+    tally, classes = {True: {}, False: {}}, {True: 0, False: 0}
+    for u in urls:
+        own = parts(u)
+        blocked = any(f[2:] in urlfilter.SEEDS for f in own)
+        classes[blocked] += 1
+        for f in own:
+            tally[blocked][f] = tally[blocked].get(f, 0) + 1
+    kinds = len({*tally[True], *tally[False]})
+    share = lambda f, c: (tally[c].get(f, 0) + 0.5) / (sum(tally[c].values()) + 0.5 * kinds)
+    known = {*tally[True], *tally[False]}
+    want = lambda u: np.log((classes[True] + 0.5) / (classes[False] + 0.5)) + sum(np.log(share(f, True) / share(f, False)) for f in (parts(u) if u and "://" in u else []) if f in known)
+    got = urlfilter.judged(pages, model).collect()
+    assert len(got) == len(held)
+    for r in got:
+        assert r["score"] == pytest.approx(want(held[r["id"]]), abs=1e-6) and r["verdict"] == ("block" if r["score"] > 0 else "allow")
+    verdict = {r["id"]: r["verdict"] for r in got}
+    assert [verdict[i] for i in range(5)] == ["block", "allow", "block", "allow", "allow"] and verdict[5] == "block"
+    assert not any(s in held[0] + held[2] for s in urlfilter.SEEDS)
+
+
 def test_url_verdicts_of_seeded_hosts(spark, sf):
     got = urlfilter.op5_url_filter(spark, sf).where("rule IS NULL").collect()
     seeded = [r for r in got if any(s in r["host"] for s in ("casino", "spam", "adult", "pills", "bets", "ads-"))]
@@ -413,12 +453,21 @@ def test_top_k_against_all_pairs(spark, block_rows, block_queries):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).isEmpty()
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Rows that repeat an id and a vector spread over the blocks, and each is a query of its own."""
+    rows = [(50, [1.0, 2.0])] * 40 + [(7, [3.0, 1.0])] * 30 + [(8, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=16, block_queries=8).collect()
+    assert len(got) == 40 * 5 and all((r["query_id"], r["id"], r["score"]) == (50, 7, 256 * 256 * 5) for r in got)
+    assert sorted(r["rank"] for r in got) == sorted([1, 2, 3, 4, 5] * 40)
+
+
 def test_bounds_hold_and_prune(spark):
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(0, 40, (3000, 16))).astype(np.int64)
     lists = topk.SortedLists(np.arange(3000), x, 5)
     queries_ = np.arange(0, 3000, 300)
-    got = sorted(lists.top(queries_, x[queries_]))
+    got = sorted((queries_[at], i, s) for at, i, s in lists.top(queries_, x[queries_]))
     scores = x @ x.T
     want = []
     for q in queries_:
@@ -586,6 +635,26 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).isEmpty()
 
 
+WRAPPED = {
+    "MIT": "Copyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the \"Software\"),\nto deal in the Software without restriction, including without limitation\nthe rights to use, copy, modify, merge, publish, distribute, sublicense,\nand/or sell copies of the Software, and to permit persons to whom the\nSoftware is furnished to do so, subject to the following conditions:\n\nThe above copyright notice shall be included in all copies.",
+    "BSD-3-Clause": "Copyright 2001 The Regents. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the notice.",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n\n Everyone is permitted to copy and distribute verbatim copies",
+    "GPL-3.0": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n//\n// This program is distributed in the hope that it will be useful",
+    "LGPL-2.1": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n *",
+    "MPL-1.1": "MOZILLA PUBLIC LICENSE\n        Version 1.1\n\n 1. Definitions.",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nCREATIVE COMMONS CORPORATION IS NOT A LAW FIRM",
+    "Apache-2.0": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0",
+    "Proprietary": "Copyright 2011 A Company.\nAll rights reserved.",
+}
+
+
+def test_wrapped_headers_and_titles(spark):
+    rows = [(f"d{i}/f.c", f"int x;\n{text}\nint main() {{\n") for i, text in enumerate(WRAPPED.values())]
+    rows += [(f"e{i}/g.c", f"plain words number {i} and some more of them\nover two lines") for i in range(40)]
+    got = {r["path"]: r["licence"] for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"d{i}/f.c"] for i in range(len(WRAPPED))] == list(WRAPPED) and not any(v for k, v in got.items() if k[0] == "e")
+
+
 # pipeline
 
 
