@@ -74,7 +74,7 @@ def plus_minus(k: int) -> Callable[[Groups], Column]:
     return lambda g: F.concat(F.lit("±"), found(g(k)))
 
 
-#: In this order: earlier rules claim first.
+#: Fixed values, in this order: earlier rules claim first.
 RULES = (
     RuleSpec("THREAD", None, r"(?<![A-Za-z])M\s*\d+(?:[.,]\d+)?(?:\s*[xX×]\s*\d+(?:[.,]\d+)?)?(?:\s*-\s*[4-8][gGhH])?", whole),
     RuleSpec("THREAD", None, r"(?:\d+/\d+|#\d+)\s*-\s*\d+\s*(?:UNC|UNF|UNEF|NPT|NPTF|BSP)?", whole),

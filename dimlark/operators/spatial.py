@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 8.0
+#: A circle reaches as far as its radius, up to so many points.
+LARGEST_REACH = 25.0
 # Directions in their order, and caps of the page geometry.
 DIRECTIONS = {"n": (0, -1), "e": (1, 0), "s": (0, 1), "w": (-1, 0)}
 MAX_CIRCLES, MAX_ENDS, MAX_SEGMENTS, MAX_RECTS = 5_000, 30_000, 12_000, 4_000
@@ -129,17 +131,23 @@ def obstacles(words: DataFrame, segments: DataFrame, filled: DataFrame, least_wi
 def snapped(points: DataFrame, rings: DataFrame, ends: DataFrame, zoom: float = 1.0) -> DataFrame:
     """GEO-6: ``points(doc_id, page, id, px, py)`` -> ``sx, sy, how``: the nearest circle's centre, else the nearest line end.
 
-    Line ends meet the cells around a point by an equi-join; ties go to the earlier ``ord``.
+    Circles and line ends meet the cells around a point by equi-joins; ties go to the earlier ``ord``.
     """
     reach_c, reach_e = 9.0 / max(zoom, 0.3), 5.0 / max(zoom, 0.3)
     d2 = lambda x, y: F.pow(F.col(x) - F.col("px"), 2) + F.pow(F.col(y) - F.col("py"), 2)
     key = ["doc_id", "page", "id"]
-    near = points.join(rings, ["doc_id", "page"]).withColumn("d2", d2("cx", "cy")).where(F.col("d2") <= F.pow(F.greatest(F.lit(reach_c), F.least("r", F.lit(25.0))), 2))
+
+    def around(size: float, cells: int) -> DataFrame:
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in product(range(-cells, cells + 1), repeat=2)])
+        near = points.select("*", F.explode(steps).alias("step"))
+        return near.select(*key, "px", "py", (F.floor(F.col("px") / size) + F.col("step.i")).alias("gx"), (F.floor(F.col("py") / size) + F.col("step.j")).alias("gy"))
+
+    cell = max(reach_c, LARGEST_REACH)
+    centres = rings.withColumns({"gx": F.floor(F.col("cx") / cell), "gy": F.floor(F.col("cy") / cell)})
+    near = around(cell, 1).join(centres, ["doc_id", "page", "gx", "gy"]).withColumn("d2", d2("cx", "cy"))
+    near = near.where(F.col("d2") <= F.pow(F.greatest(F.lit(reach_c), F.least("r", F.lit(LARGEST_REACH))), 2))
     ring = near.groupBy(*key).agg(F.min(F.struct("d2", "ord", "cx", "cy")).alias("ring"))
-    cells = max(1, int(reach_e // GRID) + 1)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in product(range(-cells, cells + 1), repeat=2)])
-    around = points.select("*", F.explode(steps).alias("step")).select(*key, "px", "py", (F.floor(F.col("px") / GRID) + F.col("step.i")).alias("gx"), (F.floor(F.col("py") / GRID) + F.col("step.j")).alias("gy"))
-    met = around.join(ends, ["doc_id", "page", "gx", "gy"]).withColumn("d2", d2("x", "y")).where(F.col("d2") <= reach_e * reach_e)
+    met = around(GRID, max(1, int(reach_e // GRID) + 1)).join(ends, ["doc_id", "page", "gx", "gy"]).withColumn("d2", d2("x", "y")).where(F.col("d2") <= reach_e * reach_e)
     end = met.groupBy(*key).agg(F.min(F.struct("d2", "ord", "i", "x", "y")).alias("end"))
     out = points.join(ring, key, "left").join(end, key, "left")
     how = F.when(F.col("ring").isNotNull(), "hole center").when(F.col("end").isNotNull(), "line end")

@@ -509,7 +509,7 @@ def det_1(spark, sf_dir):
 @query("DET-2")
 def det_2(spark, sf_dir):
     """Boxes kept by non-maximum suppression; tests hold it against a plain loop."""
-    return D.suppressed(X.detections(spark, sf_dir).withColumn("doc_id", (F.col("ord") % 16).cast("string")))
+    return D.suppressed(X.detections(spark, sf_dir))
 
 
 @query(
@@ -581,10 +581,10 @@ def det_10(spark, sf_dir):
     return D.region_hits(callout_words(spark, sf_dir), regions(spark, sf_dir)).select("doc_id", "page", "cg", "tp", "v", "t")
 
 
-@query("DET-11", f"WITH {X.DETECTIONS_CTE}, hit AS (SELECT *, (cls >= 6) AS meta, (x1 - x0) * (y1 - y0) AS area FROM dets WHERE 320 BETWEEN x0 AND x1 AND 320 BETWEEN y0 AND y1 AND ord % 16 < 12), pts AS (SELECT DISTINCT doc_id FROM dets) SELECT pts.doc_id, CASE WHEN bool_or(NOT meta) THEN NULL ELSE arg_min(CASE cls WHEN 6 THEN 'gentol_block' ELSE 'note' END, area) END AS meta FROM pts LEFT JOIN hit USING (doc_id) GROUP BY pts.doc_id")
+@query("DET-11", f"WITH {X.DETECTIONS_CTE}, hit AS (SELECT *, (cls >= 6) AS meta, (x1 - x0) * (y1 - y0) AS area FROM dets WHERE 320 BETWEEN x0 AND x1 AND 320 BETWEEN y0 AND y1), pts AS (SELECT DISTINCT doc_id FROM dets) SELECT pts.doc_id, CASE WHEN bool_or(NOT meta) THEN NULL ELSE arg_min(CASE cls WHEN 6 THEN 'gentol_block' ELSE 'note' END, area) END AS meta FROM pts LEFT JOIN hit USING (doc_id) GROUP BY pts.doc_id")
 def det_11(spark, sf_dir):
     dets = X.detections(spark, sf_dir)
-    boxes = dets.where("ord % 16 < 12").withColumn("region", F.col("ord"))
+    boxes = dets.withColumn("region", F.col("ord"))
     points = dets.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(1).alias("id"), F.lit(320.0).alias("px"), F.lit(320.0).alias("py"))
     return D.meta_at(boxes, points).select("doc_id", "meta")
 
@@ -709,7 +709,7 @@ def geo_7(spark, sf_dir):
 @query("GEO-8")
 def geo_8(spark, sf_dir):
     """Balloons placed page by page, each in the way of the next; tests check that none overlaps."""
-    dets = X.detections(spark, sf_dir).withColumn("doc_id", (F.col("ord") % 16).cast("string"))
+    dets = X.detections(spark, sf_dir)
     none = F.lit(None).cast("double")
     anchors = dets.select("doc_id", "page", "ord", ((F.col("x0") + F.col("x1")) / 2).alias("ax"), ((F.col("y0") + F.col("y1")) / 2).alias("ay"), *[none.alias(c) for c in ("rx0", "ry0", "rx1", "ry1")])
     things = P.obstacles(dets.where("cls = 7"), dets.withColumn("width", F.col("conf")), dets.where("cls < 3"), 0.2)

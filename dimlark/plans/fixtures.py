@@ -191,9 +191,9 @@ WORDS_CTE = """doc_lines AS (
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box for each vector: its first eight components score eight classes, the next four place it."""
+    """A box for each vector: its first eight components score eight classes, the next four place it; 64 to a drawing."""
     e = F.transform("embedding", lambda x: x.cast("double"))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("label").cast("string").alias("doc_id"), e.alias("e"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.floor(F.col("vec_id") / 64).cast("string").alias("doc_id"), e.alias("e"))
     scores = F.slice("e", 1, 8)
     cx, cy, w, h = F.col("e")[8] * 640 + 320, F.col("e")[9] * 640 + 320, F.abs(F.col("e")[10]) * 200 + 10, F.abs(F.col("e")[11]) * 200 + 10
     return rows.select(
@@ -204,6 +204,6 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECTIONS_CTE = """dets AS (
   SELECT ord, doc_id, 0 AS page, cx - w / 2 AS x0, cy - h / 2 AS y0, cx + w / 2 AS x1, cy + h / 2 AS y1, list_max(e[1:8]) AS conf, CAST(list_position(e[1:8], list_max(e[1:8])) - 1 AS INTEGER) AS cls
-  FROM (SELECT vec_id AS ord, CAST(label AS VARCHAR) AS doc_id, e, e[9] * 640 + 320 AS cx, e[10] * 640 + 320 AS cy, abs(e[11]) * 200 + 10 AS w, abs(e[12]) * 200 + 10 AS h
+  FROM (SELECT vec_id AS ord, CAST(vec_id // 64 AS VARCHAR) AS doc_id, e, e[9] * 640 + 320 AS cx, e[10] * 640 + 320 AS cy, abs(e[11]) * 200 + 10 AS w, abs(e[12]) * 200 + 10 AS h
         FROM (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings))
 )"""

@@ -510,16 +510,16 @@ def versions(spark, sf_dir) -> DataFrame:
     led = X.ledger(spark, sf_dir).select("doc_id", "seq", "uid", "page", "measured", "sheet_row")
     history = None
     for v in range(1, 4):
-        history = L.snapshot(history, led.where(F.col("seq") <= 4 - v), v, depth=2)
+        history = L.snapshot(history, led.withColumn("measured", F.when(F.col("seq") <= 4 - v, F.col("measured"))), v, depth=2)
     return history
 
 
-@query("HIST-1", on_ledger("SELECT v AS version, count(*) AS n FROM led, (SELECT unnest([2, 3])::INTEGER AS v) WHERE seq <= 4 - v GROUP BY v"))
+@query("HIST-1", on_ledger("SELECT v AS version, count(*) AS n FROM led, (SELECT unnest([2, 3])::INTEGER AS v) GROUP BY v"))
 def hist_1(spark, sf_dir):
     return versions(spark, sf_dir).groupBy("version").agg(F.count("*").alias("n"))
 
 
-@query("HIST-2", on_ledger("SELECT doc_id, seq, measured FROM led WHERE seq <= 2"))
+@query("HIST-2", on_ledger("SELECT doc_id, seq, CASE WHEN seq <= 2 THEN measured END AS measured FROM led"))
 def hist_2(spark, sf_dir):
     return L.at_version(versions(spark, sf_dir), 1).select("doc_id", "seq", "measured")
 
@@ -533,7 +533,7 @@ def hist_3(spark, sf_dir):
 @query("SET-3", on_ledger("SELECT DISTINCT doc_id, page FROM led EXCEPT SELECT doc_id, page FROM led WHERE uid = 1"))
 def set_3(spark, sf_dir):
     led = X.ledger(spark, sf_dir)
-    return led.select("doc_id", "page").exceptAll(led.where("uid = 1").select("doc_id", "page")).distinct().join(led.where("uid = 1").select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+    return led.select("doc_id", "page").distinct().join(led.where("uid = 1").select("doc_id", "page"), ["doc_id", "page"], "left_anti")
 
 
 @query("SET-4", on_ledger("(SELECT DISTINCT doc_id, page, num::INTEGER AS base FROM nled WHERE (num <= 3) <> (num >= 3))"))
