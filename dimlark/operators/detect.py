@@ -43,6 +43,11 @@ def chosen_reader(preferred: list[str], available: list[str]) -> str | None:
     return next((name for name in preferred if name in available), None)
 
 
+def chosen_readers(preferred: Column, available: Column) -> Column:
+    """DET-13 for many pages: each row's first preferred reader that is available, or NULL."""
+    return F.try_element_at(F.array_intersect(preferred, available), F.lit(1))
+
+
 def decoded(anchors: DataFrame, classes: int, min_conf: float, has_angle: bool = False) -> DataFrame:
     """DET-1: ``doc_id, page, ord, head array<double>`` (cx, cy, w, h, class scores, angle) -> detections.
 

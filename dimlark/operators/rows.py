@@ -222,14 +222,28 @@ def pattern_rows(patterns: DataFrame, share: str | None = None) -> DataFrame:
     return out.withColumn("suffix", letter(F.col("ord")))
 
 
+def used(sb: Column, tol_sym: Column) -> Column:
+    """ROW-11: whether a scanned row starts in use: not if basic or for reference, and bare numbers only with a tolerance."""
+    kind = F.coalesce(sb, F.lit(""))
+    return ~kind.isin("BASIC", "REF", "BARE") | ((kind == "BARE") & tol_sym.isNotNull())
+
+
 def reviewed(rows: DataFrame, overrides: DataFrame, keys: tuple[str, ...] = ("doc_id", "ord")) -> DataFrame:
-    """ROW-11: ``overrides(keys, include?, any row columns)``: rows not included go, given cells replace."""
+    """ROW-11: ``overrides(keys, include?, any row columns)``: rows not included go, given cells replace.
+
+    Where ``include`` is not given, rows with ``sb`` and ``tol_sym`` are in if ``used`` says so, others
+    are in. A given type brings its group, unless that is given too.
+    """
     fields = [c for c in overrides.columns if c not in (*keys, "include")]
-    over = overrides.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields], *(["include"] if "include" in overrides.columns else []))
+    over = overrides.select(*keys, *[F.col(c).alias(f"__{c}") for c in fields], *([F.col("include").alias("__include")] if "include" in overrides.columns else []))
     joined = rows.join(over, list(keys), "left")
-    if "include" in over.columns:
-        joined = joined.where(F.coalesce("include", F.lit(True)))
-    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in fields}).select(*rows.columns)
+    start = used(F.col("sb"), F.col("tol_sym")) if {"sb", "tol_sym"} <= set(rows.columns) else F.lit(True)
+    joined = joined.where(F.coalesce("__include", start) if "__include" in over.columns else start)
+    cells = {c: F.coalesce(f"__{c}", c) for c in fields}
+    if "type" in fields and "group" in rows.columns and "group" not in fields:
+        own = F.coalesce(*[F.when(F.col("__type") == t, F.lit(g)) for t, g in GROUP_OF.items()])
+        cells["group"] = F.coalesce(own, "group")
+    return joined.withColumns(cells).select(*rows.columns)
 
 
 def accepted(rows: DataFrame, first_uid: Column, iso_on: bool = False, conf: EngineConf = EngineConf()) -> DataFrame:

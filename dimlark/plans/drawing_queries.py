@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from ..operators import rows as R
 from ..operators import scan as C
 from ..operators import spatial as P
 from ..schema import CATEGORIES, EngineConf
-from ..sources import labels, session, sheet
+from ..sources import labels, scratch, session, sheet
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -157,13 +160,14 @@ def scan_4(spark, sf_dir):
     return hits(spark, sf_dir).groupBy("tp", "sb").agg(F.count("*").alias("n"))
 
 
-@query("SCAN-3", f"WITH {HITS_SQL} SELECT CAST(id AS VARCHAR) AS doc_id, tp, v, t, 0.0::DOUBLE AS x0, 6.0 * length(CASE WHEN id % 8 = 1 THEN replace(text, ' THRU', '') WHEN id % 8 = 3 THEN text || ' ' ELSE text END)::DOUBLE AS x1 FROM hits WHERE id % 8 <> 6")
+@query("SCAN-3", f"WITH {HITS_SQL} SELECT CAST(id AS VARCHAR) AS doc_id, tp, v, t, 0.0::DOUBLE AS x0, 6.0 * length(CASE id % 8 WHEN 1 THEN replace(text, ' THRU', '') WHEN 3 THEN text || ' ' WHEN 6 THEN raw ELSE text END)::DOUBLE AS x1 FROM hits")
 def scan_3(spark, sf_dir):
     """Callouts as lines of placed words; a hit has the rectangle of its words."""
-    rows = healed(spark, sf_dir).where("id % 8 <> 6")
-    ends = F.aggregate(F.split("text", " "), F.array().cast("array<int>"), lambda a, w: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.length(w)))
+    rows = healed(spark, sf_dir)
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    ends = F.aggregate(words, F.array().cast("array<int>"), lambda a, w: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.length(w)))
     rect = lambda e, w: F.struct(((e - F.length(w)) * 6).cast("double").alias("x0"), F.lit(0.0).alias("y0"), (e * 6).cast("double").alias("x1"), F.lit(10.0).alias("y1"))
-    toks = F.zip_with(F.split("text", " "), ends, lambda w, e: F.struct(w.alias("t"), rect(e, w).alias("r")))
+    toks = F.zip_with(words, ends, lambda w, e: F.struct(w.alias("t"), rect(e, w).alias("r")))
     lines = rows.select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("cg"), toks.alias("toks"))
     return C.parse_lines(lines).select("doc_id", "tp", "v", "t", F.col("rect.x0").alias("x0"), F.col("rect.x1").alias("x1"))
 
@@ -312,11 +316,17 @@ def row_10(spark, sf_dir):
     return R.extras(holes).select("id", "ord", "feature", "nominal", "error")
 
 
-@query("ROW-11", f"WITH {ROWS_SQL} SELECT id, CASE WHEN id % 10 = 1 THEN 'edited' ELSE feature END AS feature FROM made WHERE id % 10 <> 2")
+@query(
+    "ROW-11",
+    f"""WITH {ROWS_SQL} SELECT id, CASE WHEN id % 10 = 1 THEN 'edited' ELSE feature END AS feature, CASE WHEN id % 10 IN (1, 3) THEN 'slot / rowek' ELSE type END AS type, CASE WHEN id % 10 IN (1, 3) THEN 'positions / pozycje' ELSE "group" END AS "group"
+    FROM made WHERE CASE id % 10 WHEN 1 THEN true WHEN 2 THEN false ELSE id % 8 NOT IN (2, 4, 5) END""",
+)
 def row_11(spark, sf_dir):
-    rows = made_rows(spark, sf_dir)
-    over = rows.where("id % 10 IN (1, 2)").select("id", (F.col("id") % 10 == 1).alias("include"), F.lit("edited").alias("feature"))
-    return R.reviewed(rows, over, ("id",)).select("id", "feature")
+    """Rows as they start in use, some edited, put in or taken out; threads stand for basic, radii for bare and chamfers for reference values."""
+    k, e = F.col("id") % 8, F.col("id") % 10
+    rows = made_rows(spark, sf_dir).withColumn("sb", F.when(k == 2, "BASIC").when((k == 4) | (k == 3), "BARE").when(k == 5, "REF").otherwise(F.col("sb")))
+    over = rows.where(e.isin(1, 2, 3)).select("id", F.when(e < 3, e == 1).alias("include"), F.when(e == 1, "edited").alias("feature"), F.when(e != 2, "slot / rowek").alias("type"))
+    return R.reviewed(rows, over, ("id",)).select("id", "feature", "type", "group")
 
 
 def scanned_items(spark, sf_dir) -> DataFrame:
@@ -399,11 +409,17 @@ def fil_11(spark, sf_dir):
     return X.detections(spark, sf_dir).where(D.kind_of(F.col("cls")) != "meta").select("ord", "cls")
 
 
-@query("FIL-17", f"WITH {X.WORDS_CTE} SELECT doc_id, line, word FROM words WHERE regexp_matches(length(text)::VARCHAR || CASE WHEN word % 3 = 0 THEN '' ELSE ',5' END, '^[0-9]{{1,5}}(?:[.,][0-9]+)?$') AND NOT regexp_matches(text, '[0-9]') AND word < 3")
+@query(
+    "FIL-17",
+    """WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, unnest([0, 1, 2, 3, 4]) AS word, unnest([CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) AS VARCHAR), CAST(year(l_shipdate) AS VARCHAR), CAST(l_linenumber - 1 AS VARCHAR), replace(CAST(CAST(l_quantity AS DECIMAL(12, 1)) AS VARCHAR), '.', ','), l_returnflag || l_linenumber]) AS token FROM lineitem)
+    SELECT doc_id, line, word, token FROM t WHERE regexp_matches(token, '^[0-9]{1,5}([.,][0-9]+)?$') AND token <> '0' AND NOT regexp_matches(token, '^(19|20)[0-9][0-9]$')""",
+)
 def fil_17(spark, sf_dir):
-    """Bare numbers among made tokens."""
-    token = F.concat(F.length("text").cast("string"), F.when(F.col("word") % 3 == 0, "").otherwise(",5"))
-    return X.words(spark, sf_dir).where(C.is_bare_number(token) & ~F.col("text").rlike("[0-9]") & (F.col("word") < 3)).select("doc_id", "line", "word")
+    """Bare numbers among the prices, years, places, amounts and flags of line items."""
+    n, text = F.col("l_linenumber"), lambda c, kind: F.col(c).cast(kind).cast("string")
+    tokens = F.array(text("l_extendedprice", "decimal(12,2)"), F.year("l_shipdate").cast("string"), (n - 1).cast("string"), F.replace(text("l_quantity", "decimal(12,1)"), F.lit("."), F.lit(",")), F.concat("l_returnflag", n.cast("string")))
+    rows = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("line"), F.posexplode_outer(tokens).alias("word", "token"))
+    return rows.where(C.is_bare_number(F.col("token")))
 
 
 @query("FIL-18", X.on_ledger("SELECT doc_id, seq, CASE WHEN x BETWEEN 0 AND 300 AND y BETWEEN 0 AND 400 THEN x END AS px FROM led"))
@@ -485,11 +501,11 @@ def lin_12(spark, sf_dir):
     return N.scan_words(callout_words(spark, sf_dir), True).select("doc_id", "page", "ord", "cg", "tp", "sb", "v", "t", F.col("rect.x0").alias("x0"), F.col("rect.y1").alias("y1"))
 
 
-@query("AGG-5", f"WITH {HITS_SQL} SELECT CAST(id // 20 AS VARCHAR) AS doc_id, 0 AS page, tp || ':' || v AS key, 'old' AS side FROM hits h WHERE id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM hits o WHERE o.id // 20 = h.id // 20 AND o.id % 5 <> 0 AND o.tp = h.tp AND o.v = h.v)")
+@query("AGG-5", f"WITH {HITS_SQL}, k AS (SELECT CAST(id // 20 AS VARCHAR) AS doc_id, tp || ':' || v AS key, CASE WHEN id % 5 = 0 THEN 'old' ELSE 'new' END AS side FROM hits) SELECT doc_id, 0 AS page, key, side FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.key = k.key AND o.side <> k.side)")
 def agg_5(spark, sf_dir):
-    """Callouts of every fifth part that no other of the drawing shows."""
+    """Every fifth part is the old scan of a drawing, the others the new one: callouts that only one shows."""
     rows = hits(spark, sf_dir).select("id", F.floor(F.col("id") / 20).cast("string").alias("doc_id"), F.lit(0).alias("page"), "tp", "v")
-    return C.differential(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0")).where("side = 'old'")
+    return C.differential(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"))
 
 
 # detections
@@ -506,9 +522,19 @@ def det_1(spark, sf_dir):
     return D.decoded(rows.withColumn("head", F.concat(box, F.slice("e", 1, 8))), 8, 0.05).select("ord", "x0", "y0", "x1", "y1", "conf", "cls")
 
 
-@query("DET-2")
+NMS_SQL = f"""WITH RECURSIVE {X.DETECTIONS_CTE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cls ORDER BY conf DESC, ord) AS rn FROM dets), fold AS (
+  SELECT ord, doc_id, cls, rn, true AS keep, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM ranked WHERE rn = 1
+  UNION ALL
+  SELECT ord, doc_id, cls, rn, NOT hit AS keep, CASE WHEN hit THEN kept ELSE list_append(kept, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) END AS kept FROM (
+    SELECT r.*, f.kept, len([1 FOR k IN f.kept IF greatest(0, least(k.x1, r.x1) - greatest(k.x0, r.x0)) * greatest(0, least(k.y1, r.y1) - greatest(k.y0, r.y0))
+      >= 0.45::DOUBLE * ((k.x1 - k.x0) * (k.y1 - k.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - greatest(0, least(k.x1, r.x1) - greatest(k.x0, r.x0)) * greatest(0, least(k.y1, r.y1) - greatest(k.y0, r.y0)))]) > 0 AS hit
+    FROM fold f JOIN ranked r ON r.doc_id = f.doc_id AND r.cls = f.cls AND r.rn = f.rn + 1))
+SELECT doc_id, page, ord, x0, y0, x1, y1, conf, cls FROM dets WHERE ord IN (SELECT ord FROM fold WHERE keep)"""
+
+
+@query("DET-2", NMS_SQL)
 def det_2(spark, sf_dir):
-    """Boxes kept by non-maximum suppression; tests hold it against a plain loop."""
+    """Boxes kept by non-maximum suppression; tests hold it against a plain loop too."""
     return D.suppressed(X.detections(spark, sf_dir))
 
 
@@ -581,6 +607,39 @@ def det_10(spark, sf_dir):
     return D.region_hits(callout_words(spark, sf_dir), regions(spark, sf_dir)).select("doc_id", "page", "cg", "tp", "v", "t")
 
 
+class BrightSpot:
+    """A reader without weights: an image of 8 by 8 shades, of which it boxes the pixels above a tenth."""
+
+    def load(self) -> None:
+        self.x, self.y = np.tile(np.arange(8), 8), np.repeat(np.arange(8), 8)
+
+    def read_regions(self, pages: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in pages:
+            out = []
+            for ord_, image in zip(pdf["ord"], pdf["image"], strict=True):
+                at = np.flatnonzero(np.asarray(image) > 0.1)
+                if len(at):
+                    out.append((ord_, self.x[at].min(), self.y[at].min(), self.x[at].max() + 1, self.y[at].max() + 1, float(np.max(image))))
+            yield pd.DataFrame(out, columns=["ord", "x0", "y0", "x1", "y1", "conf"])
+
+
+@query("DET-5", "WITH b AS (SELECT vec_id AS ord, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), p AS (SELECT ord, e, [i FOR i IN range(0, 64) IF e[i + 1] > 0.1::DOUBLE] AS hot FROM b) SELECT ord, list_min([i % 8 FOR i IN hot])::INTEGER AS x0, list_min([i // 8 FOR i IN hot])::INTEGER AS y0, list_max([i % 8 FOR i IN hot])::INTEGER + 1 AS x1, list_max([i // 8 FOR i IN hot])::INTEGER + 1 AS y1, list_max(e) AS conf FROM p WHERE len(hot) > 0")
+def det_5(spark, sf_dir):
+    """A reader over pages, here one that needs no weights; each vector is a small image."""
+    pages = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.transform("embedding", lambda x: x.cast("double")).alias("image"))
+    return D.read_with(pages, BrightSpot(), "ord long, x0 int, y0 int, x1 int, y1 int, conf double")
+
+
+@query("DET-13", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_nationkey % 2 = 1 THEN 'vlm' WHEN c_nationkey % 5 > 1 THEN 'ocr' END WHEN 1 THEN CASE WHEN c_nationkey % 5 > 1 THEN 'ocr' WHEN c_nationkey % 2 = 1 THEN 'vlm' END ELSE CASE WHEN c_nationkey % 5 > 1 THEN 'ocr' END END AS reader FROM customer")
+def det_13(spark, sf_dir):
+    """Each customer's first preferred reader among those at hand."""
+    words = lambda *names: F.array(*[F.lit(n) for n in names])
+    k, n = F.col("c_custkey") % 3, F.col("c_nationkey")
+    preferred = F.when(k == 0, words("vlm", "ocr")).when(k == 1, words("ocr", "vlm")).otherwise(words("other", "ocr"))
+    at_hand = F.array_compact(F.array(F.when(n % 2 == 1, "vlm"), F.when(n % 5 > 1, "ocr"), F.lit("text")))
+    return X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), D.chosen_readers(preferred, at_hand).alias("reader"))
+
+
 @query("DET-11", f"WITH {X.DETECTIONS_CTE}, hit AS (SELECT *, (cls >= 6) AS meta, (x1 - x0) * (y1 - y0) AS area FROM dets WHERE 320 BETWEEN x0 AND x1 AND 320 BETWEEN y0 AND y1), pts AS (SELECT DISTINCT doc_id FROM dets) SELECT pts.doc_id, CASE WHEN bool_or(NOT meta) THEN NULL ELSE arg_min(CASE cls WHEN 6 THEN 'gentol_block' ELSE 'note' END, area) END AS meta FROM pts LEFT JOIN hit USING (doc_id) GROUP BY pts.doc_id")
 def det_11(spark, sf_dir):
     dets = X.detections(spark, sf_dir)
@@ -762,6 +821,33 @@ def io_6(spark, sf_dir):
     return docs.select("doc_id", F.json_array_length(F.get_json_object("json", "$.ledger")).cast("long").alias("n_rows"), F.get_json_object("json", "$.uid_seq").cast("long").alias("uid_seq"))
 
 
+DEFAULTS = {"radius": 9, "font": "mono", "places": {"1": 0.2, "2": 0.1}}
+SETTINGS_SQL = """SELECT id, p.k AS name, p.v AS value FROM (SELECT c_custkey AS id, unnest(CASE c_custkey % 4
+    WHEN 1 THEN [{'k': 'radius', 'v': c_nationkey::VARCHAR}, {'k': 'font', 'v': 'mono'}, {'k': 'places.1', 'v': c_nationkey::VARCHAR}, {'k': 'places.2', 'v': '0.1'}, {'k': 'places.3', 'v': NULL}]
+    WHEN 2 THEN [{'k': 'radius', 'v': '9'}, {'k': 'font', 'v': c_name}, {'k': 'places', 'v': '5'}, {'k': 'extra', 'v': '{"a":1}'}]
+    ELSE [{'k': 'radius', 'v': '9'}, {'k': 'font', 'v': 'mono'}, {'k': 'places.1', 'v': '0.2'}, {'k': 'places.2', 'v': '0.1'}] END) AS p FROM customer)"""
+
+
+def settings(spark, sf_dir) -> DataFrame:
+    """Settings of customers: broken, partly given, with a section replaced, empty."""
+    k = F.col("c_custkey") % 4
+    given = F.when(k == 0, "{nonsense").when(k == 1, F.format_string('{"radius": %d, "places": {"1": %d, "3": null}}', "c_nationkey", "c_nationkey")).when(k == 2, F.concat(F.lit('{"font": "'), "c_name", F.lit('", "places": 5, "extra": {"a": 1}}'))).otherwise("{}")
+    return X.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), session.merged_settings(given, DEFAULTS).alias("settings"))
+
+
+@query("IO-7", SETTINGS_SQL)
+def io_7(spark, sf_dir):
+    return settings(spark, sf_dir).select("id", F.explode("settings").alias("name", "value"))
+
+
+@query("IO-8", SETTINGS_SQL)
+def io_8(spark, sf_dir):
+    """The same written and read back."""
+    path = scratch.new_folder(spark, "settings")
+    session.write_settings(settings(spark, sf_dir), path)
+    return session.read_settings(spark, path).select("id", F.explode("settings").alias("name", "value"))
+
+
 HEADER_SQL = ", ".join(f"('{c}', {i})" for i, c in enumerate(sheet.HEADER))
 
 

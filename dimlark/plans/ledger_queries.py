@@ -9,7 +9,7 @@ from ..functions import pyfmt, verdict
 from ..operators import ledger as L
 from ..operators import rows as R
 from ..schema import FIRST_ROW, LAST_ROW
-from ..sources import sheet
+from ..sources import scratch, sheet
 from . import fixtures as X
 from .fixtures import on_judged, on_ledger
 
@@ -380,6 +380,26 @@ def io_12(spark, sf_dir):
     return sheet.cells(numbered(spark, sf_dir)).select("doc_id", "seq", "a_text", "e_num", "f_num", "l_num", "l_text")
 
 
+@query("IO-9", on_ledger("SELECT doc_id, count(*) AS n_rows, 0::BIGINT AS n_before FROM led GROUP BY doc_id"))
+def io_9(spark, sf_dir):
+    """A sheet made empty, filled, and left alone by being made once more."""
+    path, led = scratch.new_folder(spark, "sheet"), numbered(spark, sf_dir)
+    sheet.ensure_sheet(led, path)
+    before = spark.read.parquet(path).count()
+    sheet.write_sheet(led, path)
+    sheet.ensure_sheet(led, path)
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.lit(before).cast("long").alias("n_before"))
+
+
+@query("IO-14", on_judged("SELECT doc_id, seq, bubble AS a_text, nominal AS e_num, mnum AS l_num, sheet_row FROM judged"))
+def io_14(spark, sf_dir):
+    """A whole sheet saved over an earlier one and read back."""
+    path, led = scratch.new_folder(spark, "sheet"), numbered(spark, sf_dir)
+    sheet.write_sheet(led.where("page = 0"), path)
+    sheet.write_sheet(led, path)
+    return spark.read.parquet(path).select("doc_id", "seq", "a_text", "e_num", "l_num", "sheet_row")
+
+
 @query("IO-13", on_ledger("SELECT doc_id, sheet_row FROM led WHERE sheet_row IS NOT NULL AND uid <> 1"))
 def io_13(spark, sf_dir):
     led = X.ledger(spark, sf_dir)

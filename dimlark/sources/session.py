@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import migrated
@@ -61,3 +61,39 @@ def write_config(spark: SparkSession, path: str, config: dict) -> None:
     import json
 
     spark.range(1).select(F.lit(json.dumps(config)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def merged_settings(own: Column, defaults: dict) -> Column:
+    """IO-7 for many settings at once: JSON texts over the defaults -> map of ``name`` or ``section.name`` to a value's text.
+
+    Sections, which are the dictionaries of the defaults, merge one level deep; one that is given
+    as something else is replaced. NULL and what can't be read leave the defaults.
+    """
+    none = F.create_map().cast("map<string,string>")
+    read = lambda text: F.coalesce(F.from_json(text, "map<string,string>"), none)
+    over = lambda base, more: F.map_zip_with(base, more, lambda k, a, b: F.when(F.map_contains_key(more, k), b).otherwise(a))
+    literal = lambda pairs: F.create_map(*[F.lit(v if i == 0 or isinstance(v, str) else str(v)) for pair in pairs for i, v in enumerate(pair)]).cast("map<string,string>")
+    sections = {k: v for k, v in defaults.items() if isinstance(v, dict)}
+    given = read(own)
+    is_section = lambda text: F.coalesce(text.startswith("{"), F.lit(False))
+    merged = over(literal([(k, v) for k, v in defaults.items() if k not in sections]), F.map_filter(given, lambda k, v: ~(k.isin(*sections) & is_section(v))))
+
+    def section(name: str) -> Column:
+        text = F.try_element_at(given, F.lit(name))
+        inner = F.transform_keys(read(F.when(is_section(text), text)), lambda k, _: F.concat(F.lit(f"{name}."), k))
+        base = literal([(f"{name}.{k}", v) for k, v in sections[name].items()])
+        return F.when(F.map_contains_key(given, F.lit(name)) & ~is_section(text), none).otherwise(over(base, inner))
+
+    for name in sections:
+        merged = over(merged, section(name))
+    return merged
+
+
+def write_settings(settings: DataFrame, path: str) -> None:
+    """IO-8: ``id, settings map<string,string>`` as a line of JSON each; NULL values are written too."""
+    settings.select(F.to_json(F.struct("id", "settings"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """IO-8: what ``write_settings`` wrote; lines that can't be read are left out."""
+    return spark.read.text(path).select(F.from_json("value", "id long, settings map<string,string>").alias("s")).select("s.*").where("id IS NOT NULL")

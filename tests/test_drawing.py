@@ -56,6 +56,14 @@ SCANS = {
     "▱ 0.05 Ⓛ": [("GDT", "FLATNESS", "FLATNESS 0.05 L", "0.05")],
     "⟂ 0.2 ∥ 0.3": [("GDT", "PARALLELISM", "PARALLELISM 0.3", "0.3"), ("GDT", "PERPENDICULARITY", "PERPENDICULARITY 0.2", "0.2")],
     "⌓0.4": [("GDT", "PROFILE", "PROFILE 0.4", "0.4")],
+    "STRAIGHTNESS 0.02": [("GDT", "STRAIGHTNESS", "STRAIGHTNESS 0.02", "0.02")],
+    "◯ 0.03": [("GDT", "CIRCULARITY", "CIRCULARITY 0.03", "0.03")],
+    "ROUNDNESS 0.04": [("GDT", "CIRCULARITY", "CIRCULARITY 0.04", "0.04")],
+    "⌭ 0.01": [("GDT", "CYLINDRICITY", "CYLINDRICITY 0.01", "0.01")],
+    "∠ 0.5": [("GDT", "ANGULARITY", "ANGULARITY 0.5", "0.5")],
+    "↗ 0.06": [("GDT", "RUNOUT", "RUNOUT 0.06", "0.06")],
+    "TIR 0.07": [("GDT", "RUNOUT", "RUNOUT 0.07", "0.07")],
+    "◎ 0.08": [("GDT", "CONCENTRICITY", "CONCENTRICITY 0.08", "0.08")],
     "Ra 1.6": [("SURFACE", None, "Ra 1.6", None)],
     "CBORE Ø10 DEEP 5": [("DIAMETER", "CBORE", "CBORE Ø10", None), ("DEPTH", None, "DEEP 5", None)],
     "C'SINK Ø10 x 90°": [("DIAMETER", "CSINK", "CSINK Ø10 X90°", None)],
@@ -288,6 +296,22 @@ def test_sheet_and_labels(spark, sf, tmp_path):
     assert sorted(r["cls"] for r in labels.single_class_crops(paths, truth, paths).collect()) == ["hole_note", "note"]
 
 
+def test_settings_and_review(spark, tmp_path):
+    from dimlark.operators import rows
+
+    defaults = {"a": 1, "s": {"x": 1, "y": 2}}
+    given = ['{"s": {"x": 5}, "b": "t"}', '{"s": 3, "a": null}', "{broken", None, "", '{"a": {"q": 1}}']
+    got = values(spark, session.merged_settings(F.col("x"), defaults), given)
+    plain = {"a": "1", "s.x": "1", "s.y": "2"}
+    assert got == [{"a": "1", "b": "t", "s.x": "5", "s.y": "2"}, {"a": None, "s": "3"}, plain, plain, plain, {"a": '{"q":1}', "s.x": "1", "s.y": "2"}]
+    table = spark.createDataFrame(list(enumerate(got)), "id long, settings map<string,string>")
+    session.write_settings(table, str(tmp_path / "settings"))
+    assert sorted((r["id"], sorted(r["settings"].items())) for r in session.read_settings(spark, str(tmp_path / "settings")).collect()) == [(i, sorted(g.items())) for i, g in enumerate(got)]
+    items = spark.createDataFrame([(1, "BARE", None, "dim", "LWH"), (2, "BARE", 0.1, "dim", "LWH"), (3, "REF", None, "dim", "LWH"), (4, None, None, "dim", "LWH"), (5, "BASIC", None, "dim", "LWH")], "ord int, sb string, tol_sym double, type string, group string")
+    over = spark.createDataFrame([(3, True, "GD&T"), (4, None, "hole / otwór")], "ord int, include boolean, type string")
+    assert sorted((r["ord"], r["type"], r["group"]) for r in rows.reviewed(items, over, ("ord",)).collect()) == [(2, "dim", "LWH"), (3, "GD&T", "GD&T"), (4, "hole / otwór", "holes Ø / otwory")]
+
+
 def test_measurement_stream(spark, tmp_path):
     feed = spark.createDataFrame([("2024-01-01 10:05:00", 1, "10.05"), ("2024-01-01 10:20:00", 1, "11"), ("2024-01-01 11:10:00", 2, "NOK")], "ts string, uid long, measured string").withColumn("ts", F.col("ts").cast("timestamp"))
     feed.write.parquet(str(tmp_path / "feed"))
