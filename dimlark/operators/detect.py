@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import GLYPHS
 from ..schema import ADMITTED, CATEGORIES
-from .lines import MERGES, merged_lines, normalized_words, split_on_gaps, with_keywords
-from .lines import lines_of_words as group_words
+from .lines import MERGES, gap_lines, merged_lines, normalized_words, with_keywords
 from .scan import dedup_hits, greedy_keep, parse_lines
 
 #: Block numbers from here on mark words that no text layer gave. Fixed value.
@@ -193,7 +192,7 @@ def region_hits(words: DataFrame, regions: DataFrame, symbols: DataFrame | None
         poor = boxes.join(texts, list(keys), "left").where(F.coalesce("n_text", F.lit(0)) < 2).drop("n_text")
         marks = symbols.join(poor, ["doc_id", "page"]).where(inside & (kind_of(F.col("cls")).isNull() | admits(F.col("cls"), F.col("symbol")))).select(*keys, "ord", "x0", "y0", "x1", "y1", "symbol")
         held = with_symbols(held, marks, keys)
-    lines = merged_lines(with_keywords(normalized_words(split_on_gaps(group_words(held, keys)))), keys, MERGES)
+    lines = merged_lines(with_keywords(normalized_words(gap_lines(held, keys=keys))), keys, MERGES)
     table = list(CATEGORIES).index("hole_table")
     place = F.col("region") * 1000 + F.when(F.col("cls") == table, F.col("cg")).otherwise(0)
     banded = lines.join(boxes.select(*keys, "cls"), list(keys)).select("doc_id", "page", (F.col("region") * 100_000 + F.col("cg")).cast("int").alias("cg"), "toks", place.cast("int").alias("band"))

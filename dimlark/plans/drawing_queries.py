@@ -440,46 +440,69 @@ GAPS_SQL = f"""WITH {X.WORDS_CTE}, h AS (SELECT *, greatest(2.0, list_sort(list(
 
 @query("LIN-2", f"{GAPS_SQL} SELECT doc_id, line, CAST(part AS INTEGER) AS part, count(*) AS n, min(x0) AS x0 FROM p GROUP BY doc_id, line, part")
 def lin_2(spark, sf_dir):
-    parts = N.split_on_gaps(N.lines_of_words(X.words(spark, sf_dir)))
+    parts = N.gap_lines(X.words(spark, sf_dir))
     return parts.select("doc_id", "line", "part", F.size("toks").cast("long").alias("n"), F.array_min(F.transform("toks", lambda t: t["r"]["x0"])).alias("x0"))
 
 
 @query("LIN-2-windows", f"{GAPS_SQL} SELECT doc_id, line, word, CAST(part AS INTEGER) AS part FROM p")
 def lin_2_windows(spark, sf_dir):
-    """The same by windows over words."""
+    """The same, each word with its part."""
     return N.gap_windows(X.words(spark, sf_dir)).select("doc_id", "line", "word", "part")
 
 
-def callout_words(spark, sf_dir) -> DataFrame:
-    """Callouts as placed words: 20 to a drawing page, one under the other, a word from each second line put on its own line."""
-    rows = X.callouts(spark, sf_dir).select(F.floor(F.col("id") / 20).cast("string").alias("doc_id"), F.lit(0).alias("page"), (F.col("id") % 20).alias("k"), F.posexplode(F.split("text", " ")).alias("word", "text"))
-    low = (F.col("k") % 2 == 1) & (F.col("word") > 0)
-    x0 = (F.col("word") * 40).cast("double")
-    y0 = (F.col("k") * 60 + F.when(low, 12).otherwise(0)).cast("double")
-    return rows.select("doc_id", "page", x0.alias("x0"), y0.alias("y0"), (x0 + F.length("text") * 6).alias("x1"), (y0 + 10).alias("y1"), "text", F.col("k").alias("block"), F.when(low, 1).otherwise(0).cast("long").alias("line"), F.col("word").cast("long").alias("word"))
-
-
 @query("LIN-3", f"WITH {X.CALLOUTS_CTE} SELECT id, unnest(string_split(CASE id % 8 WHEN 6 THEN replace(text, '⌖', 'TRUE POSITION') ELSE text END, ' ')) AS tok FROM callouts")
 def lin_3(spark, sf_dir):
     toks = X.callouts(spark, sf_dir).select("id", F.explode(F.split("text", " ")).alias("tok"))
     return toks.select("id", F.explode(F.filter(F.split(T.normalized_token(F.col("tok")), r"\s+"), lambda p: p != "")).alias("tok"))
 
 
-@query("LIN-4")
+# the lines of split words, ``#`` for the part's size: as they stand, and what merging makes of one form
+SPLIT_LINES = {0: ["#", "+0.1", "-0.2"], 1: ["Ø#", "THRU"], 2: ["#", "H7"], 3: ["4X", "Ø#"], 4: ["#.5 ±0.1"], 5: ["# +0.3", "-0.1"], 6: ["Ø #"], 7: ["R#", "NOTE"]}
+MERGED = {"LIN-5": {}, "LIN-6": {0: ["# +0.1/-0.2"]}, "LIN-7": {5: ["# +0.3/-0.1"]}, "LIN-8": {1: ["Ø# THRU"]}, "LIN-9": {2: ["# H7"]}, "LIN-10": {3: ["4X Ø#"]}}
+SPLIT_HITS = "(0, 'LINEAR', '#', '+0.1/-0.2', 22), (1, 'DIAMETER', 'Ø#', NULL, 10), (2, 'FIT', '# H7', 'H7', 10), (3, 'DIAMETER', '4X Ø#', NULL, 22), (4, 'LINEAR', '#.5', '±0.1', 10), (5, 'LINEAR', '#', '+0.3/-0.1', 22), (6, 'DIAMETER', 'Ø#', NULL, 10), (7, 'RADIUS', 'R#', NULL, 10)"
+
+
+def split_lines_sql(forms: dict[int, list[str]]) -> str:
+    """Lines of all split callouts, numbered within their drawing."""
+    values = ", ".join(f"({f}, {i}, '{text}')" for f, texts in forms.items() for i, text in enumerate(texts))
+    return f"lines AS (SELECT p_partkey AS id, i, replace(text, '#', CAST(p_size + 10 AS VARCHAR)) AS text, CAST(row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey, i) - 1 AS INTEGER) AS cg FROM part JOIN (VALUES {values}) AS v(f, i, text) ON f = p_partkey % 8)"
+
+
+def split_hits_sql() -> str:
+    """Callouts of all split words after every merge, with the first line that holds each."""
+    merged = SPLIT_LINES | {f: texts for forms in MERGED.values() for f, texts in forms.items()}
+    return f"{split_lines_sql(merged)}, found AS (SELECT id, tp, replace(v, '#', CAST(p_size + 10 AS VARCHAR)) AS v, t, (id % 20 * 100 + h)::DOUBLE AS y1, cg FROM lines JOIN part ON p_partkey = id AND i = 0 JOIN (VALUES {SPLIT_HITS}) AS s(f, tp, v, t, h) ON f = id % 8)"
+
+
+def split_lines(spark, sf_dir) -> DataFrame:
+    return N.with_keywords(N.normalized_words(N.gap_lines(X.split_words(spark, sf_dir))))
+
+
+def line_text():
+    return F.array_join(F.transform("toks", lambda t: t["t"]), " ").alias("text")
+
+
+LINE_SQL = ", ".join(
+    f"({f}, {b}, {line}, {part}, '{text}')"
+    for f, b, line, part, text in (
+        (0, 0, 0, 0, "#"), (0, 1, 0, 0, "+0.1"), (0, 2, 0, 0, "-0.2"), (1, 0, 0, 0, "Ø#"), (1, 0, 1, 0, "THRU"), (2, 0, 0, 0, "#"), (2, 1, 0, 0, "H7"), (3, 0, 0, 0, "4X"), (3, 0, 1, 0, "Ø#"),
+        (4, 0, 0, 0, "# . 5 ±0.1"), (5, 0, 0, 0, "# +0.3"), (5, 1, 0, 0, "-0.1"), (6, 0, 0, 0, "Ø #"), (7, 0, 0, 0, "R#"), (7, 0, 0, 1, "NOTE"),
+    )
+)
+
+
+@query("LIN-4", f"SELECT CAST(p_partkey // 20 AS VARCHAR) AS doc_id, p_partkey % 20 * 4 + b AS block, line, part, replace(text, '#', CAST(p_size + 10 AS VARCHAR)) AS text FROM part JOIN (VALUES {LINE_SQL}) AS v(f, b, line, part, text) ON f = p_partkey % 8")
 def lin_4(spark, sf_dir):
     """Keywords in place of words; tests hold them against lists."""
-    lines = N.with_keywords(N.normalized_words(N.split_on_gaps(N.lines_of_words(callout_words(spark, sf_dir)))))
-    return lines.select("doc_id", "block", "line", "part", F.array_join(F.transform("toks", lambda t: t["t"]), " ").alias("text"))
+    return split_lines(spark, sf_dir).select("doc_id", "block", "line", "part", line_text())
 
 
 def merge_query(name: str, *merges):
-    @query(name)
+    @query(name, f"WITH {split_lines_sql(SPLIT_LINES | MERGED[name])} SELECT CAST(id // 20 AS VARCHAR) AS doc_id, 0 AS page, cg, text FROM lines")
     def run(spark, sf_dir, merges=merges):
-        lines = N.with_keywords(N.normalized_words(N.split_on_gaps(N.lines_of_words(callout_words(spark, sf_dir)))))
-        out = N.merged_lines(lines, merges=merges)
-        return out.select("doc_id", "page", "cg", F.array_join(F.transform("toks", lambda t: t["t"]), " ").alias("text"))
+        return N.merged_lines(split_lines(spark, sf_dir), merges=merges).select("doc_id", "page", "cg", line_text())
 
-    run.__doc__ = f"{name}: greedy merges of a page's lines; tests hold them against placed cases."
+    run.__doc__ = f"{name}: greedy merges of a page's lines; tests hold them against placed cases too."
 
 
 for _name, _merges in (("LIN-5", ()), ("LIN-6", (N.stacked,)), ("LIN-7", (N.half_stacked,)), ("LIN-8", (N.callout_blocks,)), ("LIN-9", (N.lone_fits,)), ("LIN-10", (N.lone_counts,))):
@@ -495,10 +518,10 @@ def lin_11(spark, sf_dir):
     return C.dedup_hits(rows).groupBy("doc_id", "tp", "v").agg(F.count("*").alias("n"))
 
 
-@query("LIN-12")
+@query("LIN-12", f"WITH {split_hits_sql()} SELECT CAST(id // 20 AS VARCHAR) AS doc_id, 0 AS page, CAST(row_number() OVER (PARTITION BY id // 20 ORDER BY id) - 1 AS INTEGER) AS ord, cg, tp, CAST(NULL AS VARCHAR) AS sb, v, t, 0.0::DOUBLE AS x0, y1 FROM found")
 def lin_12(spark, sf_dir):
-    """Placed words to callouts with rectangles; tests hold it against placed cases."""
-    return N.scan_words(callout_words(spark, sf_dir), True).select("doc_id", "page", "ord", "cg", "tp", "sb", "v", "t", F.col("rect.x0").alias("x0"), F.col("rect.y1").alias("y1"))
+    """Placed words to callouts with rectangles; tests hold it against placed cases too."""
+    return N.scan_words(X.split_words(spark, sf_dir), True).select("doc_id", "page", "ord", "cg", "tp", "sb", "v", "t", F.col("rect.x0").alias("x0"), F.col("rect.y1").alias("y1"))
 
 
 @query("AGG-5", f"WITH {HITS_SQL}, k AS (SELECT CAST(id // 20 AS VARCHAR) AS doc_id, tp || ':' || v AS key, CASE WHEN id % 5 = 0 THEN 'old' ELSE 'new' END AS side FROM hits) SELECT doc_id, 0 AS page, key, side FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.key = k.key AND o.side <> k.side)")
@@ -597,14 +620,14 @@ def regions(spark, sf_dir) -> DataFrame:
     """Three regions on each page of callouts: a note of dimensions, a hole table, and a note that is no callout."""
     box = lambda n, x0, x1, y0, y1, cls: F.struct(F.lit(n).cast("long").alias("region"), F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x1).alias("x1"), F.lit(y1).alias("y1"), F.lit(cls).alias("cls"))
     boxes = F.array(box(0, -10.0, 400.0, -10.0, 290.0, 0), box(1, -10.0, 400.0, 290.0, 890.0, 2), box(2, -10.0, 400.0, 890.0, 2000.0, 7))
-    pages = callout_words(spark, sf_dir).select("doc_id", "page").distinct()
+    pages = X.split_words(spark, sf_dir).select("doc_id", "page").distinct()
     return pages.select("doc_id", "page", F.explode(boxes).alias("b")).select("doc_id", "page", "b.*")
 
 
-@query("DET-10")
+@query("DET-10", f"WITH {split_hits_sql()}, firsts AS (SELECT id // 20 AS d, min(cg) AS first FROM lines WHERE id % 20 >= 3 GROUP BY id // 20) SELECT CAST(id // 20 AS VARCHAR) AS doc_id, 0 AS page, CASE WHEN id % 20 < 3 THEN 0 ELSE CAST(1000 + cg - first AS INTEGER) END AS cg, tp, v, t FROM found LEFT JOIN firsts ON d = id // 20 WHERE id % 20 < 9")
 def det_10(spark, sf_dir):
-    """Callouts of each region's words; tests hold it against placed cases."""
-    return D.region_hits(callout_words(spark, sf_dir), regions(spark, sf_dir)).select("doc_id", "page", "cg", "tp", "v", "t")
+    """Callouts of each region's words; tests hold it against placed cases too."""
+    return D.region_hits(X.split_words(spark, sf_dir), regions(spark, sf_dir)).select("doc_id", "page", "cg", "tp", "v", "t")
 
 
 class BrightSpot:

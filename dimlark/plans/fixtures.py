@@ -207,3 +207,27 @@ DETECTIONS_CTE = """dets AS (
   FROM (SELECT vec_id AS ord, CAST(vec_id // 64 AS VARCHAR) AS doc_id, e, e[9] * 640 + 320 AS cx, e[10] * 640 + 320 AS cy, abs(e[11]) * 200 + 10 AS w, abs(e[12]) * 200 + 10 AS h
         FROM (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings))
 )"""
+
+
+#: a form for each part, by its number modulo 8: words (``#`` for the part's size, two digits) with x, y, block, line and word
+SPLIT_FORMS = (
+    (("#", 0, 6, 0, 0, 0), ("+0.1", 20, 0, 1, 0, 0), ("-0.2", 20, 12, 2, 0, 0)),
+    (("Ø#", 0, 0, 0, 0, 0), ("THROUGH", 0, 12, 0, 1, 0)),
+    (("#", 0, 0, 0, 0, 0), ("H7", 20, 0, 1, 0, 0)),
+    (("4X", 0, 0, 0, 0, 0), ("Ø#", 0, 12, 0, 1, 0)),
+    (("#", 0, 0, 0, 0, 0), (".", 13, 0, 0, 0, 1), ("5", 20, 0, 0, 0, 2), ("±0.1", 30, 0, 0, 0, 3)),
+    (("#", 0, 0, 0, 0, 0), ("+0.3", 14, 0, 0, 0, 1), ("-0.1", 30, 12, 1, 0, 0)),
+    (("DURCHMESSER", 0, 0, 0, 0, 0), ("#", 70, 0, 0, 0, 1)),
+    (("R#", 0, 0, 0, 0, 0), ("NOTE", 200, 0, 0, 0, 1)),
+)
+
+
+def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A callout for each part whose words lie apart: 20 to a drawing, one under the other."""
+    word = lambda w: F.struct(F.lit(w[0]).alias("text"), *[F.lit(v).alias(c) for c, v in zip(("dx", "dy", "b", "line", "word"), w[1:], strict=True)])
+    forms = F.array(*[F.array(*[word(w) for w in form]) for form in SPLIT_FORMS])
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 10).cast("string").alias("n"), F.explode(F.element_at(forms, (F.col("p_partkey") % 8).cast("int") + 1)).alias("w"))
+    k = F.col("id") % 20
+    text = F.replace(F.col("w.text"), F.lit("#"), F.col("n"))
+    x0, y0 = F.col("w.dx").cast("double"), (k * 100 + F.col("w.dy")).cast("double")
+    return part.select(F.floor(F.col("id") / 20).cast("string").alias("doc_id"), F.lit(0).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + F.length(text) * 6).alias("x1"), (y0 + 10).alias("y1"), text.alias("text"), (k * 4 + F.col("w.b")).alias("block"), F.col("w.line").cast("long").alias("line"), F.col("w.word").cast("long").alias("word"))
