@@ -788,9 +788,28 @@ def geo_7(spark, sf_dir):
     return X.detections(spark, sf_dir).select("ord", P.circle_hits_rect(x, y, 30.0, rect_columns()).alias("hits_rect"), P.circle_hits_segment(x, y, 30.0, rect_columns()).alias("hits_seg"))
 
 
-@query("GEO-8")
+#: places around each anchor, those that page and obstacles leave, and a walk along a drawing's anchors
+PLACED_SQL = f"""WITH RECURSIVE {X.DETECTIONS_CTE}, anchors AS (SELECT doc_id, ord, (x0 + x1) / 2 AS ax, (y0 + y1) / 2 AS ay, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM dets),
+dirs AS (SELECT * FROM (VALUES (0, 0.0, -1.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, -1.0, 0.0), (4, 0.7071, -0.7071), (5, 0.7071, 0.7071), (6, -0.7071, -0.7071), (7, -0.7071, 0.7071)) AS d(o, dx, dy)),
+steps AS (SELECT 0 AS tier, ring * 10 + o AS pos, dx, dy, 17.1::DOUBLE + ring * 14.4::DOUBLE AS far FROM dirs, (SELECT unnest(range(0, 4)) AS ring) WHERE ring > 0 OR o < 4
+  UNION ALL SELECT 1, 100 + o, dx, dy, 17.1::DOUBLE FROM dirs WHERE o < 4 UNION ALL SELECT 2, 300, dx, dy, 17.1::DOUBLE FROM dirs WHERE o = 0),
+spots AS (SELECT doc_id, ord, rn, tier, pos, ax + dx::DOUBLE * far AS x, ay + dy::DOUBLE * far AS y FROM anchors, steps
+  UNION ALL SELECT doc_id, ord, rn, 1, 200 + e, least(ax + 9.0::DOUBLE * (1 + e) + 8.1::DOUBLE, 889), greatest(ay - 9.0::DOUBLE * e, 11) FROM anchors, (SELECT unnest(range(1, 9)) AS e)),
+things AS (SELECT doc_id, true AS solid, x0, y0, x1, y1 FROM dets WHERE cls = 7 OR cls < 3 UNION ALL SELECT doc_id, false, x0, y0, x1, y1 FROM dets WHERE conf >= 0.2::DOUBLE),
+met AS (SELECT s.ord, s.pos, solid, x, y, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, least(greatest(x, x0), x1) AS qx, least(greatest(y, y0), y1) AS qy FROM spots s JOIN things t ON t.doc_id = s.doc_id AND s.tier = 0),
+along AS (SELECT *, CASE WHEN dx * dx + dy * dy <= 1e-9::DOUBLE THEN 0 ELSE least(1, greatest(0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) END AS t FROM met),
+taken AS (SELECT DISTINCT ord, pos FROM along WHERE CASE WHEN solid THEN sqrt(pow(qx - x, 2) + pow(qy - y, 2)) < 8.28::DOUBLE ELSE sqrt(pow(x0 + t * dx - x, 2) + pow(y0 + t * dy - y, 2)) < 7.2::DOUBLE END),
+open_spots AS (SELECT * FROM spots s WHERE (tier = 2 OR (x >= 11 AND x <= 889 AND y >= 11 AND y <= 889)) AND NOT EXISTS (SELECT 1 FROM taken k WHERE k.ord = s.ord AND k.pos = s.pos)),
+choices AS (SELECT doc_id, ord, rn, list({{'tier': tier, 'x': x, 'y': y}} ORDER BY pos) AS c FROM open_spots GROUP BY doc_id, ord, rn),
+walk AS (SELECT doc_id, ord, rn, c[1] AS b, [c[1]] AS bs FROM choices WHERE rn = 1
+  UNION ALL SELECT doc_id, ord, rn, b, list_append(bs, b) AS bs FROM (
+    SELECT n.doc_id, n.ord, n.rn, w.bs, [p FOR p IN n.c IF p.tier = 2 OR len([1 FOR o IN w.bs IF sqrt(pow(o.x - p.x, 2) + pow(o.y - p.y, 2)) < 21.6::DOUBLE]) = 0][1] AS b FROM walk w JOIN choices n ON n.doc_id = w.doc_id AND n.rn = w.rn + 1))
+SELECT doc_id, 0 AS page, ord, b.x AS bx, b.y AS "by" FROM walk"""
+
+
+@query("GEO-8", PLACED_SQL)
 def geo_8(spark, sf_dir):
-    """Balloons placed page by page, each in the way of the next; tests check that none overlaps."""
+    """Balloons placed page by page, each in the way of the next; tests check that none overlaps too."""
     dets = X.detections(spark, sf_dir)
     none = F.lit(None).cast("double")
     anchors = dets.select("doc_id", "page", "ord", ((F.col("x0") + F.col("x1")) / 2).alias("ax"), ((F.col("y0") + F.col("y1")) / 2).alias("ay"), *[none.alias(c) for c in ("rx0", "ry0", "rx1", "ry1")])
