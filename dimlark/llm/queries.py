@@ -6,6 +6,7 @@ from .decontam import OP6_SQL, op6_decontamination
 from .langid import op2_language_id
 from .license_scan import OP1_SQL, op1_license_scan
 from .linededup import OP7_SQL, op7_line_dedup
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP10_SQL, op10_mixing
 from .secrets import OP9_SQL, op9_secret_scan
 from .simhash import op3_simhash_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op8_topk": OP8_SQL,
     "op9_secret_scan": OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
