@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import standards as S
 from ..functions import text as T
+from ..operators import anchors as A
 from ..operators import detect as D
 from ..operators import lines as N
 from ..operators import metrics as M
@@ -352,6 +353,76 @@ def row_12(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.countDistinct("uid").alias("n_bubbles"), F.max("seq").alias("top_seq"))
 
 
+#: what is asked for on the pages of split words, by form: the callout's own text and its value; form 5 has a rectangle
+ASKED = (("# +0.1/-0.2", "#"), ("Ø# THRU", "Ø#"), ("# h7", "# H7"), ("4X Ø#", "4X Ø#"), ("#.5 ±0.1", "#.5"), ("#", "#"), ("Ø #", "Ø#"), ("R#", "R#"))
+PAGE_HEIGHT = 160.0
+
+
+def asked_items(spark, sf_dir) -> DataFrame:
+    part = X.table(spark, sf_dir, "part")
+    size, form = (F.col("p_size") + 10).cast("string"), F.col("p_partkey") % 8
+    said = lambda i: F.replace(X.pick(tuple(a[i] for a in ASKED), form), F.lit("#"), size)
+    y = (F.col("p_partkey") % 20 * 100).cast("double")
+    rect = F.when(form == 5, F.struct(F.lit(4.0).alias("x0"), y.alias("y0"), F.lit(44.0).alias("x1"), (y + 22).alias("y1")))
+    return part.select(F.floor(F.col("p_partkey") / 20).cast("string").alias("doc_id"), F.lit(0).alias("page"), F.col("p_partkey").alias("ord"), said(0).alias("raw"), said(1).alias("v"), rect.alias("rect"))
+
+
+def needles_sql(text: str) -> str:
+    """Spellings of a callout that holds no healed word but THRU."""
+    base = f"([{text}] || CASE WHEN contains(upper({text}), 'THRU') THEN list_transform({X.quoted(T.SOURCE_WORDS['THRU'])}, lambda w: regexp_replace({text}, '(?i)THRU', w)) ELSE [] END)"
+    return f"({base} || flatten(list_transform(list_filter({base}, lambda x: contains(x, 'Ø')), lambda x: [replace(x, 'Ø', 'ø'), replace(x, 'Ø', '⌀')])))[1:12]"
+
+
+WORD_VALUES = ", ".join(f"({f}, '{w[0]}', {w[1]}, {w[2]}, {w[3]}, {w[4]}, {w[5]})" for f, form in enumerate(X.SPLIT_FORMS) for w in form)
+ASKED_VALUES = ", ".join(f"({f}, '{raw}', '{v}')" for f, (raw, v) in enumerate(ASKED))
+ANCHORS_CTE = f"""sw AS (
+  SELECT p_partkey // 20 AS d, replace(text, '#', CAST(p_size + 10 AS VARCHAR)) AS text, dx::DOUBLE AS x0, (p_partkey % 20 * 100 + dy)::DOUBLE AS y0, p_partkey % 20 * 4 + b AS block, line, word
+  FROM part JOIN (VALUES {WORD_VALUES}) AS v(f, text, dx, dy, b, line, word) ON f = p_partkey % 8
+), ws AS (
+  SELECT *, sum(length(text) + 1) OVER (PARTITION BY d ORDER BY block, line, word) - length(text) AS s FROM sw
+), pages AS (
+  SELECT d, lower(string_agg(text, ' ' ORDER BY block, line, word)) AS body FROM sw GROUP BY d
+), asked AS (
+  SELECT p_partkey AS ord, p_partkey // 20 AS d, p_partkey % 8 AS form, replace(raw, '#', CAST(p_size + 10 AS VARCHAR)) AS raw, replace(v, '#', CAST(p_size + 10 AS VARCHAR)) AS v
+  FROM part JOIN (VALUES {ASKED_VALUES}) AS a(f, raw, v) ON f = p_partkey % 8
+), needles AS (
+  SELECT ord, d, unnest(l) AS needle, generate_subscripts(l, 1) AS k FROM (SELECT ord, d, {needles_sql("raw")} || {needles_sql("v")} AS l FROM asked WHERE form <> 5)
+), found AS (
+  SELECT ord, n.d, arg_min(instr(body, lower(needle)), k) AS at, arg_min(length(needle), k) AS size FROM needles n JOIN pages USING (d) WHERE instr(body, lower(needle)) > 0 GROUP BY ord, n.d
+), touched AS (
+  SELECT f.ord, w.*, first_value((block, line)) OVER (PARTITION BY f.ord ORDER BY s) = (block, line) AS own FROM found f JOIN ws w ON w.d = f.d AND w.s < f.at + f.size AND w.s + length(w.text) > f.at
+), spots AS (
+  SELECT ord, (min(x0) + max(x0 + length(text) * 6)) / 2 AS ax, (min(y0) + max(y0 + 10)) / 2 AS ay FROM touched WHERE own GROUP BY ord
+), anchors AS (
+  SELECT a.d, a.ord, CASE WHEN form = 5 THEN 'rect' WHEN s.ord IS NOT NULL THEN 'search' ELSE 'margin' END AS how,
+    CASE WHEN form = 5 THEN 24.0 WHEN s.ord IS NOT NULL THEN s.ax ELSE 16.0 END::DOUBLE AS ax,
+    CASE WHEN form = 5 THEN a.ord % 20 * 100 + 11 WHEN s.ord IS NOT NULL THEN s.ay ELSE 20 + (row_number() OVER (PARTITION BY a.d, form = 5 OR s.ord IS NOT NULL ORDER BY a.ord) - 1) % {int((PAGE_HEIGHT - 40) // 24) + 1} * 24 END::DOUBLE AS ay
+  FROM asked a LEFT JOIN spots s USING (ord)
+)"""
+
+
+@query("ROW-12-anchors", f"WITH {ANCHORS_CTE} SELECT CAST(d AS VARCHAR) AS doc_id, ord, how, ax, ay FROM anchors")
+def row_12_anchors(spark, sf_dir):
+    """Each callout's anchor: its rectangle, else the first of its spellings on the page, else a slot in the margin."""
+    return A.anchored(asked_items(spark, sf_dir), X.split_words(spark, sf_dir), PAGE_HEIGHT).select("doc_id", "ord", "how", "ax", "ay")
+
+
+@query(
+    "ROW-12-placed",
+    f"""WITH {ANCHORS_CTE}, mid AS (SELECT d, coalesce(avg(ax) FILTER (how <> 'margin'), avg(ax)) AS cx, coalesce(avg(ay) FILTER (how <> 'margin'), avg(ay)) AS cy FROM anchors GROUP BY d),
+    ang AS (SELECT *, degrees(atan2(cy - ay, ax - cx)) AS turn FROM anchors JOIN mid USING (d)), dir AS (SELECT *, 225 - CASE WHEN turn < 0 THEN turn + 360 ELSE turn END AS a FROM ang)
+    SELECT CAST(d AS VARCHAR) AS doc_id, ord, row_number() OVER (PARTITION BY d ORDER BY CASE WHEN a < 0 THEN a + 360 ELSE a END, ord) AS uid, ax AS x, ay AS y FROM dir""",
+)
+def row_12_placed(spark, sf_dir):
+    """The same callouts as ledger rows: balloons numbered clockwise at their anchors."""
+    items = A.anchored(asked_items(spark, sf_dir), X.split_words(spark, sf_dir), PAGE_HEIGHT)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = items.withColumns({"cg": none("int"), "type": F.lit("dim"), "group": F.lit("LWH"), "feature": F.col("v"), "measured": none("string"), "nominal": none("double")})
+    rows = rows.withColumns({c: none("double") for c in ("tol_sym", "tol_max", "tol_min", "pin", "offset")})
+    placed = R.accepted(rows.withColumn("expand", F.lit(False)), F.lit(1))
+    return placed.select("doc_id", "ord", F.col("uid").cast("long").alias("uid"), "x", "y")
+
+
 # placed words
 
 RECT = (100.0, 20.0, 420.0, 80.0)

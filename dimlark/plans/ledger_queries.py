@@ -385,10 +385,10 @@ def io_9(spark, sf_dir):
     """A sheet made empty, filled, and left alone by being made once more."""
     path, led = scratch.new_folder(spark, "sheet"), numbered(spark, sf_dir)
     sheet.ensure_sheet(led, path)
-    before = spark.read.parquet(path).count()
+    before = sheet.read_sheet(spark, path).count()
     sheet.write_sheet(led, path)
     sheet.ensure_sheet(led, path)
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.lit(before).cast("long").alias("n_before"))
+    return sheet.read_sheet(spark, path).groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.lit(before).cast("long").alias("n_before"))
 
 
 @query("IO-14", on_judged("SELECT doc_id, seq, bubble AS a_text, nominal AS e_num, mnum AS l_num, sheet_row FROM judged"))
@@ -397,7 +397,7 @@ def io_14(spark, sf_dir):
     path, led = scratch.new_folder(spark, "sheet"), numbered(spark, sf_dir)
     sheet.write_sheet(led.where("page = 0"), path)
     sheet.write_sheet(led, path)
-    return spark.read.parquet(path).select("doc_id", "seq", "a_text", "e_num", "l_num", "sheet_row")
+    return sheet.read_sheet(spark, path).select("doc_id", "seq", "a_text", "e_num", "l_num", "sheet_row")
 
 
 @query("IO-13", on_ledger("SELECT doc_id, sheet_row FROM led WHERE sheet_row IS NOT NULL AND uid <> 1"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyfmt import base_of, fnum, py_g
 from ..functions.verdict import tol_text
 from ..operators.ledger import first_on_page
 from ..schema import FIRST_ROW, GROUPS, LAST_ROW
+from .atomic import has_table, read_table, write_table
 
 # Sheet columns, and the template's drop-down lists and header cells.
 COLUMNS = {"A": "bubble", "B": "type", "C": "group", "D": "feature", "E": "nominal", "F": "tol_sym", "G": "tol_max", "H": "tol_min", "I": "pin", "J": "offset", "L": "measured", "N": "tier", "O": "gage"}
@@ -69,13 +70,19 @@ def cleared(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def write_sheet(ledger: DataFrame, path: str) -> None:
-    """IO-9, IO-14: the cells as Parquet; Spark's committer makes files visible only when whole."""
-    cells(ledger).write.mode("overwrite").parquet(path)
+    """IO-12, IO-14: the cells in place of an earlier sheet; a job that fails leaves that one whole."""
+    write_table(cells(ledger), path)
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The sheet's cells as last written."""
+    return read_table(spark, path)
 
 
 def ensure_sheet(ledger: DataFrame, path: str) -> None:
     """IO-9: an empty sheet, unless one is there already."""
-    cells(ledger.limit(0)).write.mode("ignore").parquet(path)
+    if not has_table(path):
+        write_table(cells(ledger.limit(0)), path)
 
 
 def header_rows(header: DataFrame) -> DataFrame:

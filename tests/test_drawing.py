@@ -276,10 +276,10 @@ def test_sheet_and_labels(spark, sf, tmp_path):
 
     led = ledger.renumber(fixtures.ledger(spark, sf))
     sheet.ensure_sheet(led, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).isEmpty()
+    assert sheet.read_sheet(spark, str(tmp_path / "s")).isEmpty()
     sheet.write_sheet(led, str(tmp_path / "s"))
     sheet.ensure_sheet(led, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == led.count() and sheet.overfull(led).isEmpty()
+    assert sheet.read_sheet(spark, str(tmp_path / "s")).count() == led.count() and sheet.overfull(led).isEmpty()
     full = spark.range(305).select(F.lit("d").alias("doc_id"), F.col("id").alias("seq"), F.lit(None).cast("int").alias("sheet_row"))
     slots = sheet.allocated(full)
     assert slots.where("sheet_row IS NULL").count() == 5 and sheet.overfull(full).count() == 1
