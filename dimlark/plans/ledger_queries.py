@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pyfmt, verdict
+from ..operators import history as H
 from ..operators import ledger as L
 from ..operators import rows as R
 from ..schema import FIRST_ROW, LAST_ROW
@@ -550,6 +551,80 @@ def hist_3(spark, sf_dir):
     return L.restored(led, led.where("seq <= 2"))[1]
 
 
+# a drawing's commands: sixteen, by its number and their place; every edit changes, deletes and inserts some rows
+N_COMMANDS, UNDO_DEPTH = 16, 4
+COMMANDS_CTE = f"""docs AS (SELECT DISTINCT doc_id, CAST(doc_id AS BIGINT) AS d FROM led),
+commands AS (SELECT doc_id, CAST(n AS BIGINT) AS version, CASE (d * 7 + n * n * 5 + n // 3) % 7 WHEN 0 THEN 'undo' WHEN 1 THEN 'undo' WHEN 2 THEN 'undo' WHEN 3 THEN 'redo' WHEN 4 THEN 'redo' ELSE 'edit' END AS op FROM docs, (SELECT unnest(range(1, {N_COMMANDS + 1})) AS n)),
+told AS (SELECT doc_id, list(op ORDER BY version) AS ops FROM commands GROUP BY doc_id)"""
+POINTERS_SQL = f"""fold AS (
+  SELECT doc_id, ops, 0 AS n, CAST([] AS BIGINT[]) AS applied, CAST([] AS BIGINT[]) AS undone, 0 AS undoable FROM told
+  UNION ALL
+  SELECT doc_id, ops, n + 1,
+    CASE WHEN ops[n + 1] = 'edit' THEN list_append(applied, n + 1) WHEN ops[n + 1] = 'undo' AND undoable > 0 THEN applied[1 : len(applied) - 1] WHEN ops[n + 1] = 'redo' AND len(undone) > 0 THEN list_append(applied, undone[len(undone)]) ELSE applied END,
+    CASE WHEN ops[n + 1] = 'edit' THEN [] WHEN ops[n + 1] = 'undo' AND undoable > 0 THEN list_append(undone, applied[len(applied)]) WHEN ops[n + 1] = 'redo' AND len(undone) > 0 THEN undone[1 : len(undone) - 1] ELSE undone END,
+    CASE WHEN ops[n + 1] = 'edit' THEN least(undoable + 1, {UNDO_DEPTH}) WHEN ops[n + 1] = 'undo' AND undoable > 0 THEN undoable - 1 WHEN ops[n + 1] = 'redo' AND len(undone) > 0 THEN undoable + 1 ELSE undoable END
+  FROM fold WHERE n < {N_COMMANDS}
+), state AS (SELECT doc_id, applied, undone, undoable FROM fold WHERE n = {N_COMMANDS})"""
+#: what version n does to a row; rows of odd sequence numbers above 1000 are such as an edit inserts
+EDITS_CTE = """keyed AS (SELECT doc_id, seq AS rid, measured, sheet_row FROM led), slots AS (SELECT doc_id, rid, true AS base FROM keyed UNION ALL SELECT doc_id, rid + 1000, false FROM keyed),
+acts AS (SELECT s.doc_id, rid, version, (rid + version) % 5 = 0 AS drops FROM slots s JOIN commands c ON c.doc_id = s.doc_id AND op = 'edit' AND CASE WHEN base THEN (rid + version) % 5 < 2 ELSE (rid + version) % 4 = 0 END)"""
+
+
+def history_commands(spark, sf_dir) -> DataFrame:
+    docs = X.ledger(spark, sf_dir).select("doc_id").distinct()
+    n, d = F.col("version"), F.col("doc_id").cast("long")
+    k = (d * 7 + n * n * 5 + F.floor(n / 3)) % 7
+    rows = docs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N_COMMANDS).cast("long"))).alias("version"))
+    return rows.withColumn("op", F.when(k <= 2, "undo").when(k <= 4, "redo").otherwise("edit"))
+
+
+def history_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base ledgers, the log of all edits, and the commands."""
+    base = X.ledger(spark, sf_dir).select("doc_id", F.col("seq").alias("rid"), "measured", "sheet_row")
+    commands = history_commands(spark, sf_dir)
+    slots = base.select("doc_id", "rid", "sheet_row", F.lit(True).alias("base")).unionByName(base.select("doc_id", F.col("rid") + 1000, F.lit(None).cast("int"), F.lit(False)).toDF("doc_id", "rid", "sheet_row", "base"))
+    k = F.col("rid") + F.col("version")
+    acts = slots.join(commands.where("op = 'edit'").select("doc_id", "version"), "doc_id").where(F.when(F.col("base"), k % 5 < 2).otherwise(k % 4 == 0))
+    row = F.struct(F.concat(F.lit("v"), F.col("version").cast("string")).alias("measured"), "sheet_row")
+    return base, acts.select("doc_id", "rid", "version", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("struct<measured:string,sheet_row:int>").alias("before"), F.when(k % 5 != 0, row).alias("after")), commands
+
+
+@query("HIST-1-log", on_ledger("""SELECT doc_id, seq, CASE WHEN del THEN 'deleted' WHEN ins THEN 'inserted' ELSE 'changed' END AS kind, CASE WHEN NOT ins THEN measured END AS old, CASE WHEN del THEN NULL WHEN ins THEN measured ELSE coalesce(measured, '-') || '!' END AS new
+  FROM (SELECT *, seq % 3 = 0 AS del, seq % 3 = 1 AND page = 1 AS ins FROM led) WHERE del OR ins OR uid % 2 = 0"""))
+def hist_1_log(spark, sf_dir):
+    """Rows that differ between two states of every ledger: some dropped, some new, some measured again."""
+    led = X.ledger(spark, sf_dir).select("doc_id", F.col("seq").alias("rid"), "uid", "page", "measured")
+    ins = (F.col("rid") % 3 == 1) & (F.col("page") == 1)
+    after = led.where("rid % 3 <> 0").withColumn("measured", F.when(~ins & (F.col("uid") % 2 == 0), F.concat(F.coalesce("measured", F.lit("-")), F.lit("!"))).otherwise(F.col("measured")))
+    log = H.logged(None, led.where(~ins), after, 1)
+    return log.select("doc_id", F.col("rid").alias("seq"), "kind", F.col("before.measured").alias("old"), F.col("after.measured").alias("new"))
+
+
+@query("HIST-2-pointers", on_ledger("SELECT doc_id, array_to_string(applied, ',') AS applied, array_to_string(undone, ',') AS undone, undoable FROM state", f", {COMMANDS_CTE}, {POINTERS_SQL}").replace("WITH ", "WITH RECURSIVE ", 1))
+def hist_2_pointers(spark, sf_dir):
+    """Versions in effect after sixteen edits, undos and redos, of which four can be undone."""
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return H.pointers(history_commands(spark, sf_dir), UNDO_DEPTH).select("doc_id", shown("applied"), shown("undone"), "undoable")
+
+
+REPLAY_SQL = f"""{COMMANDS_CTE}, {POINTERS_SQL}, {EDITS_CTE}, last AS (SELECT a.doc_id, rid, arg_max(drops, version) AS drops, max(version) AS version FROM acts a JOIN state s ON s.doc_id = a.doc_id AND list_contains(s.applied, a.version) GROUP BY a.doc_id, rid)"""
+
+
+@query("HIST-2-replay", on_ledger("SELECT coalesce(k.doc_id, l.doc_id) AS doc_id, coalesce(k.rid, l.rid) AS rid, CASE WHEN l.rid IS NULL THEN k.measured ELSE 'v' || l.version END AS measured, k.sheet_row FROM keyed k FULL JOIN last l ON k.doc_id = l.doc_id AND k.rid = l.rid WHERE NOT coalesce(l.drops, false)", f", {REPLAY_SQL}").replace("WITH ", "WITH RECURSIVE ", 1))
+def hist_2_replay(spark, sf_dir):
+    """Every ledger after its commands: rows changed, deleted and inserted by the versions in effect."""
+    base, log, commands = history_tables(spark, sf_dir)
+    return H.replayed(base, log, H.pointers(commands, UNDO_DEPTH)).select("doc_id", "rid", "measured", "sheet_row")
+
+
+@query("HIST-3-sheet", on_ledger("SELECT doc_id, count(*) FILTER (gone) AS n_clear, count(*) FILTER (NOT gone) AS n_write FROM (SELECT k.doc_id, coalesce(l.drops, false) AS gone FROM keyed k LEFT JOIN last l ON k.doc_id = l.doc_id AND k.rid = l.rid WHERE sheet_row IS NOT NULL) GROUP BY doc_id", f", {REPLAY_SQL}").replace("WITH ", "WITH RECURSIVE ", 1))
+def hist_3_sheet(spark, sf_dir):
+    """Sheet rows to clear and to write again once the commands have run."""
+    base, log, commands = history_tables(spark, sf_dir)
+    rows = H.sheet_rows(base, H.replayed(base, log, H.pointers(commands, UNDO_DEPTH)))
+    return rows.groupBy("doc_id").agg(F.count_if("clear").alias("n_clear"), F.count_if(~F.col("clear")).alias("n_write"))
+
+
 @query("SET-3", on_ledger("SELECT DISTINCT doc_id, page FROM led EXCEPT SELECT doc_id, page FROM led WHERE uid = 1"))
 def set_3(spark, sf_dir):
     led = X.ledger(spark, sf_dir)
