@@ -310,7 +310,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), null_items=False)
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",
@@ -324,13 +324,13 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP6_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark),
 n AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM n, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
 dw AS (SELECT r, i, s.n, array_to_string(w[i:i + s.n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM win) s, LATERAL (SELECT unnest(range(1, len(w) - s.n + 2)) AS i)),
 m AS (SELECT r, i, n, item FROM dw JOIN win USING (n, g)),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
-x AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+x AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN x USING (r)
 """

@@ -215,11 +215,11 @@ def predict(docs: DataFrame, model: LangModel, *, text_col: str = "text") -> Dat
 
 
 def held_out(id_col: str = "doc_id"):
-    """Whether a document is kept out of training."""
-    return F.crc32(col(id_col).cast("string")) % 3 == 1
+    """Whether a document is kept out of training; one without an id is not."""
+    return F.coalesce(F.crc32(col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    model = fit(docs.where(~held_out()))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -13,7 +13,7 @@ the join that brings the earliest id back to its pieces is split by Spark where
 
 Cases: null and empty texts have no pieces. Null ids rank last, as one document. Rows that share
 an id rank alike: a piece that is first in one of them stays in each, and only repeats within a
-row's text go. Letters that ``str.lower`` lengthens are lower-cased word by word.
+row's text go; each text under such an id has runs of its own, and rows alike in both count once. Letters that ``str.lower`` lengthens are lower-cased word by word.
 """
 
 from __future__ import annotations
@@ -165,34 +165,34 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = repeats(table(spark, sf_dir, "documents"))
+    found = repeats(table(spark, sf_dir, "documents"), versions=True)
     return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("words").alias("n_words"), F.col("pieces").alias("n_pieces"), F.col("kept_id").alias("kept_doc_id"))
 
 
 OP7_SQL = r"""
 WITH t AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|\n') AS hits,
+  SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS ver, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|\n') AS hits,
          regexp_split_to_array(coalesce(text, ''), '[\p{L}\p{N}]+|\n') AS gaps
   FROM documents
 ), k AS (
-  SELECT doc_id, i, lower(hits[i]) AS tok, length(gaps[i]) AS gap, length(hits[i]) AS n FROM t, LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i)
+  SELECT doc_id, ver, i, lower(hits[i]) AS tok, length(gaps[i]) AS gap, length(hits[i]) AS n FROM t, LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i)
 ), p AS (
-  SELECT doc_id, i, tok, n, CAST(sum(gap + n) OVER (PARTITION BY doc_id ORDER BY i) - n AS INTEGER) AS s,
+  SELECT doc_id, ver, i, tok, n, CAST(sum(gap + n) OVER (PARTITION BY doc_id, ver ORDER BY i) - n AS INTEGER) AS s,
          CASE WHEN tok <> chr(10) THEN list_sum([unicode(c) FOR c IN string_split(tok, '')]) END AS letters,
-         lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS next_tok
+         lead(tok) OVER (PARTITION BY doc_id, ver ORDER BY i) AS next_tok
   FROM k
 ), q AS (
-  SELECT *, next_tok = chr(10) OR (5 * letters + 3 * lead(letters) OVER (PARTITION BY doc_id ORDER BY i)) % 7 = 0 AS cut FROM p
+  SELECT *, next_tok = chr(10) OR (5 * letters + 3 * lead(letters) OVER (PARTITION BY doc_id, ver ORDER BY i)) % 7 = 0 AS cut FROM p
 ), w AS (
-  SELECT *, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece
+  SELECT *, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ver ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece
   FROM q WHERE tok <> chr(10)
 ), u AS (
-  SELECT doc_id, piece, string_agg(tok, ' ' ORDER BY i) AS norm, min(s) AS s, max(s + n) AS e, count(*) AS words FROM w GROUP BY doc_id, piece
+  SELECT doc_id, ver, piece, string_agg(tok, ' ' ORDER BY i) AS norm, min(s) AS s, max(s + n) AS e, count(*) AS words FROM w GROUP BY doc_id, ver, piece
 ), f AS (
-  SELECT *, min(doc_id) OVER (PARTITION BY norm) AS kept, row_number() OVER (PARTITION BY norm, doc_id ORDER BY s) AS nth FROM u
+  SELECT *, min(doc_id) OVER (PARTITION BY norm) AS kept, row_number() OVER (PARTITION BY norm, doc_id, ver ORDER BY s) AS nth FROM u
 ), g AS (
-  SELECT *, piece - row_number() OVER (PARTITION BY doc_id ORDER BY piece) AS run FROM f WHERE doc_id <> kept OR nth > 1
+  SELECT *, piece - row_number() OVER (PARTITION BY doc_id, ver ORDER BY piece) AS run FROM f WHERE doc_id IS DISTINCT FROM kept OR nth > 1
 )
 SELECT doc_id, CAST(min(s) AS INTEGER) AS start_at, CAST(max(e) AS INTEGER) AS end_at, CAST(sum(words) AS INTEGER) AS n_words, CAST(count(*) AS INTEGER) AS n_pieces, arg_min(kept, s) AS kept_doc_id
-FROM g GROUP BY doc_id, run HAVING sum(words) >= 20
+FROM g GROUP BY doc_id, ver, run HAVING sum(words) >= 20
 """

@@ -695,3 +695,25 @@ def test_oracles(spark, sf):
         assert text(want) == text(got), name
 
 
+
+
+def test_line_repeats_of_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    dice = random.Random(8)
+    said = lambda n: " ".join("".join(dice.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    kept, other, own = said(124), said(120), said(60)
+    rows = [(1, kept + "\n" + other), (7, said(5) + " " + kept), (7, other), (None, other + " " + said(9)), (None, kept), (7, other), (9, own)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, linededup.op7_line_dedup(spark, str(tmp_path)).select("doc_id", "start_at", "end_at", "n_words", "kept_doc_id").collect()), key=str)
+    assert len(got) == 4 and {r[0] for r in got} == {7, None} and all(r[4] == 1 for r in got)
+    for doc_id, start, end, n_words, _ in got:
+        assert any(i == doc_id and len(t) >= end and len(t[start:end].split()) == n_words and (t[start:end] in kept or t[start:end] in other) for i, t in rows)
+
+
+def test_items_and_documents_without_ids(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(15))
+    spark.createDataFrame([(1, text, "en", "s", 1), (None, "der Hund lief weg", "de", "s", 1), (None, None, None, None, None)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, text), (5, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["n_words"]: r for r in decontam.op6_decontamination(spark, str(tmp_path)).collect()}
+    assert (got[15]["n_hit"], got[15]["n_items"], got[4]["n_hit"]) == (15, 1, 0)
+    assert {(r["doc_id"], r["held_out"]) for r in langid.op2_language_id(spark, str(tmp_path)).collect()} == {(1, 1 == __import__("zlib").crc32(b"1") % 3), (None, False)}
