@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import GLYPHS
@@ -103,12 +103,12 @@ def unletterboxed(dets: DataFrame, fit: Column, scale: Column) -> DataFrame:
     return dets.withColumns({"x0": back("x0", "pad_x"), "y0": back("y0", "pad_y"), "x1": back("x1", "pad_x"), "y1": back("y1", "pad_y")})
 
 
-def ocr_words(lines: DataFrame, min_conf: float, block: int = VISION_BLOCK) -> DataFrame:
-    """DET-8: ``doc_id, page, ord, points array<struct<x,y>>, text, conf, dx, dy, scale`` -> words. Unreadable confidences pass."""
+def ocr_words(lines: DataFrame, min_conf: float, block: int | Column = VISION_BLOCK, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """DET-8: ``keys, ord, points array<struct<x,y>>, text, conf, dx, dy, scale`` -> words. Unreadable confidences pass."""
     edge = lambda f, c, d: f(F.transform("points", lambda p: p[c])) / F.col("scale") + F.col(d)
     keep = F.coalesce(F.col("conf").cast("string").try_cast("double") >= min_conf, F.lit(True))
     return lines.where(keep).select(
-        "doc_id", "page", edge(F.array_min, "x", "dx").alias("x0"), edge(F.array_min, "y", "dy").alias("y0"), edge(F.array_max, "x", "dx").alias("x1"), edge(F.array_max, "y", "dy").alias("y1"),
+        *keys, edge(F.array_min, "x", "dx").alias("x0"), edge(F.array_min, "y", "dy").alias("y0"), edge(F.array_max, "x", "dx").alias("x1"), edge(F.array_max, "y", "dy").alias("y1"),
         "text", (F.lit(block) + F.col("ord")).cast("long").alias("block"), F.lit(0).cast("long").alias("line"), F.lit(0).cast("long").alias("word"),
     )
 
@@ -175,6 +175,59 @@ def admits(cls: Column, token: Column) -> Column:
     return F.coalesce(*[F.when(cls == i, F.trim(token).isin(*ADMITTED.get(c, ())) if ADMITTED.get(c) else F.lit(False)) for i, (_, _, c) in enumerate(CATEGORIES.values())], F.lit(False))
 
 
+def boxed(regions: DataFrame) -> DataFrame:
+    """Regions that may hold callouts, their edges as ``rx0`` to ``ry1``."""
+    kept = regions.where(~F.coalesce(kind_of(F.col("cls")) == "meta", F.lit(False)))
+    return kept.select("doc_id", "page", "region", "cls", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
+def centred_in(items: DataFrame, boxes: DataFrame, least_cell: float = 32.0) -> DataFrame:
+    """FIL-5 for all regions of all pages: each pair of an item (``doc_id, page, x0..y1``) and a box that holds its centre.
+
+    A spatial join by grids: a box goes to the grid whose cells are as large as it or up to twice,
+    so it lies in four cells at most; an item goes to one cell of each grid that its page has.
+    So a pair meets in one cell, and only there.
+    """
+    side = F.greatest(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0"), F.lit(least_cell))
+    level = F.ceil(F.log2(side / least_cell)).cast("int")
+    wide = F.lit(least_cell) * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c: F.floor(c / wide)
+    sized = boxes.where((F.col("rx1") >= F.col("rx0")) & (F.col("ry1") >= F.col("ry0"))).withColumn("level", level)
+    reach = lambda a, b: F.explode(F.sequence(cell(F.col(a)), cell(F.col(b))))
+    spread = sized.withColumn("gx", reach("rx0", "rx1")).withColumn("gy", reach("ry0", "ry1"))
+    grids = sized.groupBy("doc_id", "page").agg(F.collect_set("level").alias("levels"))
+    mid = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2
+    points = items.join(grids, ["doc_id", "page"]).withColumn("level", F.explode("levels")).drop("levels")
+    points = points.withColumns({"gx": cell(mid("x0", "x1")), "gy": cell(mid("y0", "y1"))})
+    inside = mid("x0", "x1").between(F.col("rx0"), F.col("rx1")) & mid("y0", "y1").between(F.col("ry0"), F.col("ry1"))
+    return points.join(spread, ["doc_id", "page", "level", "gx", "gy"]).where(inside).drop("level", "gx", "gy")
+
+
+REGION_KEYS = ("doc_id", "page", "region")
+
+
+#: A line's number within its page: so many for each region.
+REGION_LINES = 100_000
+
+
+def hits_in(held: DataFrame, include_bare: bool) -> DataFrame:
+    """Callouts of words that are told by region; ``cg``: the line's number, REGION_LINES for each region."""
+    lines = merged_lines(with_keywords(normalized_words(gap_lines(held, keys=REGION_KEYS))), REGION_KEYS, MERGES)
+    return parse_lines(lines.select("doc_id", "page", (F.col("region") * REGION_LINES + F.col("cg")).cast("int").alias("cg"), "toks"), include_bare)
+
+
+def with_region(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("region", F.floor(F.col("cg") / REGION_LINES))
+
+
+def kept_once(hits: DataFrame, boxes: DataFrame) -> DataFrame:
+    """LIN-11 over a page's regions; then ``cg`` is 1000 for each region, and within a table its line."""
+    table = list(CATEGORIES).index("hole_table")
+    rows = with_region(dedup_hits(hits)).join(boxes.select(*REGION_KEYS, "cls"), list(REGION_KEYS))
+    band = F.col("region") * 1000 + F.when(F.col("cls") == table, F.col("cg") % REGION_LINES).otherwise(0)
+    return rows.withColumn("cg", band.cast("int")).drop("cls")
+
+
 def region_hits(words: DataFrame, regions: DataFrame, symbols: DataFrame | None = None, include_bare: bool = False) -> DataFrame:
     """DET-10: ``regions(doc_id, page, region, x0..y1, cls)``: callouts of the words whose centre each holds.
 
@@ -182,22 +235,88 @@ def region_hits(words: DataFrame, regions: DataFrame, symbols: DataFrame | None
     class admits. ``cg`` is 1000 for each region, and a table's lines count within it. Equal
     hits near each other stay once for a page. Pages without hits have no rows: a fallback.
     """
-    boxes = regions.where(~F.coalesce(kind_of(F.col("cls")) == "meta", F.lit(False))).select("doc_id", "page", "region", "cls", *[F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
-    centre = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2
-    inside = centre("x0", "x1").between(F.col("rx0"), F.col("rx1")) & centre("y0", "y1").between(F.col("ry0"), F.col("ry1"))
-    keys = ("doc_id", "page", "region")
-    held = words.join(boxes, ["doc_id", "page"]).where(inside).select(*keys, *WORD_FIELDS)
+    boxes = boxed(regions)
+    held = centred_in(words, boxes).select(*REGION_KEYS, *WORD_FIELDS)
     if symbols is not None:
-        texts = held.where(F.trim("text") != "").groupBy(*keys).agg(F.count("*").alias("n_text"))
-        poor = boxes.join(texts, list(keys), "left").where(F.coalesce("n_text", F.lit(0)) < 2).drop("n_text")
-        marks = symbols.join(poor, ["doc_id", "page"]).where(inside & (kind_of(F.col("cls")).isNull() | admits(F.col("cls"), F.col("symbol")))).select(*keys, "ord", "x0", "y0", "x1", "y1", "symbol")
-        held = with_symbols(held, marks, keys)
-    lines = merged_lines(with_keywords(normalized_words(gap_lines(held, keys=keys))), keys, MERGES)
-    table = list(CATEGORIES).index("hole_table")
-    place = F.col("region") * 1000 + F.when(F.col("cls") == table, F.col("cg")).otherwise(0)
-    banded = lines.join(boxes.select(*keys, "cls"), list(keys)).select("doc_id", "page", (F.col("region") * 100_000 + F.col("cg")).cast("int").alias("cg"), "toks", place.cast("int").alias("band"))
-    hits = parse_lines(banded, include_bare).join(banded.select("doc_id", "page", "cg", "band"), ["doc_id", "page", "cg"])
-    return dedup_hits(hits.drop("band")).join(banded.select("doc_id", "page", "cg", "band"), ["doc_id", "page", "cg"]).drop("cg").withColumnRenamed("band", "cg")
+        texts = held.where(F.trim("text") != "").groupBy(*REGION_KEYS).agg(F.count("*").alias("n_text"))
+        poor = boxes.join(texts, list(REGION_KEYS), "left").where(F.coalesce("n_text", F.lit(0)) < 2).drop("n_text")
+        held = with_symbols(held, admitted(symbols, poor), REGION_KEYS)
+    return kept_once(hits_in(held, include_bare), boxes).drop("region")
+
+
+def admitted(symbols: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Symbols by the region that holds their centre and, if it has a class, admits them."""
+    marks = centred_in(symbols, boxes).where(kind_of(F.col("cls")).isNull() | admits(F.col("cls"), F.col("symbol")))
+    return marks.select(*REGION_KEYS, "ord", "x0", "y0", "x1", "y1", "symbol")
+
+
+#: What a reader of region images gives: a line of text each, in pixels of a crop that begins at ``dx, dy`` of the page.
+READ_SCHEMA = "doc_id string, page int, region long, ord long, points array<struct<x:double,y:double>>, text string, conf double, dx double, dy double, scale double"
+#: First block numbers of what readers read, and those of a region. Fixed values.
+READ_BLOCKS, REGION_BLOCKS = {"ocr": VISION_BLOCK + 5000, "vlm": VISION_BLOCK + 7000}, 100
+
+
+def captured_regions(regions: DataFrame, capture: DataFrame | None) -> DataFrame:
+    """Regions that touch their page's capture rectangle ``(doc_id, page, cx0..cy1)``, numbered anew; without one, all of the page."""
+    if capture is None:
+        return regions
+    touching = ~((F.col("x1") < F.col("cx0")) | (F.col("x0") > F.col("cx1")) | (F.col("y1") < F.col("cy0")) | (F.col("y0") > F.col("cy1")))
+    kept = regions.join(capture, ["doc_id", "page"], "left").where(F.col("cx0").isNull() | touching)
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("region")) - 1
+    return kept.withColumn("region", number.cast("long")).select(*regions.columns)
+
+
+def routes(words_held: DataFrame, boxes: DataFrame, images: DataFrame, readers: dict[str, Reader], force_vlm: bool) -> DataFrame:
+    """``boxes`` with ``n_text``, ``image``, ``scale`` and the first ``reader``: text for two words or more, else VLM, else OCR, else text."""
+    texts = words_held.where(F.trim("text") != "").groupBy(*REGION_KEYS).agg(F.count("*").alias("n_text"))
+    rows = boxes.join(texts, list(REGION_KEYS), "left").withColumn("n_text", F.coalesce("n_text", F.lit(0)))
+    rows = rows.join(images, ["doc_id", "page"], "left")
+    seen = F.col("image").isNotNull()
+    rich = (F.col("n_text") >= 2) & ~F.lit(force_vlm and "vlm" in readers)
+    route = F.when(rich, "text").when(seen & F.lit("vlm" in readers), "vlm").when(seen & F.lit("ocr" in readers), "ocr").otherwise("text")
+    return rows.withColumn("reader", route)
+
+
+def routed_hits(words: DataFrame, regions: DataFrame, images: DataFrame, readers: dict[str, Reader], *, capture: DataFrame | None = None, symbols: DataFrame | None = None, include_bare: bool = False, force_vlm: bool = False, inject_vlm: bool = True, min_conf: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """DET-10: callouts of regions, each read by the reader that fits: ``(reads, hits)``.
+
+    ``images(doc_id, page, image, scale)``; ``readers``: 'vlm' and 'ocr', as far as at hand, which
+    take rows of ``REGION_KEYS, rx0..ry1, image, scale`` and give READ_SCHEMA. A region with two words or
+    more is read from the text layer (unless ``force_vlm``), else by the VLM or OCR if its page has
+    an image. Where the VLM reads nothing, the region's own word, if it has one, is taken. ``symbols`` go to regions
+    that were not read from the text layer. Containers keep what touches the ``capture``
+    rectangle. ``reads``: ``REGION_KEYS, cls, reader``; ``hits``: as ``region_hits`` and ``region``.
+    """
+    boxes = boxed(captured_regions(regions, capture))
+    held = centred_in(words, boxes).select(*REGION_KEYS, *WORD_FIELDS)
+    rows = routes(held, boxes, images, readers, force_vlm)
+    asked = lambda name: rows.where(F.col("reader") == name).select(*REGION_KEYS, "rx0", "ry0", "rx1", "ry1", "image", "scale")
+    read = {}
+    for name in [n for n in READ_BLOCKS if n in readers]:
+        first = F.lit(READ_BLOCKS[name]) + F.col("region") * REGION_BLOCKS
+        told = read_with(asked(name), readers[name], READ_SCHEMA)
+        read[name] = ocr_words(told, min_conf if name == "ocr" else float("-inf"), first, REGION_KEYS)
+    reads = rows.select(*REGION_KEYS, "cls", "n_text", "reader")
+    if "vlm" in read:
+        some = read["vlm"].select(*REGION_KEYS).distinct().withColumn("some", F.lit(True))
+        own = (F.col("reader") == "vlm") & F.col("some").isNull() & (F.col("n_text") > 0)
+        reads = reads.join(some, list(REGION_KEYS), "left").withColumn("reader", F.when(own, "text").otherwise(F.col("reader"))).drop("some")
+    reads = reads.drop("n_text")
+    taken = held.join(reads.where("reader = 'text'"), list(REGION_KEYS), "left_semi")
+    for part in read.values():
+        taken = taken.unionByName(part.select(*taken.columns))
+    if symbols is not None:
+        off_page = F.col("reader").isin(*(["ocr", "vlm"] if inject_vlm else ["ocr"]))
+        marks = admitted(symbols, boxes.join(reads.where(off_page).select(*REGION_KEYS), list(REGION_KEYS), "left_semi"))
+        taken = with_symbols(taken, marks, REGION_KEYS)
+    hits = hits_in(taken, include_bare)
+    if capture is not None:
+        container = boxes.where(kind_of(F.col("cls")) == "container").select(*REGION_KEYS, F.lit(True).alias("container"))
+        r = F.col("rect")
+        apart = (r["x1"] < F.col("cx0")) | (r["x0"] > F.col("cx1")) | (r["y1"] < F.col("cy0")) | (r["y0"] > F.col("cy1"))
+        cut = with_region(hits).join(container, list(REGION_KEYS), "left").join(capture, ["doc_id", "page"], "left")
+        hits = cut.where(F.col("container").isNull() | r.isNull() | ~F.coalesce(apart, F.lit(False))).select(*hits.columns)
+    return reads, kept_once(hits, boxes)
 
 
 def meta_at(regions: DataFrame, points: DataFrame) -> DataFrame:

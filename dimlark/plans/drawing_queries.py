@@ -701,6 +701,82 @@ def det_10(spark, sf_dir):
     return D.region_hits(X.split_words(spark, sf_dir), regions(spark, sf_dir)).select("doc_id", "page", "cg", "tp", "v", "t")
 
 
+#: what a callout looks like in a page's image, by form; the classes of regions; a part's image is drawn so clearly
+SEEN = ("# +0.1/-0.2", "Ø# THROUGH", "# H7", "4X Ø#", "#.5 ±0.1", "# +0.3/-0.1", "DURCHMESSER #", "R#")
+REGION_CLASSES, CLEARNESS, SCALE = (0, 1, 2, 3, 7), (0.3, 0.6, 0.6, 0.95, 0.95), 2.0
+CAPTURE = (-20.0, 325.0, 500.0, 1210.0)
+
+
+class LineReader:
+    """A reader without weights: it finds the drawn lines whose middle a region's crop holds, those that are clear enough."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def load(self) -> None:
+        self.columns = [c.split(" ")[0] for c in D.READ_SCHEMA.replace("array<struct<x:double,y:double>>", "points").split(", ")]
+
+    def read_regions(self, pages: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in pages:
+            out = []
+            for r in pdf.itertuples(index=False):
+                dx, dy = r.rx0, r.ry0
+                for i, line in enumerate(r.image):
+                    x0, y0, x1, y1 = line["x0"] - dx * r.scale, line["y0"] - dy * r.scale, line["x1"] - dx * r.scale, line["y1"] - dy * r.scale
+                    if 0 <= (x0 + x1) / 2 <= (r.rx1 - dx) * r.scale and 0 <= (y0 + y1) / 2 <= (r.ry1 - dy) * r.scale and line["conf"] >= self.least:
+                        out.append((r.doc_id, r.page, r.region, i, [{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))], line["text"], line["conf"], dx, dy, r.scale))
+            yield pd.DataFrame(out, columns=self.columns)
+
+
+def read_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """Pages of callouts, some in the text layer, some only with their first word, some drawn; a region for each callout."""
+    part = X.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 10).cast("string").alias("n"))
+    part = part.withColumns({"doc_id": F.floor(F.col("id") / 20).cast("string"), "page": F.lit(0), "k": F.col("id") % 20, "d": F.floor(F.col("id") / 20)})
+    y = (F.col("k") * 100).cast("double")
+    words = X.split_words(spark, sf_dir).withColumn("id", F.col("doc_id").cast("long") * 20 + F.floor((F.col("y0") + 12) / 100))
+    words = words.where((F.col("id") % 3 == 0) | ((F.col("id") % 3 == 1) & (F.col("block") % 4 == 0) & (F.col("line") == 0) & (F.col("word") == 0))).drop("id")
+    text = F.replace(X.pick(SEEN, F.col("id") % 8), F.lit("#"), F.col("n"))
+    line = F.struct(text.alias("text"), F.lit(0.0).alias("x0"), (y * SCALE).alias("y0"), (F.length(text) * 6 * SCALE).alias("x1"), ((y + 10) * SCALE).alias("y1"), F.element_at(F.array(*map(F.lit, CLEARNESS)), (F.col("id") % 5 + 1).cast("int")).alias("conf"))
+    images = part.where("d % 4 <> 3").groupBy("doc_id", "page").agg(F.collect_list(line).alias("image")).withColumn("scale", F.lit(SCALE))
+    cls = F.element_at(F.array(*map(F.lit, REGION_CLASSES)), ((F.col("d") + F.col("k")) % 5 + 1).cast("int"))
+    regions = part.select("doc_id", "page", F.col("k").alias("region"), F.lit(-10.0).alias("x0"), (y - 10).alias("y0"), F.lit(400.0).alias("x1"), (y + 40).alias("y1"), cls.alias("cls"))
+    marks = part.where("id % 8 = 2 AND id % 3 = 2").select("doc_id", "page", F.col("k").alias("ord"), F.lit(-9.0).alias("x0"), (y + 1).alias("y0"), F.lit(-1.0).alias("x1"), (y + 9).alias("y1"), F.lit("Ø").alias("symbol"))
+    capture = part.where("d % 3 = 0").select("doc_id", "page").distinct().select("*", *[F.lit(v).alias(c) for c, v in zip(("cx0", "cy0", "cx1", "cy1"), CAPTURE, strict=True)])
+    return {"words": words, "images": images, "regions": regions, "symbols": marks, "capture": capture}
+
+
+@query(
+    "DET-10-readers",
+    f"""WITH p AS (SELECT p_partkey AS id, p_partkey // 20 AS d, p_partkey % 20 AS k, p_partkey % 8 AS form, p_partkey % 3 AS t, CAST(p_size + 10 AS VARCHAR) AS n, ({list(CLEARNESS)})[p_partkey % 5 + 1] AS conf, ({list(REGION_CLASSES)})[(p_partkey // 20 + p_partkey % 20) % 5 + 1] AS cls FROM part),
+    c AS (SELECT *, d % 4 <> 3 AS seen, d % 3 = 0 AS cut, CASE WHEN d % 3 = 0 THEN row_number() OVER (PARTITION BY d ORDER BY k) - 1 ELSE k END AS region FROM p WHERE d % 3 <> 0 OR k BETWEEN 3 AND 12),
+    r AS (SELECT *, CASE WHEN t = 0 OR NOT seen THEN 'text' WHEN d % 2 = 1 THEN 'ocr' WHEN conf < 0.9 AND t = 1 THEN 'text' ELSE 'vlm' END AS reader FROM c WHERE cls <> 7),
+    h AS (SELECT r.* EXCLUDE (v), CASE WHEN cut AND k = 3 AND cls = 2 THEN NULL WHEN reader = 'text' AND t = 0 THEN replace(v, '#', n) WHEN reader = 'text' AND t = 1 THEN CASE form WHEN 1 THEN 'Ø' || n WHEN 7 THEN 'R' || n END
+        WHEN reader = 'text' THEN NULL WHEN conf >= CASE reader WHEN 'vlm' THEN 0.9 ELSE 0.5 END THEN CASE WHEN form = 2 AND t = 2 AND cls <> 3 THEN 'Ø' ELSE '' END || replace(v, '#', n) END AS v
+      FROM (SELECT r.*, s.v FROM r JOIN (VALUES {SPLIT_HITS}) AS s(f, tp, v, tol, h) ON s.f = form) r)
+    SELECT CAST(d AS VARCHAR) AS doc_id, region, reader, CAST(CASE WHEN v IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_hits, coalesce(v, '') AS found, CASE WHEN v IS NOT NULL THEN CAST(region * 1000 AS INTEGER) END AS cg FROM h""",
+)
+def det_10_readers(spark, sf_dir):
+    """Each region's reader and what it found: on even drawings VLM and OCR are at hand, on odd ones only OCR; every third has a capture rectangle."""
+    every = read_tables(spark, sf_dir)
+    out = []
+    for odd, readers in ((0, {"vlm": LineReader(0.9), "ocr": LineReader(0.0)}), (1, {"ocr": LineReader(0.0)})):
+        own = {name: df.where(F.col("doc_id").cast("long") % 2 == odd) for name, df in every.items()}
+        reads, hits = D.routed_hits(own["words"], own["regions"], own["images"], readers, capture=own["capture"], symbols=own["symbols"])
+        told = hits.groupBy("doc_id", "region").agg(F.count("*").alias("n_hits"), F.array_join(F.sort_array(F.collect_list("v")), ", ").alias("found"), F.min("cg").alias("cg"))
+        out.append(reads.join(told, ["doc_id", "region"], "left").select("doc_id", "region", "reader", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("found", F.lit("")).alias("found"), "cg"))
+    return out[0].unionByName(out[1])
+
+
+@query("FIL-5-regions", f"WITH {X.WORDS_CTE}, r AS (SELECT *, CASE WHEN region % 2 = 0 THEN region * 60 ELSE 0 END AS rx0, CASE WHEN region % 2 = 0 THEN region * 60 + 45 ELSE 1000 END AS rx1, region * 40 AS ry0, region * 40 + CASE WHEN region % 3 = 0 THEN 400 ELSE 30 END AS ry1 FROM (SELECT DISTINCT doc_id FROM words), (SELECT unnest(range(0, 12)) AS region)) SELECT w.doc_id, region, count(*) AS n FROM words w JOIN r USING (doc_id) WHERE (x0 + x1) / 2 BETWEEN rx0 AND rx1 AND (y0 + y1) / 2 BETWEEN ry0 AND ry1 GROUP BY ALL")
+def fil_5_regions(spark, sf_dir):
+    """Words of every document in twelve regions of different sizes, by a join of grid cells."""
+    words = X.words(spark, sf_dir)
+    r = F.col("region")
+    boxes = words.select("doc_id", "page").distinct().withColumn("region", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    edge = {"rx0": F.when(r % 2 == 0, r * 60).otherwise(0), "rx1": F.when(r % 2 == 0, r * 60 + 45).otherwise(1000), "ry0": r * 40, "ry1": r * 40 + F.when(r % 3 == 0, 400).otherwise(30)}
+    return D.centred_in(words, boxes.withColumns({c: e.cast("double") for c, e in edge.items()})).groupBy("doc_id", "region").agg(F.count("*").alias("n"))
+
+
 class BrightSpot:
     """A reader without weights: an image of 8 by 8 shades, of which it boxes the pixels above a tenth."""
 
