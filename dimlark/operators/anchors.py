@@ -86,7 +86,10 @@ def searched(wanted: DataFrame, words: DataFrame) -> DataFrame:
 
     own = words.select(*KEYS, "block", "line", "word", "text", "x0", "y0", "x1", "y1")
     asked = wanted.select(F.col("doc_id"), F.col("page"), F.col("ord").cast("long").alias("ord"), "needles")
-    return asked.groupBy(*KEYS).cogroup(own.join(asked.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS)).applyInPandas(run, FOUND)
+    own = own.join(asked.select(*KEYS).distinct(), KEYS, "left_semi").withColumnsRenamed({"doc_id": "__doc", "page": "__page"})
+    # names of their own: both sides may come from one table
+    own = own.select(*[F.col(c).alias(c) for c in own.columns])
+    return asked.groupBy(*KEYS).cogroup(own.groupBy("__doc", "__page")).applyInPandas(run, FOUND)
 
 
 def anchored(items: DataFrame, words: DataFrame, height: float) -> DataFrame:

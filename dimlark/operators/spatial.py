@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 from itertools import product
 
 import pandas as pd
@@ -173,44 +175,83 @@ def candidate_places(ax: float, ay: float, rect: tuple[float, ...] | None, radiu
     return [*out, (2, *place(*ways[0][1]))]
 
 
+class Cells:
+    """Things by the square cells that their boxes touch; those over very many cells are kept apart and are always near."""
+
+    MANY = 1024
+
+    def __init__(self, size: float):
+        self.size, self.held, self.wide = size, defaultdict(list), []
+
+    def reach(self, x0: float, y0: float, x1: float, y1: float) -> tuple[range, range] | None:
+        """The cells of a box; None if its edges are no numbers."""
+        if not all(map(math.isfinite, (x0, y0, x1, y1))):
+            return None
+        span = lambda a, b: range(math.floor(min(a, b) / self.size), math.floor(max(a, b) / self.size) + 1)
+        return span(x0, x1), span(y0, y1)
+
+    def put(self, thing: tuple, x0: float, y0: float, x1: float, y1: float) -> None:
+        cells = self.reach(x0, y0, x1, y1)
+        if cells is None or len(cells[0]) * len(cells[1]) > self.MANY:
+            self.wide.append(thing)
+        else:
+            for key in product(*cells):
+                self.held[key].append(thing)
+
+    def near(self, x: float, y: float, r: float) -> Iterator[tuple]:
+        """What may be within ``r`` of a point, some perhaps more than once."""
+        yield from self.wide
+        for key in product(*(self.reach(x - r, y - r, x + r, y + r) or ())):
+            yield from self.held.get(key, ())
+
+
+def far(x: float, y: float, radius: float, thing: tuple) -> bool:
+    """Whether a balloon there leaves an obstacle free: rectangles nearly by its radius, lines by less."""
+    kind, x0, y0, x1, y1 = thing
+    if kind == "rect":
+        return math.hypot(min(max(x, x0), x1) - x, min(max(y, y0), y1) - y) >= radius * 0.92
+    dx, dy = x1 - x0, y1 - y0
+    along = dx * dx + dy * dy
+    t = 0.0 if along <= 1e-9 else min(1.0, max(0.0, ((x - x0) * dx + (y - y0) * dy) / along))
+    return math.hypot(x0 + t * dx - x, y0 + t * dy - y) >= radius * 0.8
+
+
 def placed(anchors: DataFrame, obstacle_table: DataFrame, pages: DataFrame, radius: float = 9.0, prefer: str = "auto", compat_offset: bool = False) -> DataFrame:
     """GEO-8: ``anchors(doc_id, page, ord, ax, ay, rx0..ry1)`` -> ``ord, bx, by``; ``pages(doc_id, page, width, height)``.
 
-    A balloon is an obstacle to those after it, so a page is placed in order by one group. With
-    ``compat_offset`` only the first new balloon is one.
+    A balloon is an obstacle to those after it, so a page is placed in order by one group, which
+    meets the page's obstacles once, in cells. With ``compat_offset`` only the first new balloon
+    is one.
     """
-    box = F.struct("kind", "x0", "y0", "x1", "y1")
-    things = obstacle_table.groupBy("doc_id", "page").agg(F.collect_list(box).alias("things"))
-    rows = anchors.join(pages, ["doc_id", "page"]).join(things, ["doc_id", "page"], "left")
+    key = ["doc_id", "page"]
+    rows = anchors.join(pages.select(*key, "width", "height"), key)
+    things = obstacle_table.select(*key, "kind", "x0", "y0", "x1", "y1").join(rows.select(*key).distinct(), key, "left_semi")
+    # names of their own: both sides may come from one table
+    things = things.toDF("__doc", "__page", "kind", "x0", "y0", "x1", "y1")
     kind = anchors.schema["doc_id"].dataType.simpleString()
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        first = pdf.iloc[0]
-        blocks = [(t["kind"], t["x0"], t["y0"], t["x1"], t["y1"]) for t in (first["things"] if first["things"] is not None else ())]
-        width, height, balloons, out = first["width"], first["height"], [], []
-
-        def far(x: float, y: float, r: float, b: tuple) -> bool:
-            kind, x0, y0, x1, y1 = b
-            if kind == "rect":
-                return math.hypot(min(max(x, x0), x1) - x, min(max(y, y0), y1) - y) >= r * 0.92
-            dx, dy = x1 - x0, y1 - y0
-            along = dx * dx + dy * dy
-            t = 0.0 if along <= 1e-9 else min(1.0, max(0.0, ((x - x0) * dx + (y - y0) * dy) / along))
-            return math.hypot(x0 + t * dx - x, y0 + t * dy - y) >= r * 0.8
-
-        def free(tier: int, x: float, y: float) -> bool:
-            if tier == 2:
-                return True
-            fits = 2 <= x - radius and x + radius <= width - 2 and 2 <= y - radius and y + radius <= height - 2
-            return fits and all(math.hypot(px - x, py - y) >= radius * 2.4 for px, py in balloons) and (tier == 1 or all(far(x, y, radius, b) for b in blocks))
-
-        for row in pdf.itertuples(index=False):
-            rect = None if pd.isna(row.rx0) else (row.rx0, row.ry0, row.rx1, row.ry1)
-            x, y = next((x, y) for tier, x, y in candidate_places(row.ax, row.ay, rect, radius, width, height, prefer) if free(tier, x, y))
-            if not (compat_offset and balloons):
-                balloons.append((x, y))
-            out.append((row.doc_id, row.page, row.ord, x, y))
+    def page(own: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own):
+            blocks, balloons = Cells(4 * radius), Cells(4 * radius)
+            for thing in zip(*(around[c] for c in ("kind", "x0", "y0", "x1", "y1")), strict=True):
+                blocks.put(thing, *thing[1:])
+            width, height = own["width"].iloc[0], own["height"].iloc[0]
+
+            def free(tier: int, x: float, y: float) -> bool:
+                if tier == 2:
+                    return True
+                if not (2 <= x - radius and x + radius <= width - 2 and 2 <= y - radius and y + radius <= height - 2):
+                    return False
+                apart = all(math.hypot(px - x, py - y) >= radius * 2.4 for px, py in balloons.near(x, y, radius * 2.4))
+                return apart and (tier == 1 or all(far(x, y, radius, b) for b in blocks.near(x, y, radius)))
+
+            for row in own.sort_values("ord").itertuples(index=False):
+                rect = None if pd.isna(row.rx0) else (row.rx0, row.ry0, row.rx1, row.ry1)
+                x, y = next((x, y) for tier, x, y in candidate_places(row.ax, row.ay, rect, radius, width, height, prefer) if free(tier, x, y))
+                if not (compat_offset and out):
+                    balloons.put((x, y), x, y, x, y)
+                out.append((row.doc_id, row.page, row.ord, x, y))
         return pd.DataFrame(out, columns=["doc_id", "page", "ord", "bx", "by"])
 
-    return rows.groupBy("doc_id", "page").applyInPandas(page, f"doc_id {kind}, page int, ord long, bx double, by double")
+    return rows.groupBy(*key).cogroup(things.groupBy("__doc", "__page")).applyInPandas(page, f"doc_id {kind}, page int, ord long, bx double, by double")
