@@ -846,6 +846,28 @@ def agg_2(spark, sf_dir):
     return M.class_scores(*eval_tables(spark, sf_dir))
 
 
+COMPARED_CTE = f"{EVAL_CTE}, cmp AS (SELECT i.image, i.bucket, c.cls, t.cls IS NOT NULL AS t, f.cls IS NOT NULL AS f FROM (SELECT image, cls FROM truth UNION SELECT image, cls FROM found) c JOIN (SELECT DISTINCT image, bucket FROM truth) i USING (image) LEFT JOIN truth t ON t.image = c.image AND t.cls = c.cls LEFT JOIN found f ON f.image = c.image AND f.cls = c.cls)"
+
+
+@query(
+    "AGG-2-levels",
+    f"""WITH {COMPARED_CTE}, per AS (SELECT image, bucket, bool_and(t AND f) AS exact FROM cmp GROUP BY image, bucket),
+    g AS (SELECT bucket, cls, grouping(bucket, cls) AS lvl, count(*) FILTER (t AND f) AS tp, count(*) FILTER (t AND NOT f) AS fn, count(*) FILTER (f AND NOT t) AS fp FROM cmp GROUP BY GROUPING SETS ((bucket, cls), (bucket), ())),
+    h AS (SELECT bucket, grouping(bucket) AS lvl, count(*) AS images, count(*) FILTER (exact) AS exact FROM per GROUP BY GROUPING SETS ((bucket), ()))
+    SELECT CASE g.lvl WHEN 0 THEN 'class' WHEN 1 THEN 'bucket' ELSE 'all' END AS level, g.bucket, cls, tp, fn, fp, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END AS precision, images, exact
+    FROM g LEFT JOIN h ON g.lvl > 0 AND h.bucket IS NOT DISTINCT FROM g.bucket""",
+)
+def agg_2_levels(spark, sf_dir):
+    """Recall and precision by class, by bucket and of all, with images whose set of classes is right."""
+    return M.evaluation(*eval_tables(spark, sf_dir))
+
+
+@query("AGG-2-misses", f"WITH {COMPARED_CTE}, s AS (SELECT image, bucket, coalesce(list(cls ORDER BY cls) FILTER (t), []) AS own, coalesce(list(cls ORDER BY cls) FILTER (f), []) AS got FROM cmp GROUP BY image, bucket) SELECT image, bucket, array_to_string(own, ',') AS own, array_to_string(got, ',') AS got FROM s WHERE own <> got")
+def agg_2_misses(spark, sf_dir):
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return M.misses(*eval_tables(spark, sf_dir)).select("image", "bucket", shown("own"), shown("got"))
+
+
 @query("AGG-3", f"WITH {X.DETECTIONS_CTE} SELECT k AS cls, count(ord) AS n FROM (SELECT unnest(range(0, 12))::INTEGER AS k) LEFT JOIN dets ON cls = k GROUP BY k")
 def agg_3(spark, sf_dir):
     """Detections for each of twelve classes, of which eight occur."""
