@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .pyfmt import py_float
 
@@ -81,49 +79,69 @@ def spelled(text: Column, table: dict[str, str]) -> Column:
     return text
 
 
-def swept(lines: list[str], width: int, rule: Callable[..., str | None]) -> None:
-    """Let ``rule`` join windows of lines from the top; a joined window is a line and blanks."""
-    for i in range(len(lines) - width + 1):
-        joined = rule(*[line.strip() for line in lines[i : i + width]])
-        if joined is not None:
-            lines[i : i + width] = [joined, *[""] * (width - 1)]
+DEVIATION_PATTERN = r"(?:[+\-]\s*[\d.,]+|0(?:[.,]\d+)?)$"
+DEVIATION, COUNT_PATTERN = re.compile(DEVIATION_PATTERN), r"(?U)^\d+[Xx×]$"
 
 
-DEVIATION = re.compile(r"(?:[+\-]\s*[\d.,]+|0(?:[.,]\d+)?)$")
-COUNT = re.compile(r"\d+[Xx×]$")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def join_stack(value: str, first: str, second: str) -> str | None:
-    ok = value[-1:].isdecimal() and DEVIATION.match(first) and DEVIATION.match(second)
-    signed = first.startswith(("+", "-")) or second.startswith(("+", "-"))
-    return f"{value} {first.replace(' ', '')}/{second.replace(' ', '')}" if ok and signed else None
+def swept(lines: Column, width: int, rule: Callable[..., Column]) -> Column:
+    """Let ``rule`` join windows of lines from the top; a joined window is a line and blanks.
 
+    A window that was joined has blanked the next ``width`` - 1 lines, which the state counts.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("blank"))
+    empty = F.lit("")
 
-def join_lower(value: str, deviation: str) -> str | None:
-    half = re.search(r"\d\s*[+\-][\d.,]*\d$", value) and "/" not in value.split()[-1]
-    return f"{value}/{deviation.replace(' ', '')}" if half and DEVIATION.match(deviation) else None
+    def step(ls: Column) -> Callable[[Column, Column], Column]:
+        def one(a: Column, i: Column) -> Column:
+            own = F.when(a["blank"] > 0, empty).otherwise(F.get(ls, i))
+            window = [own, *[F.when(a["blank"] > k, empty).otherwise(F.get(ls, i + k)) for k in range(1, width)]]
+            joined = F.when(i <= F.size(ls) - width, rule(*[bare(w) for w in window]))
+            return bound(joined, lambda j: F.struct(F.array_append(a["out"], F.coalesce(j, own)).alias("out"), F.when(j.isNotNull(), width - 1).otherwise(F.greatest(a["blank"] - 1, F.lit(0))).alias("blank")))
 
+        return one
 
-def join_count(one: str, other: str) -> str | None:
-    if COUNT.match(one) and re.match(r"[.\d]", other):
-        return f"{one} {other}"
-    return f"{other} {one}" if re.match(r"[.\d]+$", one) and COUNT.match(other) else None
+    return bound(lines, lambda ls: F.aggregate(F.sequence(F.lit(0), F.size(ls) - 1), start, step(ls), lambda a: a["out"]))
 
 
-@F.pandas_udf(StringType())
-def lines_joined(texts: pd.Series) -> pd.Series:
-    """Stacked tolerances and lone counts brought onto the line of their value; blank lines left out."""
+def bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def is_deviation(text: Column) -> Column:
+    return text.rlike("(?U)^" + DEVIATION_PATTERN)
+
+
+def join_stack(value: Column, first: Column, second: Column) -> Column:
+    """A value and two deviations under it, one of them signed."""
+    signed = first.rlike(r"^[+\-]") | second.rlike(r"^[+\-]")
+    ok = value.rlike(r"\p{Nd}$") & is_deviation(first) & is_deviation(second) & signed
+    return F.when(ok, F.concat(value, F.lit(" "), F.replace(first, F.lit(" "), F.lit("")), F.lit("/"), F.replace(second, F.lit(" "), F.lit(""))))
 
-    def mend(text: str | None) -> str | None:
-        if text is None:
-            return None
-        lines = text.split("\n")
-        swept(lines, 3, join_stack)
-        swept(lines, 2, join_lower)
-        swept(lines, 2, join_count)
-        return "\n".join(line for line in lines if line)
 
-    return texts.map(mend, na_action=None)
+def join_lower(value: Column, deviation: Column) -> Column:
+    """A value with its upper deviation, and the lower one under it."""
+    half = value.rlike(r"(?U)\d\s*[+\-][\d.,]*\d$") & ~F.contains(F.regexp_extract(value, r"(?U)(\S+)$", 1), F.lit("/"))
+    return F.when(half & is_deviation(deviation), F.concat(value, F.lit("/"), F.replace(deviation, F.lit(" "), F.lit(""))))
+
+
+def join_count(one: Column, other: Column) -> Column:
+    """A count alone on its line, above or below what it counts."""
+    above = one.rlike(COUNT_PATTERN) & other.rlike(r"(?U)^[.\d]")
+    below = one.rlike(r"(?U)^[.\d]+$") & other.rlike(COUNT_PATTERN)
+    return F.when(above, F.concat(one, F.lit(" "), other)).when(below, F.concat(other, F.lit(" "), one))
+
+
+def lines_joined(text: Column) -> Column:
+    """Stacked tolerances and lone counts brought onto the line of their value; blank lines left out."""
+    lines = F.split(text, "\n", -1)
+    for width, rule in ((3, join_stack), (2, join_lower), (2, join_count)):
+        lines = swept(lines, width, rule)
+    return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
 def normalized(text: Column) -> Column:
@@ -132,7 +150,7 @@ def normalized(text: Column) -> Column:
     t = spelled(t, HOLE_MARKS)
     t = F.regexp_replace(t, r"(?U)//(?=\s*[\d.,])", " PARALLELISM ")
     t = rewritten(spelled(t, FRAME_SYMBOLS), ENDINGS)
-    return F.when(F.contains(t, F.lit("\n")), lines_joined(t)).otherwise(t)
+    return bound(t, lambda x: F.when(F.contains(x, F.lit("\n")), lines_joined(x)).otherwise(x))
 
 
 def normalized_token(token: Column) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,14 @@ RULES = (
     RuleSpec("LINEAR", None, NUM + r"\s*([+\-]\d+[.,]\d+)(?![\d.,/%])", lambda g: g(1), lambda g: g(2), 2),
 )
 
+#: For each rule, what stands in the upper-cased text wherever it matches: one of these (none: no such text).
+#: Letters whose cases Java's patterns take more freely than ``upper``, I and K, are left out of them.
+TRIGGERS: tuple[tuple[str, ...], ...] = (
+    ("M",), ("-",),
+    ("TRUE", "T.P."), ("FLATNESS",), ("STRA",), ("RCULAR", "ROUNDNESS"), ("CYL",), ("PARALLEL",), ("PERP",), ("ANGULAR",), ("R", "M"), ("CONCENTR", "COAX"), ("PROF",),
+    ("R",), (), ("BORE",), ("CS", "C'S"), ("DEEP",), ("Ø",), ("R",), ("45",), ("C",), ("°", "DEG"), ("[",), ("(",), ("±",), ("/",), ("+", "-"),
+)
+
 #: Some rule can match only where this is found: a digit, or the word of a frame or finish rule.
 HOPEFUL = r"(?iuU)\d|POS|T\.P\.|NESS|ITY|PARALLELISM|PERP|RUNOUT|TIR|FIM|PROFILE|R(?:max|sm|[azqtpv])\s*(?:=\s*)?[.,]"
 HIT = "struct<tp:string,sb:string,v:string,t:string,raw:string,start:int,end:int>"
@@ -150,24 +160,45 @@ def hit_key(h: Column) -> Column:
     return unspaced(F.lower(F.concat(h["tp"], F.lit(":"), v, F.lit(":"), F.coalesce(h["t"], F.lit("")))))
 
 
-def claimed(text: Column, rules: tuple[RuleSpec, ...] = RULES, lines: bool = True, once: bool = True) -> Column:
-    """Array of HIT. ``lines``: ``^`` is the start of any line. ``once``: a hit's key may occur once."""
+def claimed(text: Column, rules: tuple[RuleSpec, ...] = RULES, lines: bool = True, once: bool = True, upper: Column | None = None) -> Column:
+    """Array of HIT. ``lines``: ``^`` is the start of any line. ``once``: a hit's key may occur once.
+
+    With the text in ``upper`` case at hand, only the rules run whose trigger stands in it.
+    """
     flags = "iumU" if lines else "iuU"
-    every = F.concat(*[rule_matches(text, r, flags) for r in rules])
     none = F.array().cast(f"array<{HIT}>")
+    matches = [rule_matches(text, r, flags) for r in rules]
+    if rules is RULES and upper is not None:
+        some = lambda needs: reduce(Column.__or__, [F.contains(upper, F.lit(n)) for n in needs])
+        matches = [F.when(some(needs), m).otherwise(none) if needs else m for needs, m in zip(TRIGGERS, matches, strict=True)]
+    every = F.concat(*matches)
     if rules is RULES:
         every = F.when(text.rlike(HOPEFUL), every).otherwise(none)
     overlap = lambda k, x: (x["end"] > k["start"]) & (x["start"] < k["end"])
     return greedy_keep(every, (lambda k, x: overlap(k, x) | (hit_key(k) == hit_key(x))) if once else overlap, none)
 
 
+#: Scans of fixed columns, built once for each Spark context: the columns of 28 rules take seconds to put together.
+BUILT: dict[tuple, Column] = {}
+
+
+def scan_of(text: str, upper: str, lines: bool, once: bool) -> Column:
+    """``claimed`` by all rules of the columns named ``text`` and ``upper``."""
+    context = SparkContext._active_spark_context
+    key = (context.applicationId if context else None, text, upper, lines, once)
+    if key not in BUILT:
+        BUILT[key] = claimed(F.col(text), lines=lines, once=once, upper=F.col(upper))
+    return BUILT[key]
+
+
 def is_thru(text: Column) -> Column:
     return text.rlike(r"(?iuU)\bTHRU\b")
 
 
 def scan_parse(df: DataFrame, text: Column, keys: tuple[str, ...], rules: tuple[RuleSpec, ...] = RULES) -> DataFrame:
     """SCAN-2: ``keys, ord, tp, sb, v, t, raw, thru, start, end`` of each hit in a healed text."""
-    rows = df.select(*keys, text.alias("__text")).withColumn("hits", claimed(F.col("__text"), rules))
+    rows = df.select(*keys, text.alias("__text")).withColumn("__upper", F.upper("__text"))
+    rows = rows.withColumn("hits", scan_of("__text", "__upper", True, True) if rules is RULES else claimed(F.col("__text"), rules))
     # the outer form keeps Spark from testing the array's size first, by computing it once more
     out = rows.select(*keys, is_thru(F.col("__text")).alias("__thru"), F.posexplode_outer("hits").alias("ord", "h")).where("h IS NOT NULL")
     thru = F.when((F.col("h.tp") == "DIAMETER") & F.col("h.sb").isNull() & F.col("__thru"), True)
@@ -189,7 +220,8 @@ def parse_lines(lines: DataFrame, include_bare: bool = False) -> DataFrame:
     """SCAN-3: ``lines(doc_id, page, cg, toks array<struct<t, r>>)`` -> hits with the rectangles of their words."""
     joined = F.array_join(F.transform("toks", lambda t: t["t"]), " ")
     ends = F.aggregate("toks", F.array().cast("array<int>"), lambda a, t: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.length(t["t"])))
-    rows = lines.select("doc_id", "page", "cg", "toks", joined.alias("s"), ends.alias("ends")).withColumn("hits", claimed(F.col("s"), lines=False, once=False))
+    rows = lines.select("doc_id", "page", "cg", "toks", joined.alias("s"), ends.alias("ends"))
+    rows = rows.withColumn("__upper", F.upper("s")).withColumn("hits", scan_of("s", "__upper", False, False))
     spots = F.zip_with("toks", "ends", lambda t, e: F.struct((e - F.length(t["t"])).alias("from"), e.alias("to"), t["r"].alias("r"), t["t"].alias("t")))
     rows = rows.withColumn("spots", spots)
     inside = lambda h: F.filter("spots", lambda p: (p["to"] > h["start"]) & (p["from"] < h["end"]))

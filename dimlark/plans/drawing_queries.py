@@ -173,6 +173,20 @@ def scan_3(spark, sf_dir):
     return C.parse_lines(lines).select("doc_id", "tp", "v", "t", F.col("rect.x0").alias("x0"), F.col("rect.x1").alias("x1"))
 
 
+@query("SCAN-2-grammar", f'WITH {X.GRAMMAR_CTE} SELECT id, tp, sb, v, t, raw, CAST(s AS INTEGER) AS start_at, CAST(s + length(raw) AS INTEGER) AS end_at FROM hits')
+def scan_2_grammar(spark, sf_dir):
+    """Texts of two to five callouts of all rules, overlapping matches and notes among them: what stands where, each thing once."""
+    texts = X.grammar_texts(spark, sf_dir)
+    hits = C.scan_parse(texts, F.col("text"), ("id",))
+    return hits.select("id", "tp", "sb", "v", "t", "raw", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query("SCAN-4-grammar", f"WITH {X.GRAMMAR_CTE} SELECT tp, sb, count(*) AS n, count(t) AS n_tol FROM hits GROUP BY tp, sb")
+def scan_4_grammar(spark, sf_dir):
+    """How often each rule's kind is found in them."""
+    return C.scan_parse(X.grammar_texts(spark, sf_dir), F.col("text"), ("id",)).groupBy("tp", "sb").agg(F.count("*").alias("n"), F.count("t").alias("n_tol"))
+
+
 @query("SCAN-5", "SELECT p_partkey AS id, CAST(p_size AS DOUBLE) / 1000 AS two, 0.005::DOUBLE AS three, CAST(NULLIF(p_size % 3, 0) AS DOUBLE) AS ang FROM part")
 def scan_5(spark, sf_dir):
     """General tolerances of a title block, in words and as X forms."""

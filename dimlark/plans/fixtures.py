@@ -231,3 +231,85 @@ def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.col("w.text"), F.lit("#"), F.col("n"))
     x0, y0 = F.col("w.dx").cast("double"), (k * 100 + F.col("w.dy")).cast("double")
     return part.select(F.floor(F.col("id") / 20).cast("string").alias("doc_id"), F.lit(0).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + F.length(text) * 6).alias("x1"), (y0 + 10).alias("y1"), text.alias("text"), (k * 4 + F.col("w.b")).alias("block"), F.col("w.line").cast("long").alias("line"), F.col("w.word").cast("long").alias("word"))
+
+
+#: pieces of callout texts, one for each scanning rule and some that are no callout: text, kind, sub-kind, value, tolerance; ``#`` is the part's number
+PIECES = (
+    ("M#x1.5 - 6g", "THREAD", None, "M#x1.5 - 6g", None),
+    ("1/4-# UNC", "THREAD", None, "1/4-# UNC", None),
+    ("TRUE POSITION Ø0.# (M)", "GDT", "POSITION", "POSITION Ø0.# M", "0.#"),
+    ("FLATNESS 0.#", "GDT", "FLATNESS", "FLATNESS 0.#", "0.#"),
+    ("STRAIGHTNESS 0,#", "GDT", "STRAIGHTNESS", "STRAIGHTNESS 0,#", "0,#"),
+    ("ROUNDNESS 0.#", "GDT", "CIRCULARITY", "CIRCULARITY 0.#", "0.#"),
+    ("CYLINDRICITY 0.#", "GDT", "CYLINDRICITY", "CYLINDRICITY 0.#", "0.#"),
+    ("PARALLELISM 0.# MMC", "GDT", "PARALLELISM", "PARALLELISM 0.# M", "0.#"),
+    ("PERP 0.#", "GDT", "PERPENDICULARITY", "PERPENDICULARITY 0.#", "0.#"),
+    ("ANGULARITY 0.#", "GDT", "ANGULARITY", "ANGULARITY 0.#", "0.#"),
+    ("TIR 0.#", "GDT", "RUNOUT", "RUNOUT 0.#", "0.#"),
+    ("COAXIALITY 0.#", "GDT", "CONCENTRICITY", "CONCENTRICITY 0.#", "0.#"),
+    ("PROFILE OF A SURFACE 0.#", "GDT", "PROFILE", "PROFILE 0.#", "0.#"),
+    ("Ra 1.# µm", "SURFACE", None, "Ra 1.# µm", None),
+    ("Ø# H7/g6", "FIT", None, "Ø# H7/g6", "H7/g6"),
+    ("CBORE Ø#", "DIAMETER", "CBORE", "CBORE Ø#", None),
+    ("CSK Ø# x 90°", "DIAMETER", "CSINK", "CSINK Ø# X90°", None),
+    ("DEEP #", "DEPTH", None, "DEEP #", None),
+    ("4X Ø# +0.1/-0.2", "DIAMETER", None, "4X Ø#", "+0.1/-0.2"),
+    ("R# ±0.5", "RADIUS", None, "R#", "±0.5"),
+    ("# x 45°", "CHAMFER", None, "#x45°", None),
+    ("C#", "CHAMFER", None, "C#", None),
+    ("#° ±1°", "ANGLE", None, "#°", "±1"),
+    ("[#]", "LINEAR", "BASIC", "#", "BASIC"),
+    ("(#)", "LINEAR", "REF", "#", "REF"),
+    ("# ±0.05", "LINEAR", None, "#", "±0.05"),
+    ("# +0.2/-0.1", "LINEAR", None, "#", "+0.2/-0.1"),
+    ("# +0.25", "LINEAR", None, "#", "+0.25"),
+    ("NOTE", None, None, None, None),
+    ("REV B", None, None, None, None),
+    ("SEE SHEET #", None, None, None, None),
+)
+MOST_PIECES = 5
+#: what a piece holds for later rules when it stands in a text again and so claims nothing itself: number, text, kind, value, tolerance
+INNER = (
+    (2, "Ø0.#", "DIAMETER", "Ø0.#", None),
+    (14, "Ø#", "DIAMETER", "Ø#", None),
+    (15, "Ø#", "DIAMETER", "Ø#", None),
+    (16, "Ø#", "DIAMETER", "Ø#", None),
+    (16, "90°", "ANGLE", "90°", None),
+    (18, "# +0.1/-0.2", "LINEAR", "#", "+0.1/-0.2"),
+    (19, "# ±0.5", "LINEAR", "#", "±0.5"),
+    (20, "45°", "ANGLE", "45°", None),
+)
+
+
+def pieces_of(id_):
+    """Numbers of a text's pieces, two to five of them, the same one perhaps twice: ``(id * (2 j + 3) + 7 j j) % pieces``."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(MOST_PIECES - 1)), lambda j: (id_ * (2 * j + 3) + 7 * j * j) % len(PIECES))
+    return F.slice(every, 1, (id_ % (MOST_PIECES - 1) + 2).cast("int"))
+
+
+def grammar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of several callouts for each part."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") + 10).cast("string").alias("n"))
+    said = F.array(*[F.lit(p[0]) for p in PIECES])
+    return part.select("id", F.replace(F.array_join(F.transform(pieces_of(F.col("id")), lambda k: F.element_at(said, (k + 1).cast("int"))), " | "), F.lit("#"), F.col("n")).alias("text"))
+
+
+def _sql(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+GRAMMAR_CTE = f"""pieces(k, said, tp, sb, v, t) AS (VALUES {", ".join(f"({k}, {', '.join(map(_sql, p))})" for k, p in enumerate(PIECES))}
+), chosen AS (
+  SELECT p_partkey AS id, CAST(p_size + 10 AS VARCHAR) AS n, j, (p_partkey * (2 * j + 3) + 7 * j * j) % {len(PIECES)} AS k FROM part, (SELECT unnest(range(0, {MOST_PIECES})) AS j) WHERE j < p_partkey % {MOST_PIECES - 1} + 2
+), told AS (
+  SELECT id, j, n, c.k, replace(said, '#', n) AS said, tp, sb, replace(v, '#', n) AS v, replace(t, '#', n) AS t FROM chosen c JOIN pieces USING (k)
+), spots AS (
+  SELECT *, sum(length(said) + 3) OVER (PARTITION BY id ORDER BY j) - length(said) - 3 AS s, row_number() OVER (PARTITION BY id, k ORDER BY j) AS nth FROM told
+), inner_pieces(k, raw, tp, v, t) AS (VALUES {", ".join(f"({p[0]}, {', '.join(map(_sql, p[1:]))})" for p in INNER)}
+), again AS (
+  SELECT id, i.tp, replace(i.v, '#', n) AS v, replace(i.t, '#', n) AS t, replace(i.raw, '#', n) AS raw, s + instr(said, replace(i.raw, '#', n)) - 1 AS s FROM spots JOIN inner_pieces i USING (k) WHERE nth > 1
+), hits AS (
+  SELECT id, tp, sb, v, t, said AS raw, s FROM spots WHERE tp IS NOT NULL AND nth = 1
+  UNION ALL
+  SELECT id, tp, NULL, v, t, raw, s FROM again QUALIFY row_number() OVER (PARTITION BY id, tp, v, t ORDER BY s) = 1
+)"""
