@@ -20,7 +20,7 @@ from ..operators import rows as R
 from ..operators import scan as C
 from ..operators import spatial as P
 from ..schema import CATEGORIES, EngineConf
-from ..sources import labels, scratch, session, sheet
+from ..sources import labels, markup, scratch, session, sheet
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -1022,6 +1022,39 @@ def io_1(spark, sf_dir):
     return X.words(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+def markup_sql() -> str:
+    """``mw``: words of ``pages`` with their places, by DuckDB's own functions."""
+    text = "coalesce(html, '')"
+    for pattern in markup.UNSEEN:
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    text = rf"regexp_replace({text}, '[ \t\r\n\f\x0B]+', ' ', 'g')"
+    for pattern, mark in ((markup.BLOCK_TAG, "chr(12)"), (markup.BREAK_TAG, "chr(10)"), (markup.OTHER_TAG, "''")):
+        text = f"regexp_replace({text}, '{pattern}', {mark}, 'g')"
+    for entity, sign in markup.ENTITIES.items():
+        text = f"replace({text}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"""raw AS (SELECT page_id, {text} AS t FROM pages), bl AS (
+      SELECT page_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT page_id, string_split(t, chr(12)) AS bs FROM raw)
+    ), ln AS (SELECT page_id, i, unnest(ls) AS s, generate_subscripts(ls, 1) AS j FROM (SELECT page_id, i, string_split(b, chr(10)) AS ls FROM bl)
+    ), kept AS (SELECT page_id, i, j, trim(regexp_replace(s, ' +', ' ', 'g'), ' ') AS s FROM ln WHERE trim(s, ' ') <> ''
+    ), numbered AS (SELECT page_id, s, dense_rank() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block, row_number() OVER (PARTITION BY page_id, i ORDER BY j) - 1 AS line, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS r FROM kept
+    ), ws AS (SELECT page_id, block, line, r, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS word FROM (SELECT *, string_split(s, ' ') AS w FROM numbered)
+    ), flat AS (SELECT *, 6 * (sum(length(text) + 1) OVER (PARTITION BY page_id, r ORDER BY word) - length(text) - 1) AS a0, 12 * r AS b0 FROM ws
+    ), mw AS (SELECT page_id, block, line, word, text,
+        CASE page_id % 4 WHEN 1 THEN 800 - b0 - 10 WHEN 2 THEN 600 - a0 - 6 * length(text) WHEN 3 THEN b0 ELSE a0 END AS x0,
+        CASE page_id % 4 WHEN 1 THEN a0 + 6 * length(text) WHEN 2 THEN 800 - b0 WHEN 3 THEN 600 - a0 ELSE b0 + 10 END AS y1 FROM flat)"""
+
+
+@query("IO-1-pages", f"WITH {markup_sql()} SELECT p.page_id, count(text) AS n_words, coalesce(max(block) + 1, 0) AS n_blocks, md5(coalesce(string_agg(text, ' ' ORDER BY block, line, word), '')) AS digest, coalesce(sum(x0), 0)::DOUBLE AS x0, coalesce(sum(y1), 0)::DOUBLE AS y1 FROM pages p LEFT JOIN mw ON mw.page_id = p.page_id GROUP BY p.page_id")
+def io_1_pages(spark, sf_dir):
+    """Words of every page's markup with block, line and place, on pages turned by quarters."""
+    pages = X.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page"), "html", (F.col("page_id") % 4 * 90).alias("rotation"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    words = markup.displayed(markup.page_words(pages), pages)
+    order = F.struct("block", "line", "word", "text")
+    told = words.groupBy("doc_id").agg(F.count("*").alias("n_words"), (F.max("block") + 1).alias("n_blocks"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda w: w["text"]), " ")).alias("digest"), F.sum("x0").alias("x0"), F.sum("y1").alias("y1"))
+    zero = F.lit(0).cast("long")
+    return pages.select("doc_id").join(told, "doc_id", "left").select(F.col("doc_id").alias("page_id"), F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_blocks", zero).alias("n_blocks"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest"), F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("y1", F.lit(0.0)).alias("y1"))
+
+
 @query("IO-2", "SELECT doc_id, length(text) AS n FROM documents")
 def io_2(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
