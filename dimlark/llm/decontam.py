@@ -13,8 +13,7 @@ block, and the hits of a text, found by its digest, are united. The number of pa
 benchmark; with one block nothing is shuffled.
 
 Cases: null and empty texts have no words; an item without words has no window. Items with
-the same id count once. Items with a null id hit, but have no id to list; ``op6_decontamination``
-leaves them out, as its SQL does. Repeated documents are judged alike. An empty benchmark hits nothing.
+the same id count once. Items with a null id hit, but have no id to list. Repeated documents are judged alike. An empty benchmark hits nothing.
 Columns among ``id_cols`` that are named like outputs are replaced.
 """
 
