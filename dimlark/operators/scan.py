@@ -178,8 +178,15 @@ def claimed(text: Column, rules: tuple[RuleSpec, ...] = RULES, lines: bool = Tru
     return greedy_keep(every, (lambda k, x: overlap(k, x) | (hit_key(k) == hit_key(x))) if once else overlap, none)
 
 
+class Built(dict):
+    """Columns by what they were built for; functions that go to the executors by value take it along empty."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
 #: Scans of fixed columns, built once for each Spark context: the columns of 28 rules take seconds to put together.
-BUILT: dict[tuple, Column] = {}
+BUILT: dict[tuple, Column] = Built()
 
 
 def scan_of(text: str, upper: str, lines: bool, once: bool) -> Column:

@@ -728,7 +728,7 @@ class LineReader:
         self.least = least
 
     def load(self) -> None:
-        self.columns = [c.split(" ")[0] for c in D.READ_SCHEMA.replace("array<struct<x:double,y:double>>", "points").split(", ")]
+        self.columns = ["doc_id", "page", "region", "ord", "points", "text", "conf", "dx", "dy", "scale"]
 
     def read_regions(self, pages: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in pages:
