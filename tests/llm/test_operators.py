@@ -678,7 +678,7 @@ def test_pipeline_stages(spark, sf):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
@@ -686,7 +686,7 @@ def test_oracles(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings", "benchmark"):
+    for name in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want, got = con.execute(sql).df(), queries.QUERIES[name](spark, sf).toPandas()
