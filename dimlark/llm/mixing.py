@@ -16,8 +16,11 @@ over one row for each block of a source, and the tree holds one number for each
 shard, so sources may be many thousands, but not a good part of the rows. All is repeatable for
 the same rows.
 
+What a document is taken is the sum over its draws, as the tree dealt them.
+
 Cases: a null text has size 0 and is taken 0 times; a null source is a source of its own,
-weighed last; rows with equal ids share a block. Sources of size 0 have target 0. An empty
+weighed last; rows with equal ids, or none, are spread over the blocks by their texts, so only
+rows that agree in id and text share a block. Sources of size 0 have target 0. An empty
 table gives an empty mix. Input columns named like outputs are replaced.
 """
 
@@ -73,7 +76,7 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     nodes = rows.select(F.lit(1).cast("long").alias("node"), F.col("all.key").alias("keys"), F.col("all.quota").alias("quota"))
     for _ in range(levels):
         whole = F.aggregate("quota", F.lit(0).cast("long"), lambda a, x: a + x)
-        parts = F.transform("quota", lambda x, i: F.struct(x.alias("x"), (F.pmod(F.xxhash64(F.lit(seed), F.col("node"), i), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("u")))
+        parts = F.transform("quota", lambda x, i: F.struct(x.alias("x"), (md5_number(F.concat_ws(" ", F.lit(str(seed)), F.col("node").cast("string"), i.cast("string")), 1, 13) / F.lit(float(1 << 52))).alias("u")))
 
         def deal(a: Column, s: Column) -> Column:
             got = hypergeometric(a["total"], s["x"], a["drawn"], s["u"])
@@ -131,7 +134,7 @@ def mixed(
     if blocks is None:
         blocks = max(LEAST_BLOCKS, 1 << math.ceil(math.log2(max(1.0, docs.count() / BLOCK_ROWS))))
     key = F.coalesce(F.concat(F.lit("s"), col(source_col).cast("string")), F.lit("n"))
-    name = F.concat(F.lit("doc "), F.coalesce(col(id_col).cast("string"), F.lit("")))
+    name = F.concat_ws(" ", F.lit("doc"), F.coalesce(col(id_col).cast("string"), F.lit("")), F.coalesce(F.md5(col(text_col)), F.lit("")))
     others = [c for c in dict.fromkeys((id_col, *keep)) if c.lower() not in INTERNAL]
     rows = docs.select(
         F.struct(*[col(c) for c in others]).alias("row"),
@@ -153,7 +156,7 @@ def mixed(
     planned = planned.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("rest") - F.col("before"))))
     planned = written(planned.withColumn("copies", F.col("full") + (F.col("extra") > 0).cast("long")), "mix-plan")
     copies = planned.where("copies > 0").select("key", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "key", "block", "copy"), "block", "copy"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(md5_number(F.concat_ws(" ", F.lit(str(seed)), "key", F.col("block").cast("string"), F.col("copy").cast("string")), 1, 15), "block", "copy"))
     quotas = shard_quotas(planned.groupBy("key").agg(F.sum("copies").alias("quota")), shards, seed)
     placed = copies.withColumn("turn", turn).join(quotas, "key").select("key", "block", "copy", F.size(F.filter("upto", lambda x: x < F.col("turn"))).alias("shard"))
     placed = placed.groupBy("key", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("shards"))
@@ -168,8 +171,9 @@ def mixed(
         ),
         lambda d: d["words"] > 0,
     )
-    taken = F.col("full") * F.col("size") + F.col("cut")
-    return out.select(*[F.col("row")[c].alias(c) for c in others], "size", "source_size", "target", taken.alias("taken"), draws.alias("draws"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    dealt = out.withColumn("draws", draws)
+    return dealt.select(*[F.col("row")[c].alias(c) for c in others], "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def shard_rows(mix: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -188,17 +192,21 @@ def shard_rows(mix: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """``shards``: the shards of a document's draws, in the draws' order, comma-joined."""
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 OP10_SQL = r"""
-WITH d AS (
+WITH RECURSIVE n AS (
+  SELECT greatest(4096, CAST(pow(2, ceil(log2(greatest(1.0::DOUBLE, count(*) / 4096.0::DOUBLE)))) AS BIGINT)) AS blocks FROM documents
+), d AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('doc ' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         'doc ' || coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(md5(text), '') AS name
   FROM documents
-), r AS (
-  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 4096 AS block, CAST('0x' || substr(h, 9, 15) AS BIGINT) AS o FROM d
+), r AS MATERIALIZED (
+  SELECT *, CAST('0x' || substr(md5(name), 1, 8) AS BIGINT) % (SELECT blocks FROM n) AS block, CAST('0x' || substr(md5(name), 9, 15) AS BIGINT) AS o FROM d
 ), s AS (
   SELECT k, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY k
 ), w AS (
@@ -215,17 +223,52 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS full_passes FROM t
 ), b AS (
   SELECT k, block, CAST(sum(size) AS BIGINT) AS words FROM r GROUP BY k, block
-), p AS (
+), p AS MATERIALIZED (
   SELECT b.k, b.block, source_size, target, full_passes,
          greatest(0, least(words, CAST(floor(target + 0.5) AS BIGINT) - full_passes * source_size
            - coalesce(sum(words) OVER (PARTITION BY b.k ORDER BY CAST('0x' || substr(md5(b.k || ' ' || b.block), 1, 15) AS BIGINT), b.block
                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS extra
   FROM b JOIN g USING (k)
+), c AS (
+  SELECT k, block, unnest(range(1, full_passes + CAST(extra > 0 AS BIGINT) + 1)) AS copy FROM p
+), turns AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY CAST('0x' || substr(md5('20 ' || k || ' ' || block || ' ' || copy), 1, 15) AS BIGINT), block, copy) AS turn FROM c
+), root AS (
+  SELECT list(k ORDER BY k) AS ks, list(q ORDER BY k) AS qs FROM (SELECT k, count(*) AS q FROM turns GROUP BY k)
+), depth AS (
+  SELECT greatest(6, CAST(ceil(log2(greatest(1.0::DOUBLE, sum(target) / 67108864.0::DOUBLE))) AS BIGINT)) AS levels FROM t
+), tree(node, qs, lefts, total, drawn) AS (
+  SELECT 1::BIGINT, qs, []::BIGINT[], list_sum(qs)::BIGINT, list_sum(qs)::BIGINT // 2 FROM root
+  UNION ALL
+  SELECT CASE WHEN dealt THEN node * 2 + side ELSE node END, CASE WHEN dealt THEN half ELSE qs END,
+         CASE WHEN dealt THEN []::BIGINT[] ELSE list_append(lefts, got) END,
+         CASE WHEN dealt THEN list_sum(half)::BIGINT ELSE total - x END, CASE WHEN dealt THEN list_sum(half)::BIGINT // 2 ELSE drawn - got END
+  FROM (SELECT *, CASE side WHEN 0 THEN lefts ELSE list_transform(range(1, len(qs) + 1), lambda i: qs[i] - lefts[i]) END AS half,
+               CASE WHEN x = 0 OR drawn = 0 THEN 0 WHEN drawn = total THEN x ELSE least(high, lo + CAST(list_reduce(steps, lambda a, e:
+                 [a[1] * (x - e[1]) * (drawn - e[1]) / ((e[1] + 1) * (total - x - drawn + e[1] + 1)), a[2] + a[1], a[3] + CAST(a[2] + a[1] <= bar AS INTEGER)::DOUBLE],
+                 [1.0, 0.0, 0.0]::DOUBLE[])[3] AS BIGINT)) END AS got
+        FROM (SELECT *, u * list_reduce(steps, lambda a, e:
+                 [a[1] * (x - e[1]) * (drawn - e[1]) / ((e[1] + 1) * (total - x - drawn + e[1] + 1)), a[2] + a[1]], [1.0, 0.0]::DOUBLE[])[2] AS bar
+              FROM (SELECT *, list_transform(range(lo, high + 1), lambda v: [v::DOUBLE]) AS steps
+                    FROM (SELECT *, greatest(0, drawn + x - total, CAST(floor(mean - spread) AS BIGINT)) AS lo, least(x, drawn, CAST(ceil(mean + spread) AS BIGINT)) AS high
+                          FROM (SELECT *, sqrt(mean * (1 - x::DOUBLE / greatest(total, 1)) * (total - drawn) / greatest(total - 1, 1)) * 12 + 12 AS spread
+                                FROM (SELECT *, (drawn * x)::DOUBLE / greatest(total, 1) AS mean,
+                                             CAST('0x' || substr(md5('20 ' || node || ' ' || len(lefts)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+                                      FROM (SELECT *, len(lefts) = len(qs) AS dealt, qs[len(lefts) + 1] AS x FROM tree WHERE node < (1::BIGINT << (SELECT levels FROM depth))))))))
+        CROSS JOIN (VALUES (0), (1)) AS sides(side) WHERE dealt OR side = 0)
+), leaves AS (
+  SELECT node, unnest(root.ks) AS k, unnest(tree.qs) AS q FROM tree, root WHERE node >= (1::BIGINT << (SELECT levels FROM depth)) AND len(tree.lefts) = 0
+), upto AS (
+  SELECT k, list(upto ORDER BY node) AS ends FROM (SELECT k, node, sum(q) OVER (PARTITION BY k ORDER BY node)::BIGINT AS upto FROM leaves) GROUP BY k
+), shards AS (
+  SELECT k, block, list(CAST(len(list_filter(ends, lambda z: z < turn)) AS VARCHAR) ORDER BY copy) AS shards FROM turns JOIN upto USING (k) GROUP BY k, block
 ), a AS (
-  SELECT r.*, coalesce(sum(size) OVER (PARTITION BY k, block ORDER BY o, 'doc ' || coalesce(CAST(doc_id AS VARCHAR), ''), size
-                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM r
+  SELECT r.*, coalesce(sum(size) OVER (PARTITION BY k, block ORDER BY o, name, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r
+), m AS (
+  SELECT doc_id, size, source_size, target, full_passes, shards, CAST(greatest(0, least(size, extra - ahead)) AS BIGINT) AS cut
+  FROM a JOIN p USING (k, block) LEFT JOIN shards USING (k, block)
 )
-SELECT doc_id, size, source_size, target, CAST(full_passes * size + greatest(0, least(size, extra - ahead)) AS BIGINT) AS taken
-FROM a JOIN p USING (k, block)
+SELECT doc_id, size, source_size, target, CAST(full_passes * size + cut AS BIGINT) AS taken,
+       array_to_string(coalesce(shards, [])[1:CASE WHEN size = 0 THEN 0 ELSE full_passes + CAST(cut > 0 AS BIGINT) END], ',') AS shards
+FROM m
 """

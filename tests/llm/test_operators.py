@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -582,6 +583,50 @@ def test_mix_of_many_blocks_meets_its_targets(spark, sf):
     assert abs(sum(r["taken"] for r in rows) - sum({r["source_size"]: r["target"] for r in rows}.values())) <= len({r["source_size"] for r in rows})
 
 
+def test_null_and_repeated_ids_spread_over_blocks(spark):
+    """A third of the rows has no id, a third one id: texts part them, and targets are still met."""
+    rows = [(i if i % 3 == 0 else (None if i % 3 == 1 else 7), f"text {i} " + "w " * (i % 9), "a" if i % 2 else "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs, keep=("text",), shards=8).collect()
+    assert len(got) == 900 and all(r["taken"] == sum(d["words"] for d in r["draws"]) <= 2 * r["size"] for r in got)
+    cut = [r for r in got if r["taken"] % r["size"]]
+    assert len(cut) <= 2
+    shards = {d["shard"] for r in got if r["doc_id"] is None for d in r["draws"]}
+    assert shards == set(range(8))
+
+
+def test_shards_are_the_trees(spark, sf):
+    """Draws of each source and shard, counted over documents' blocks, are the tree's, by plain Python."""
+
+    def number(s, digits):
+        return int(hashlib.md5(s.encode()).hexdigest()[:digits], 16)
+
+    def inverted(total, marked, drawn, u):
+        if not marked or not drawn:
+            return 0
+        low, high = max(0, drawn + marked - total), min(marked, drawn)
+        ways = [math.comb(marked, k) * math.comb(total - marked, drawn - k) for k in range(low, high + 1)]
+        bar, below = u * sum(ways), 0
+        for k, w in zip(range(low, high + 1), ways, strict=True):
+            below += w
+            if below > bar:
+                return k
+        return high
+
+    quotas = {"a": 400, "b": 37, "c": 0, "d": 161}
+    upto = {r["key"]: r["upto"] for r in mixing.shard_quotas(spark.createDataFrame(list(quotas.items()), "key string, quota long"), 8, 20).collect()}
+    nodes = {1: [quotas[k] for k in sorted(quotas)]}
+    for node in range(1, 8):
+        left, total = [], sum(nodes[node])
+        drawn = total // 2
+        for i, x in enumerate(nodes[node]):
+            left.append(inverted(total, x, drawn, number(f"20 {node} {i}", 13) / (1 << 52)))
+            total, drawn = total - x, drawn - left[-1]
+        nodes[2 * node], nodes[2 * node + 1] = left, [q - n for q, n in zip(nodes[node], left, strict=True)]
+    for i, k in enumerate(sorted(quotas)):
+        assert upto[k] == [sum(nodes[n][i] for n in range(8, m + 1)) for m in range(8, 16)]
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {"a": 1000, "b": 37, "c": 0, "d": 1}
     df = spark.createDataFrame(list(quotas.items()), "key string, quota long")
