@@ -7,7 +7,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import standards as S
@@ -18,6 +18,7 @@ from ..operators import lines as N
 from ..operators import metrics as M
 from ..operators import rows as R
 from ..operators import scan as C
+from ..operators import review as V
 from ..operators import spatial as P
 from ..schema import CATEGORIES, EngineConf
 from ..sources import labels, markup, scratch, session, sheet
@@ -344,6 +345,88 @@ def row_11(spark, sf_dir):
     return R.reviewed(rows, over, ("id",)).select("id", "feature", "type", "group")
 
 
+def grammar_hits(spark, sf_dir) -> DataFrame:
+    """Hits of texts of several callouts, those of five texts to a drawing; ``ord`` counts within the drawing."""
+    hits = C.scan_parse(X.grammar_texts(spark, sf_dir), F.col("text"), ("id",))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("start"))
+    return hits.withColumns({"doc_id": F.floor(F.col("id") / 5).cast("string"), "page": F.lit(0), "ord": F.col("id") % 5 * 20 + nth - 1})
+
+
+#: rows of the grammar's hits, built by their kind; ``t`` is what stands in ``said``
+GRAMMAR_ROWS = """SELECT *, CASE tp WHEN 'DEPTH' THEN 'depth / głębokość' WHEN 'THREAD' THEN 'thread / gwint' WHEN 'GDT' THEN 'GD&T' WHEN 'SURFACE' THEN 'finish / wykończenie' WHEN 'DIAMETER' THEN 'hole / otwór' WHEN 'FIT' THEN CASE WHEN t[1] = 'H' THEN 'hole / otwór' ELSE 'dim' END ELSE 'dim' END AS type,
+  CASE tp WHEN 'DEPTH' THEN 'holes Ø / otwory' WHEN 'THREAD' THEN 'threads / gwinty' WHEN 'GDT' THEN 'GD&T' WHEN 'ANGLE' THEN 'GD&T' WHEN 'SURFACE' THEN 'finish / wykończenie' WHEN 'CHAMFER' THEN 'other / inne' WHEN 'DIAMETER' THEN 'holes Ø / otwory' WHEN 'FIT' THEN CASE WHEN t[1] = 'H' THEN 'holes Ø / otwory' ELSE 'LWH' END ELSE 'LWH' END AS "group",
+  CASE WHEN tp = 'FIT' THEN v || ' (fit ' || t || ')' ELSE v END AS feature,
+  CASE WHEN tp IN ('THREAD', 'SURFACE') THEN NULL WHEN tp = 'GDT' THEN 0 ELSE TRY_CAST(regexp_extract(replace(v, '4X ', ''), '[0-9.]+') AS DOUBLE) END AS nominal,
+  CASE WHEN tp <> 'GDT' AND t[1] = '±' THEN CAST(t[2:] AS DOUBLE) END AS sym0,
+  CASE WHEN tp = 'GDT' THEN TRY_CAST(replace(regexp_replace(t, '[^0-9.,]', '', 'g'), ',', '.') AS DOUBLE) WHEN tp = 'FIT' AND t = 'H7' THEN (SELECT it.t / 1000.0::DOUBLE FROM it WHERE it.grade = 7 AND n::DOUBLE > it.lo AND n::DOUBLE <= it.hi) WHEN t[1] = '+' THEN CAST(split_part(t[2:], '/', 1) AS DOUBLE) END AS tol_max,
+  CASE WHEN tp = 'GDT' OR (tp = 'FIT' AND t = 'H7') THEN 0 WHEN t[1] = '+' THEN CASE WHEN contains(t, '/') THEN CAST(split_part(t, '/', 2) AS DOUBLE) ELSE 0 END END::DOUBLE AS tol_min"""
+GRAMMAR_TOLS = """SELECT * EXCLUDE (sym0), CASE WHEN sym0 IS NULL AND tol_max IS NULL AND tol_min IS NULL AND nominal IS NOT NULL AND tp NOT IN ('GDT', 'SURFACE', 'THREAD') THEN
+  CASE WHEN doc % 3 = 0 THEN NULL WHEN tp = 'ANGLE' THEN 1.0 WHEN starts_with(v, 'Ø0.') THEN 0.005 WHEN doc % 3 = 1 THEN 0.9 ELSE 0.02 END::DOUBLE ELSE sym0 END AS tol_sym"""
+GRAMMAR_HITS = f"""{X.GRAMMAR_CTE}, it(grade, band, lo, hi, t) AS (VALUES {IT_VALUES}),
+scanned AS (SELECT h.*, id // 5 AS doc, CAST(p_size + 10 AS VARCHAR) AS n, id % 5 * 20 + row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS ord FROM hits h JOIN part ON p_partkey = id)"""
+
+
+def page_tols(spark, sf_dir) -> DataFrame:
+    """General tolerances of two pages out of three."""
+    docs = X.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 5).alias("d")).distinct().where("d % 3 > 0")
+    tols = F.create_map(F.lit("0"), F.when(F.col("d") % 3 == 1, 0.9).otherwise(0.02), F.lit("2"), F.lit(0.005), F.lit("ang"), F.lit(1.0))
+    return docs.select(F.col("d").cast("string").alias("doc_id"), F.lit(0).alias("page"), tols.alias("tols"))
+
+
+@query("ROW-1-grammar", f'WITH {GRAMMAR_HITS}, made AS ({GRAMMAR_ROWS} FROM scanned) SELECT CAST(doc AS VARCHAR) AS doc_id, ord, tp, type, "group", feature, nominal, sym0 AS tol_sym, tol_max, tol_min FROM made')
+def row_1_grammar(spark, sf_dir):
+    """Rows of callouts by all rules."""
+    return R.rows_of_hits(grammar_hits(spark, sf_dir)).select("doc_id", "ord", "tp", *ROW_COLUMNS[1:])
+
+
+@query("ROW-4-grammar", f"WITH {GRAMMAR_HITS}, made AS ({GRAMMAR_ROWS} FROM scanned) SELECT CAST(doc AS VARCHAR) AS doc_id, ord, tol_sym, tol_max, tol_min FROM ({GRAMMAR_TOLS} FROM made)")
+def row_4_grammar(spark, sf_dir):
+    """Each page's own tolerances fill its rows that have none, by decimals and for angles."""
+    rows = R.with_general_tols(R.rows_of_hits(grammar_hits(spark, sf_dir)), page_tols(spark, sf_dir))
+    return rows.select("doc_id", "ord", "tol_sym", "tol_max", "tol_min")
+
+
+def review_log(spark, sf_dir) -> DataFrame:
+    """An entry for each line item: two kinds check a row of its part's text, one the whole drawing, the others edit."""
+    k, mode = F.col("l_linenumber"), F.col("l_quantity").cast("int") % 8
+    by = lambda of: F.coalesce(*[F.when(mode == m, v) for m, v in of.items()], F.lit(""))
+    edits = {"type": by({0: "slot / rowek", 1: " hole / otwór", 2: "key"}), "gage": by({3: "caliper", 2: " "}), "t": by({4: "±0.02", 5: "+0.3/-0.1", 6: "H7", 0: " "})}
+    at = (F.col("l_orderkey") * 8 + k) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
+    return X.table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_partkey") / 5).cast("string").alias("doc_id"), at.alias("at"),
+        F.when(k < 3, F.col("l_partkey") % 5 * 20 + F.col("l_suppkey") % 4).alias("ord"), F.when(k < 3, F.col("l_returnflag") == "R").when(k == 3, F.col("l_returnflag") != "A").alias("use"),
+        *[F.when(k > 3, v).alias(c) for c, v in edits.items()],
+    )
+
+
+@query(
+    "ROW-11-log",
+    f"""WITH {GRAMMAR_HITS}, first AS ({GRAMMAR_ROWS} FROM scanned), log AS (
+      SELECT l_partkey // 5 AS doc, (l_orderkey * 8 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS moment, CASE WHEN l_linenumber < 3 THEN l_partkey % 5 * 20 + l_suppkey % 4 END AS ord,
+        CASE WHEN l_linenumber < 3 THEN l_returnflag = 'R' WHEN l_linenumber = 3 THEN l_returnflag <> 'A' END AS use,
+        CASE l_quantity % 8 WHEN 0 THEN 'slot / rowek' WHEN 1 THEN 'hole / otwór' WHEN 2 THEN 'key' END AS new_type, CASE l_quantity % 8 WHEN 3 THEN 'caliper' END AS new_gage,
+        CASE l_quantity % 8 WHEN 4 THEN '±0.02' WHEN 5 THEN '+0.3/-0.1' WHEN 6 THEN 'H7' END AS new_t FROM lineitem
+    ), seen AS (
+      SELECT f.doc, f.ord, l.moment, l.use, new_type, new_gage, new_t, coalesce(last_value(l.use IGNORE NULLS) OVER (PARTITION BY f.doc, f.ord ORDER BY l.moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), coalesce(f.sb, '') NOT IN ('BASIC', 'REF')) AS on_then
+      FROM first f JOIN log l ON l.doc = f.doc AND coalesce(l.ord, f.ord) = f.ord
+    ), final AS (
+      SELECT doc, ord, arg_max(use, moment) FILTER (use IS NOT NULL) AS use, arg_max(new_type, moment) FILTER (use IS NULL AND on_then AND new_type IS NOT NULL) AS new_type,
+        arg_max(new_gage, moment) FILTER (use IS NULL AND on_then AND new_gage IS NOT NULL) AS new_gage, arg_max(new_t, moment) FILTER (use IS NULL AND on_then AND new_t IS NOT NULL) AS new_t FROM seen GROUP BY doc, ord
+    ), edited AS (
+      SELECT s.* EXCLUDE (t), coalesce(new_t, s.t) AS t, coalesce(use, coalesce(s.sb, '') NOT IN ('BASIC', 'REF')) AS use, new_type, new_gage FROM scanned s LEFT JOIN final USING (doc, ord)
+    ), built AS ({GRAMMAR_ROWS} FROM edited), tols AS ({GRAMMAR_TOLS} FROM built), typed AS (
+      SELECT * REPLACE (coalesce(new_type, type) AS type, CASE new_type WHEN 'slot / rowek' THEN 'positions / pozycje' WHEN 'hole / otwór' THEN 'holes Ø / otwory' ELSE "group" END AS "group"), coalesce(tol_sym, (tol_max - tol_min) / 2) AS width FROM tols
+    )
+    SELECT CAST(doc AS VARCHAR) AS doc_id, ord, use, t, type, "group", feature, nominal, tol_sym, tol_max, tol_min,
+      coalesce(new_gage, CASE WHEN type[1:6] = 'thread' THEN 'GO gauge' WHEN "group" IN ('GD&T', 'positions / pozycje') OR width <= 0.01::DOUBLE THEN 'CMM' WHEN width <= 0.03::DOUBLE THEN 'micrometer' WHEN type[1:4] = 'hole' THEN 'pin / bore gauge' ELSE 'caliper' END) AS gage
+    FROM typed""",
+)
+def row_11_log(spark, sf_dir):
+    """Check marks and bulk edits in their order; a new tolerance builds the row anew."""
+    out = V.reviewed_by_log(grammar_hits(spark, sf_dir), review_log(spark, sf_dir), page_tols(spark, sf_dir))
+    return out.select("doc_id", "ord", "use", "t", *ROW_COLUMNS[1:], "gage")
+
+
 def scanned_items(spark, sf_dir) -> DataFrame:
     """Rows of callouts spread over drawings of 50 and pages of 10, in groups of two."""
     at = F.col("id")
