@@ -222,6 +222,29 @@ def scan_9(spark, sf_dir):
     return rows.select("id", chosen[0]["tp"].alias("tp"))
 
 
+@query(
+    "SCAN-9-readings",
+    f"""WITH {X.GRAMMAR_CTE}, chosen_pieces AS (SELECT p_partkey AS id, CAST(p_size + 10 AS VARCHAR) AS n, 25 + p_partkey % 6 AS a, 26 + p_partkey // 6 % 5 AS b, 27 + p_partkey // 30 % 4 AS c FROM part)
+    SELECT id, coalesce(x.tp, y.tp, z.tp, CASE WHEN contains(z.said, '#') THEN 'LINEAR' END) AS tp, replace(CASE WHEN x.tp IS NOT NULL THEN x.v WHEN y.tp IS NOT NULL THEN y.v WHEN z.tp IS NOT NULL THEN z.v WHEN contains(z.said, '#') THEN '#' END, '#', n) AS v,
+      CASE WHEN x.tp IS NOT NULL THEN x.t WHEN y.tp IS NOT NULL THEN y.t ELSE z.t END AS t
+    FROM chosen_pieces JOIN pieces x ON x.k = a JOIN pieces y ON y.k = b JOIN pieces z ON z.k = c""",
+)
+def scan_9_readings(spark, sf_dir):
+    """A region's hits, else those of placed words, else those of the text, else its first number: three texts are scanned, some hold nothing."""
+    at = F.col("p_partkey")
+    said = F.array(*[F.lit(p[0]) for p in X.PIECES])
+    text = lambda k: F.replace(F.element_at(said, (k + 1).cast("int")), F.lit("#"), (F.col("p_size") + 10).cast("string"))
+    part = X.table(spark, sf_dir, "part").select(at.alias("id"), text(25 + at % 6).alias("region"), text(26 + F.floor(at / 6) % 5).alias("placed"), text(27 + F.floor(at / 30) % 4).alias("plain"))
+    sources = part.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("text")) for c in ("region", "placed", "plain")])).alias("s")).select("id", "s.*")
+    cells = F.struct("ord", "tp", "v", "t")
+    found = C.scan_parse(sources, F.col("text"), ("id", "source")).groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == c, cells))).alias(f"{c}_hits") for c in ("region", "placed", "plain")])
+    rows = part.join(found, "id", "left")
+    number, none = C.first_bare_number(F.col("plain")), F.lit(None).cast("string")
+    bare = F.when(number.isNotNull(), F.array(F.struct(F.lit(0).alias("ord"), F.lit("LINEAR").alias("tp"), number.alias("v"), none.alias("t"))))
+    chosen = C.fallback(F.col("region_hits"), F.col("placed_hits"), F.col("plain_hits"), bare)
+    return rows.withColumn("hit", F.try_element_at(chosen, F.lit(1))).select("id", "hit.tp", "hit.v", "hit.t")
+
+
 @query("SCAN-10", X.on_ledger("SELECT DISTINCT type, CASE WHEN len(string_split(type, ' / ')) = 2 THEN split_part(type, ' / ', 1) ELSE type END AS en, CASE WHEN len(string_split(type, ' / ')) = 2 THEN split_part(type, ' / ', 2) ELSE type END AS pl FROM led"))
 def scan_10(spark, sf_dir):
     kind = F.col("type")
@@ -761,6 +784,30 @@ def det_6(spark, sf_dir):
     return out.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("block") >= D.VISION_BLOCK).alias("n_new"))
 
 
+def word_digests(words: DataFrame) -> DataFrame:
+    """All words of a document with their places, as one digest."""
+    told = F.concat_ws(":", *[F.col(c).cast("long").cast("string") for c in ("block", "line", "word", "x0", "y0", "x1", "y1")], "text")
+    rows = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "line", "word", "x0", told.alias("s")))).alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join(F.transform("w", lambda w: w["s"]), "\n")).alias("digest"))
+
+
+DIGESTED = """SELECT doc_id, count(*) AS n_words, md5(string_agg(concat_ws(':', block, line, word, x0::BIGINT, y0::BIGINT, x1::BIGINT, y1::BIGINT, text), chr(10) ORDER BY block, line, word, x0)) AS digest"""
+SIGNED_CTE = f"""{X.WORDS_CTE}, near AS (
+  SELECT *, word = 7 AND CAST(doc_id AS BIGINT) % 3 = 0 AS marked, regexp_matches(text, '^[.0-9ØøR]') AS numeric FROM words
+), signed AS (
+  SELECT doc_id, CASE WHEN grows THEN x0 - 12 ELSE x0 END AS x0, y0, x1, y1, CASE WHEN grows THEN 'Ø' || text ELSE text END AS text, block, line, word
+  FROM (SELECT *, marked AND numeric AND NOT regexp_matches(text, '^[Øø]') AS grows FROM near)
+  UNION ALL
+  SELECT doc_id, x0 - 12, y0, x0 - 2, y1, 'Ø', 900000 + (SELECT count(*) FROM words w WHERE w.doc_id = near.doc_id) + row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1, 0, 0 FROM near WHERE marked AND NOT numeric
+)"""
+
+
+@query("DET-6-words", f"WITH {SIGNED_CTE} {DIGESTED} FROM signed GROUP BY doc_id")
+def det_6_words(spark, sf_dir):
+    """What becomes of each word and symbol, with all places."""
+    return word_digests(D.with_symbols(X.words(spark, sf_dir), symbols(spark, sf_dir)))
+
+
 @query("DET-7", f"WITH {X.DETECTIONS_CTE} SELECT ord FROM dets WHERE x1 - x0 > 0 AND x1 - x0 <= 60 AND y1 - y0 <= 60 AND (x1 - x0) / greatest(y1 - y0, 1e-6) BETWEEN 0.6 AND 1.6 AND cls >= 3 AND ord % 4 BETWEEN 1 AND 2")
 def det_7(spark, sf_dir):
     """Paths made of detections: as many curves as the class, lines by the number."""
@@ -924,6 +971,27 @@ def det_12(spark, sf_dir):
     return D.augmented(words, none, ocr, none).groupBy("doc_id").agg(F.count("*").alias("n_words"))
 
 
+@query(
+    "DET-12-signs",
+    f"""WITH {SIGNED_CTE}, read AS (
+      SELECT * FROM signed UNION ALL SELECT doc_id, 132, 900, 192, 910, '0.5', 800000, 0, 0 FROM signed GROUP BY doc_id HAVING count(*) < 4
+    ), seen AS (SELECT *, word = 3 AND block < 900000 AND CAST(doc_id AS BIGINT) % 2 = 0 AS marked, regexp_matches(text, '^[.0-9ØøR]') AS numeric FROM read), drawn AS (
+      SELECT doc_id, CASE WHEN grows THEN x0 - 12 ELSE x0 END AS x0, y0, x1, y1, CASE WHEN grows THEN 'R' || text ELSE text END AS text, block, line, word FROM (SELECT *, marked AND numeric AND text[1] <> 'R' AS grows FROM seen)
+      UNION ALL
+      SELECT doc_id, x0 - 12, y0, x0 - 2, y1, 'R', 900000 + (SELECT count(*) FROM read r WHERE r.doc_id = seen.doc_id) + row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1, 0, 0 FROM seen WHERE marked AND NOT numeric
+    ) {DIGESTED} FROM drawn GROUP BY doc_id""",
+)
+def det_12_signs(spark, sf_dir):
+    """Drawn signs, a reader's word on pages of few words, then detected symbols, each upon what came before."""
+    words = X.words(spark, sf_dir)
+    at = {"x0": 132.0, "y0": 900.0, "x1": 192.0, "y1": 910.0}
+    numbers = {"block": 800_000, "line": 0, "word": 0}
+    ocr = words.select("doc_id", "page").distinct().select("doc_id", "page", *[F.lit(v).alias(c) for c, v in at.items()], F.lit("0.5").alias("text"), *[F.lit(v).cast("long").alias(c) for c, v in numbers.items()])
+    seen = words.where("word = 3 AND CAST(doc_id AS LONG) % 2 = 0")
+    seen = seen.select("doc_id", "page", (F.col("line") * 100).alias("ord"), (F.col("x0") - 12).alias("x0"), "y0", (F.col("x0") - 2).alias("x1"), "y1", F.lit("R").alias("symbol"))
+    return word_digests(D.augmented(words, symbols(spark, sf_dir), ocr, seen))
+
+
 @query("AGG-1", f"WITH {X.DETECTIONS_CTE} SELECT cls, count(*) AS n FROM dets GROUP BY cls")
 def agg_1(spark, sf_dir):
     return M.tally(X.detections(spark, sf_dir))
@@ -1090,11 +1158,12 @@ def geo_9(spark, sf_dir):
     return X.ledger(spark, sf_dir).select("doc_id", "seq", box["x0"].alias("x0"), box["y1"].alias("y1"))
 
 
-@query("GEO-10", X.on_ledger("""SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN bx WHEN 1 THEN bx + 9 ELSE CASE WHEN x = bx AND y = "by" THEN bx ELSE bx + (x - bx) / sqrt((x - bx) * (x - bx) + (y - "by") * (y - "by")) * 9 END END AS sx FROM led"""))
+@query("GEO-10", X.on_ledger("""SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN bx WHEN 1 THEN bx + 9 ELSE CASE WHEN x = bx AND y = "by" THEN bx ELSE bx + (x - bx) / sqrt((x - bx) * (x - bx) + (y - "by") * (y - "by")) * 9 END END AS sx,
+  CASE seq % 4 WHEN 0 THEN "by" - 9 WHEN 1 THEN "by" ELSE CASE WHEN x = bx AND y = "by" THEN "by" ELSE "by" + (y - "by") / sqrt((x - bx) * (x - bx) + (y - "by") * (y - "by")) * 9 END END AS sy FROM led"""))
 def geo_10(spark, sf_dir):
     side = F.when(F.col("seq") % 4 == 0, "n").when(F.col("seq") % 4 == 1, "e")
     start = sheet.leader_start(F.col("bx"), F.col("by"), F.col("x"), F.col("y"), side, 9.0)
-    return X.ledger(spark, sf_dir).select("doc_id", "seq", start["x"].alias("sx"))
+    return X.ledger(spark, sf_dir).select("doc_id", "seq", start["x"].alias("sx"), start["y"].alias("sy"))
 
 
 # sources, limits, sets

@@ -515,10 +515,10 @@ def mut_9(spark, sf_dir):
     return L.cell_edited(led, first.union(last).union(gages)).select("doc_id", "seq", "measured", "gage")
 
 
-@query("MUT-10", on_ledger("SELECT nled.doc_id, seq, CASE WHEN page = 0 AND num = 1 THEN bx + 40 ELSE bx END AS bx FROM nled"))
+@query("MUT-10", on_ledger("SELECT nled.doc_id, seq, CASE WHEN page = 0 AND num = 1 THEN bx + 40 ELSE bx END AS bx, CASE WHEN page = 0 AND num = 1 THEN \"by\" - 7 ELSE \"by\" END AS \"by\" FROM nled"))
 def mut_10(spark, sf_dir):
     led = numbered(spark, sf_dir)
-    return L.moved(led, led.where("page = 0").select("doc_id", "page", F.lit(1).alias("base")), 40.0, 0.0).select("doc_id", "seq", "bx")
+    return L.moved(led, led.where("page = 0").select("doc_id", "page", F.lit(1).alias("base")), 40.0, -7.0).select("doc_id", "seq", "bx", "by")
 
 
 @query("MUT-11", on_ledger("""SELECT doc_id, seq, CASE WHEN uid IN (2, 8) THEN CASE WHEN starts_with("group", 'finish') THEN 'finish / wykończenie' ELSE 'GD&T' END ELSE type END AS type, bubble FROM nled"""))
