@@ -700,6 +700,29 @@ def test_wrapped_headers_and_titles(spark):
     assert [got[f"d{i}/f.c"] for i in range(len(WRAPPED))] == list(WRAPPED) and not any(v for k, v in got.items() if k[0] == "e")
 
 
+def test_copied_and_shared_passages_are_compared_once(spark):
+    """Copies add no units, and what near copies share adds no words; what can't reach the threshold is not compared."""
+    header = WRAPPED["GPL-3.0"]
+    weights, other = license_scan.word_weights(license_scan.file_table(spark.createDataFrame([(f"{i}.c", header if i < 4 else f"plain words {i}") for i in range(400)], "path string, text string"), "path", "text"))
+    vectors = license_scan.template_vectors(weights)
+
+    def sizes(rows):
+        texts = license_scan.file_table(spark.createDataFrame(rows, "path string, text string"), "path", "text")
+        units = license_scan.license_units(texts, weights, other, vectors, 0.6)
+        return units.count(), license_scan.unit_words(units).count()
+
+    one = sizes([("a.c", header)])
+    assert one[0] > 0 and sizes([(f"{i}.c", header) for i in range(50)]) == one
+    near = [sizes([(f"{i}.c", f"own{i}" + "\n" * 9 + header) for i in range(n)]) for n in (1, 50)]
+    assert near[1] == (50 * near[0][0], near[0][1])
+    # telling words, but among so many others that no template is near
+    plain = "the version of one two three under four five six seven eight nine ten" + "".join(f"\neleven{i} twelve{i} thirteen{i}" for i in range(40))
+    assert sizes([(f"{i}.c", f"{plain} {i}") for i in range(50)]) == (0, 0)
+    rows = [(f"{i % 7}/{i}.c", f"own{i}\n{header}") for i in range(20)] + [(f"{i % 7}/{i}.c", f"{plain} {i}") for i in range(20, 40)] + [("3/LICENSE", header), ("3/x.c", header)]
+    got = {r["path"]: (r["licence"], r["score"] is not None, r["from_dir"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[p] == (("GPL-3.0", True, None) if header in t else ("GPL-3.0", False, "3") if p[0] == "3" else (None, False, None)) for p, t in rows)
+
+
 # pipeline
 
 
