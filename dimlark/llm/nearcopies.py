@@ -5,16 +5,20 @@ some 15 of 100 bits, so here the fingerprint is wider and the bound on bits is l
 
 1. A text's set holds the hashes of its runs of ``shingle`` words. Its fingerprint has 192
    majority bits; texts of equal sets share one and are one node from here on.
-2. Nodes meet under ``keys`` block coordinates, each ``key_bits`` fixed bits of the fingerprint.
-   Those within ``max_bits`` are joined into loose groups; a task gives a forest, not pairs.
+2. Nodes meet under ``keys`` block coordinates, as in ``simhash``: a block is ``key_bits`` places of
+   the fingerprint, and its distances to the pivots 0, 1, 11, ... within the block are written as its
+   bits. Pairs that meet are discarded by a pivot distance table: the distances of each 4 bits to
+   those of a pivot. By the triangle inequality the differences of a pair's distances sum to no
+   more than its differing bits. Survivors within ``max_bits`` are joined into loose groups; a
+   task gives a forest, not pairs.
 3. Within a loose group the sets themselves are compared: nodes are linked at ``percent`` or more.
    Large groups are cut into tiles, so that every two sets of a group meet, in bounded memory.
 
 What step 3 says is exact. A pair can only be missed in step 2: at a similarity of exactly 0.8,
 two texts of many words meet with a chance of 0.999 and lie within 44 bits with a chance of
-0.999, and more similar ones surely; for texts of less than ten words it is 0.9 at worst. Whole
-pivot fingerprints, as in ``simhash``, discard nothing at so wide a bound (their coordinates
-differ by less than 44 for nearly all pairs), so only block coordinates are used.
+0.999, and more similar ones surely; for texts of less than ten words it is 0.9 at worst. The
+table loses none. Distances to whole pivots, as in ``simhash``, would discard nothing at so wide a
+bound (they differ by less than 44 for nearly all pairs); those of 4 bits tell most pairs apart.
 
 Cases: a text of fewer words is one shingle; null and empty texts have the empty set and are
 linked. Null ids rank last; rows that repeat an id count by their texts. Of equal rows one stays.
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import col, written
 from .components import components
-from .simhash import BYTE_BITS, XXH_SEED, grouped, kept_rows, tiled, whole_buckets
+from .simhash import BYTE_BITS, XXH_SEED, grouped, kept_rows, pivot_fingerprints, tiled, whole_buckets
 
 #: 64-bit words of a fingerprint.
 FP_WORDS = 3
@@ -87,7 +91,7 @@ def prints_of(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 
 
 def block_coordinates(fps: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each fingerprint and each row of ``places``: the key's number and its bits."""
+    """For each fingerprint and each row of ``places``: the key's number and the block's distances to its pivots, as bits."""
     bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
     keys, width = places.shape
     out = np.zeros((len(fps), keys), np.int64)
@@ -97,7 +101,7 @@ def block_coordinates(fps: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def key_places(keys: int, key_bits: int) -> np.ndarray:
-    """The fixed bits of each key, by a seeded draw."""
+    """The places of each key's block, by a seeded draw."""
     rng = np.random.default_rng(XXH_SEED)
     return np.array([rng.choice(64 * FP_WORDS, key_bits, replace=False) for _ in range(keys)])
 
@@ -117,6 +121,19 @@ def meeting_rows(distinct: DataFrame, keys: int, key_bits: int) -> DataFrame:
     return distinct.select("sig", "f0", "f1", "f2").mapInArrow(run, "key long, sig long, f0 long, f1 long, f2 long")
 
 
+def pivot_table() -> np.ndarray:
+    """For each byte of a fingerprint and each value of it: the distances of both its 4-bit blocks to the pivot's, in unary."""
+    pivot = pivot_fingerprints(FP_WORDS).view(np.uint8)
+    apart = pivot[:, None] ^ np.arange(256, dtype=np.uint8)
+    unary = lambda block: (1 << np.bitwise_count(block)) - 1
+    return (unary(apart & 15) | unary(apart >> 4) << 4).astype(np.uint8)
+
+
+def pivot_distances(fps: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The coordinates of each fingerprint: as they are unary, their differences are differing bits."""
+    return table[np.arange(8 * FP_WORDS), np.ascontiguousarray(fps).view(np.uint8)].view(np.uint64)
+
+
 def joined_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
     """The least row reachable from each of n rows by links a-b."""
     root = np.arange(n) if root is None else root
@@ -128,37 +145,46 @@ def joined_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None =
     return root
 
 
-def loose_roots(bucket: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndarray:
+def near_pairs(at: np.ndarray, fps: np.ndarray, one: np.ndarray, other: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which of the pairs (one[i], other[i]) lie within ``max_bits``: coordinates ``at`` first, then distances."""
+    left = np.flatnonzero(np.bitwise_count(at[one] ^ at[other]).sum(axis=1) <= max_bits)
+    return left[np.bitwise_count(fps[one[left]] ^ fps[other[left]]).sum(axis=1) <= max_bits]
+
+
+def loose_roots(bucket: np.ndarray, fps: np.ndarray, max_bits: int, table: np.ndarray) -> np.ndarray:
     """For rows sorted by bucket: the row that stands for those that bits within ``max_bits`` join in its bucket."""
-    n = len(fps)
+    n, at = len(fps), pivot_distances(fps, table)
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[first, n])
     small = np.repeat(size <= SMALL, size)
     ones, others = [], []
     for shift in range(1, min(SMALL, int(size.max(initial=0)))):
         i = np.flatnonzero((bucket[shift:] == bucket[:-shift]) & small[shift:])
-        i = i[np.bitwise_count(fps[i] ^ fps[i + shift]).sum(axis=1) <= max_bits]
+        i = i[near_pairs(at, fps, i, i + shift, max_bits)]
         ones.append(i)
         others.append(i + shift)
     root = joined_roots(n, np.concatenate([*ones, first[:0]]), np.concatenate([*others, first[:0]]))
     for start, count in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-        own, stand = fps[start : start + count], np.arange(count)
-        for at in range(0, count, ROWS_AT_ONCE):
-            apart = sum(np.bitwise_count(own[at : at + ROWS_AT_ONCE, None, w] ^ own[None, at:, w]).astype(np.int16) for w in range(FP_WORDS))
+        own, coordinates, stand = fps[start : start + count], at[start : start + count], np.arange(count)
+        for row in range(0, count, ROWS_AT_ONCE):
+            apart = sum(np.bitwise_count(coordinates[row : row + ROWS_AT_ONCE, None, w] ^ coordinates[None, row:, w]).astype(np.int16) for w in range(FP_WORDS))
             a, b = np.nonzero(apart <= max_bits)
-            stand = joined_roots(count, a + at, b + at, stand)
+            a, b = a + row, b + row
+            near = np.bitwise_count(own[a] ^ own[b]).sum(axis=1) <= max_bits
+            stand = joined_roots(count, a[near], b[near], stand)
         root[start : start + count] = start + stand
     return root
 
 
 def loose_links(distinct: DataFrame, *, keys: int, key_bits: int, max_bits: int, tile_rows: int = 4096) -> DataFrame:
     """``(a, b)``: signatures, joined within each bucket."""
+    table = pivot_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in whole_buckets(batches):
             sig = rows.column(2).to_numpy()
             fps = np.stack([rows.column(i).to_numpy() for i in range(3, 3 + FP_WORDS)], axis=1).view(np.uint64)
-            root = loose_roots(bucket, fps, max_bits)
+            root = loose_roots(bucket, fps, max_bits, table)
             linked = np.flatnonzero(root != np.arange(len(root)))
             pairs = np.unique(np.stack([sig[root[linked]], sig[linked]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])

@@ -91,6 +91,38 @@ def test_large_buckets_and_groups_in_tiles(spark):
         assert groups == {i: i // 80 * 80 for i in range(480)}
 
 
+def test_pivot_distances_discard_most_pairs_and_no_near_one():
+    """The table holds distances to a pivot's blocks, whose differences sum to no more than the differing bits."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (400, 192), dtype=np.uint8)
+    near = bits ^ (rng.random(bits.shape) < 0.2)
+    fps, others = (np.packbits(b, axis=1, bitorder="little").view(np.uint64) for b in (bits, near))
+    table = nearcopies.pivot_table()
+    pivot = np.unpackbits(simhash.pivot_fingerprints(3).view(np.uint8), bitorder="little")
+    plain = lambda b: (b ^ pivot).reshape(len(b), 48, 4).sum(axis=2, dtype=int)
+    apart = lambda a, b: np.bitwise_count(a ^ b).sum(axis=1)
+    at, others_at = nearcopies.pivot_distances(fps, table), nearcopies.pivot_distances(others, table)
+    assert (apart(at, others_at) == np.abs(plain(bits) - plain(near)).sum(axis=1)).all()
+    assert (apart(at, others_at) <= apart(fps, others)).all()
+    one, other = np.triu_indices(400, 1)
+    assert (apart(at[one], at[other]) > 44).mean() > 0.8
+    both, both_at = np.concatenate([fps, others]), np.concatenate([at, others_at])
+    i = np.arange(400)
+    assert (nearcopies.near_pairs(both_at, both, i, i + 400, 44) == np.flatnonzero(apart(fps, others) <= 44)).all()
+
+
+@pytest.mark.parametrize("copies", [3, 60])
+def test_pairs_beyond_the_bound_by_pivots_are_not_compared(copies):
+    """Small and large buckets: what the table puts apart is discarded before its bits are compared."""
+    fps = np.random.default_rng(9).integers(0, 1 << 60, (1, 3)).astype(np.uint64).repeat(copies, axis=0)
+    bucket = np.zeros(copies, int)
+    assert (nearcopies.loose_roots(bucket, fps, 44, nearcopies.pivot_table()) == 0).all()
+    tell = np.zeros((24, 256), np.uint8)
+    fps[-1, 0] ^= np.uint64(1)
+    tell[0, fps[-1, 0] & np.uint64(255)] = 255
+    assert (nearcopies.loose_roots(bucket, fps, 7, tell) == [0] * (copies - 1) + [copies - 1]).all()
+
+
 def test_stage_against_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
