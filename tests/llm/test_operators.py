@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -723,6 +724,31 @@ def test_copied_and_shared_passages_are_compared_once(spark):
     assert all(got[p] == (("GPL-3.0", True, None) if header in t else ("GPL-3.0", False, "3") if p[0] == "3" else (None, False, None)) for p, t in rows)
 
 
+def test_whole_texts_and_long_lines_are_weighed_in_place(spark):
+    """Licence files and long lines that can't reach the threshold are no units; a unit that can is one row, however many words it has."""
+    many = " ".join(f"word{i} version" for i in range(150))
+    rows = [(f"{i}/LICENSE", f"own{i}\n{many} {i}") for i in range(20)]
+    header = license_scan.TEMPLATES[2][1]
+    rows += [(f"{20 + i}/LICENSE", f"{header} own{i}. {header} {header}") for i in range(3)] + [(f"{30 + i}/a.c", f"Released under the MIT License own{i}.") for i in range(20)]
+    rows += [(f"{60 + i}/a.c", f"plain words {i}") for i in range(200)]
+    texts = license_scan.file_table(spark.createDataFrame(rows, "path string, text string"), "path", "text")
+    weights, other = license_scan.word_weights(texts)
+    vectors = license_scan.template_vectors(weights)
+    units = license_scan.license_units(texts, weights, other, vectors, 0.6)
+    assert units.count() == 23
+    words = license_scan.unit_words(units)
+    assert words.count() == 23
+
+    def plain(unit):
+        tf = Counter(unit.split())
+        norm = math.sqrt(sum((n * weights.get(w, other)) ** 2 for w, n in tf.items()))
+        return max(round(sum(n * weights.get(w, other) * v.get(w, 0.0) for w, n in tf.items()) / norm, 6) for v in vectors)
+
+    got = {tuple(sorted((c["word"], c["tf"]) for c in r["words"])): r["best"]["score"] for r in words.join(license_scan.judged_units(units, weights, other, vectors, 0.6), "key").collect()}
+    want = {tuple(sorted(Counter(r["unit"].split()).items())): plain(r["unit"]) for r in units.collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(got) == 23
+
+
 # pipeline
 
 
