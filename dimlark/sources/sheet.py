@@ -30,20 +30,28 @@ def cell_texts() -> dict[str, Column]:
     }
 
 
-def free_slots(ledger: DataFrame) -> DataFrame:
-    """``doc_id, slot, rank``: sheet rows that no ledger row holds."""
-    slots = ledger.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(FIRST_ROW), F.lit(LAST_ROW))).alias("slot"))
-    used = ledger.where("sheet_row IS NOT NULL").select("doc_id", F.col("sheet_row").alias("slot"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("slot"))
-    return slots.join(used, ["doc_id", "slot"], "left_anti").withColumn("rank", rank)
+def free_slot(held: Column, rank: Column) -> Column:
+    """The sheet row of that rank, from 1, among those that ``held`` has not; NULL when the sheet is full.
+
+    Before the i-th row held lie ``row - FIRST_ROW - i`` free ones; where that is under the rank, the row found is one later.
+    """
+    before = F.filter(F.sort_array(held), lambda row, i: row - F.lit(FIRST_ROW) - i < rank)
+    at = F.lit(FIRST_ROW - 1) + rank + F.size(before)
+    return F.when((rank <= LAST_ROW - FIRST_ROW + 1) & (at <= LAST_ROW), at)
 
 
 def allocated(ledger: DataFrame) -> DataFrame:
-    """IO-11: rows without a sheet row get the first free ones in order; NULL when the sheet is full. ``is_new`` marks them."""
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-    new = ledger.where("sheet_row IS NULL").withColumn("rank", rank).drop("sheet_row")
-    found = new.join(free_slots(ledger), ["doc_id", "rank"], "left").withColumnRenamed("slot", "sheet_row").drop("rank").withColumn("is_new", F.lit(True))
-    return ledger.where("sheet_row IS NOT NULL").withColumn("is_new", F.lit(False)).unionByName(found)
+    """IO-11: rows without a sheet row get the first free ones in order; NULL when the sheet is full. ``is_new`` marks them.
+
+    A drawing's rows held are one array, no longer than the sheet, so slots are reckoned and not listed.
+    """
+    own = Window.partitionBy("doc_id")
+    new, row = F.col("sheet_row").isNull(), F.col("sheet_row")
+    held = F.collect_set(F.when(row.between(FIRST_ROW, LAST_ROW), row)).over(own)
+    rank = F.count(F.when(new, True)).over(own.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    rows = ledger.withColumns({"is_new": new, "__held": held, "__rank": rank})
+    slot = F.when(F.col("doc_id").isNotNull(), free_slot(F.col("__held"), F.col("__rank")))
+    return rows.withColumn("sheet_row", F.coalesce(row, slot)).drop("__held", "__rank")
 
 
 def overfull(ledger: DataFrame) -> DataFrame:
