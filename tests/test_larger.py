@@ -54,7 +54,7 @@ def dealt(df) -> list[str]:
 
 
 #: Queries whose rows are whole pages: texts are dealt out once, words never.
-WHOLE_PAGES = ["DET-12-signs", "DET-12", "DET-6-words"]
+WHOLE_PAGES = ["DET-12-signs", "DET-12", "DET-6-words", "DET-6"]
 
 
 @pytest.mark.parametrize("name", WHOLE_PAGES)
